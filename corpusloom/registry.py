@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from corpusloom.plans import queries as plans
+
+QUERIES: dict = dict(plans.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(plans.ORACLE_SQL)
