@@ -9,8 +9,9 @@ One tree over all points prunes little in so many dimensions, and all points can
 tree for each block: a pair at the threshold must share a shingle among the rarest (1 - threshold) of either set, as
 they stand in one order of all shingles, so each text goes to the blocks of those shingles, and nothing is lost. The
 order puts shingles of crowded hash buckets last (counted over all texts), so that common passages open no blocks.
-Equal sets are one class from the start. A block whose points all look alike gives one partner for each point first;
-what these links leave in different components is looked up in a second round, so no block lists all its pairs.
+Equal sets are one class from the start. A block whose points all look alike first ties each point to a few others;
+what these links leave in different components is looked up in a later turn in full, by finer groups, so that no block
+lists all its pairs and no link between components is lost.
 
 A text without words, or a null one, has an empty set and links with nothing. With fewer words than a shingle has, the
 whole sequence is the one shingle. Rows that share a doc_id are one document. A row without doc_id keeps a null
@@ -31,10 +32,12 @@ from corpusloom.llm.common import components, materialise, small_batches
 WORDS, PERCENT = 5, 75
 #: Hash buckets in which shingles are counted to order them; the counts have this size at any input size.
 BUCKETS = 1 << 18
-#: Points in a leaf, and children of a node.
-FANOUT = 16
+#: Children of a node, and points of a block that one leaf holds.
+FANOUT, LEAF = 16, 64
 #: Partners of a point in a block that are listed before the block counts as crowded.
 CROWD = 6
+#: Partners that a point of a crowded block is tied to in a turn, and the turn that looks up all that is left.
+TIES, LAST = 12, 1
 #: Bits that mark the documents whose sets are needed; more documents than that only mean more sets built.
 MARKS = 1 << 25
 #: Hashed words kept for each Python worker.
@@ -82,10 +85,10 @@ def class_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
 
-def point(found: np.ndarray) -> bytes:
-    """Group counts: a power of two of groups, about four shingles each. Counts beyond a byte's range stay at its end,
-    where 255 means no bound."""
-    groups = 1 << max(3, min(13, (max(1, len(found) // 4)).bit_length()))
+def point(found: np.ndarray, each: int = 4) -> bytes:
+    """Group counts: a power of two of groups, about so many shingles each. Counts beyond a byte's range stay at its
+    end, where 255 means no bound."""
+    groups = 1 << max(3, min(16, (max(1, len(found) // each)).bit_length()))
     return np.minimum(np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()
 
 
@@ -134,37 +137,73 @@ class Tree:
         return at
 
 
-def block_pairs(ids: np.ndarray, sizes: np.ndarray, points: list[bytes], groups: np.ndarray | None, percent: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of a block that pass the bound, and whether the block is crowded. With groups (components), all pairs of
-    different ones; without, in a crowded block one partner for each point."""
+def block_pairs(ids: np.ndarray, sizes: np.ndarray, points: list[bytes], groups: np.ndarray | None, percent: int, turn: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of a block that pass the bound (with groups, of different components), and whether the block is crowded.
+    In every turn but the LAST, a point with many partners is tied to a few of them, the first in an order of all ids
+    that depends on the turn, so that it meets the same few in most blocks."""
     order = np.lexsort((ids, sizes))
     ids, sizes = ids[order], sizes[order]
-    widths = np.array([len(points[k]) for k in order])
-    pairs: list[tuple[int, int]] = []
+    groups = None if groups is None else groups[order]
+    points = [points[k] for k in order]
+    i, j = (_leaf if len(ids) <= LEAF else _tree)(sizes, points, groups, percent)
     crowded = False
-    trees: dict[int, tuple[np.ndarray, Tree]] = {}
-    for w in np.unique(widths):
-        own = np.flatnonzero(widths == w)
-        trees[int(w)] = own, Tree(np.frombuffer(b"".join(points[order[k]] for k in own), np.uint8).reshape(len(own), w), sizes[own])
-    for i in range(len(ids)):
-        w = int(widths[i])
-        query = np.frombuffer(points[order[i]], np.uint8)[None]
-        found = []
-        for v, (own, tree) in trees.items():  # sizes grow along the order: partners stand later, in as wide or wider points
-            if v < w or v > 2 * w:
-                continue
-            if v > w:
-                tree = Tree(folded(tree.points, w), tree.sizes)
-            hits = own[tree.near(query[0], int(sizes[i]), percent)]
-            found.append(hits[hits > i])
-        hits = np.concatenate(found) if found else np.empty(0, np.int64)
-        if groups is not None:
-            hits = hits[groups[order][hits] != groups[order][i]]
-        elif len(hits) > CROWD:
+    if turn != LAST and len(i) > CROWD * len(ids) // 2:
+        many = np.bincount(np.concatenate((i, j)), minlength=len(ids)) > CROWD
+        tied = many[i] | many[j]
+        if tied.any():
             crowded = True
-            hits = hits[:1]
-        pairs += [(min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for j in hits if ids[i] != ids[j]]
-    return pairs, crowded
+            one, two = np.concatenate((i[tied], j[tied])), np.concatenate((j[tied], i[tied]))
+            first = np.lexsort((_mixed(ids[two].view(np.uint64) ^ np.uint64(turn)), one))
+            one, two = one[first], two[first]
+            first = np.arange(len(one)) - np.searchsorted(one, one) < TIES
+            i, j = np.concatenate((i[~tied], one[first])), np.concatenate((j[~tied], two[first]))
+    a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+    return list(zip(a[a < b].tolist(), b[a < b].tolist(), strict=True)), crowded
+
+
+def _leaf(sizes: np.ndarray, points: list[bytes], groups: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a block of one leaf that pass the bound: sizes first, then counts."""
+    fits = np.triu(100 * sizes[:, None] >= percent * sizes[None, :], 1)
+    if groups is not None:
+        fits &= groups[:, None] != groups[None, :]
+    i, j = np.nonzero(fits)
+    if not len(i):
+        return i, j
+    widths = np.array([len(p) for p in points])
+    passed = np.zeros(len(i), bool)
+    for w, v in {(int(x), int(y)) for x, y in zip(widths[i], widths[j], strict=True)}:
+        k = np.flatnonzero((widths[i] == w) & (widths[j] == v))
+        a = np.frombuffer(b"".join(points[x] for x in i[k]), np.uint8).reshape(len(k), w)
+        b = folded(np.frombuffer(b"".join(points[x] for x in j[k]), np.uint8).reshape(len(k), v), w)
+        low = np.minimum(a, b)
+        most = np.where((low == 255).any(1), 1 << 40, low.sum(1, dtype=np.int64))
+        passed[k] = most >= needed(sizes[i[k]], sizes[j[k]], percent)
+    return i[passed], j[passed]
+
+
+def _tree(sizes: np.ndarray, points: list[bytes], groups: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a large block that pass the bound, by a tree for each width of points."""
+    widths = np.array([len(p) for p in points])
+    trees: dict[tuple[int, int], tuple[np.ndarray, Tree]] = {}
+    for v in map(int, np.unique(widths)):
+        own = np.flatnonzero(widths == v)
+        stack = np.frombuffer(b"".join(points[k] for k in own), np.uint8).reshape(len(own), v)
+        for w in (v, v // 2):
+            trees[w, v] = own, Tree(folded(stack, w), sizes[own])
+    ones, twos = [], []
+    for i in range(len(sizes)):  # sizes grow along the order: partners stand later, in as wide points or twice as wide
+        w = len(points[i])
+        query = np.frombuffer(points[i], np.uint8)
+        for v in (w, 2 * w):
+            if (w, v) in trees:
+                own, tree = trees[w, v]
+                hits = own[tree.near(query, int(sizes[i]), percent)]
+                hits = hits[hits > i]
+                if groups is not None:
+                    hits = hits[groups[hits] != groups[i]]
+                ones.append(np.full(len(hits), i))
+                twos.append(hits)
+    return np.concatenate(ones), np.concatenate(twos)
 
 
 def _blocks(keys: np.ndarray):
@@ -176,23 +215,24 @@ def _blocks(keys: np.ndarray):
 
 
 def marks(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, cid, vec of each row (written once), and the count of each hash bucket over all sets."""
-    slices = 64
+    """doc_id, n, cid, vec, fine of each row (written once), and the count of each hash bucket over all sets."""
+    slices, names = 64, ["doc_id", "n", "cid", "vec", "fine", "slice", "counts"]
 
     def build(batches):
         seen = np.zeros(BUCKETS, np.int64)
         for rows in batches:
-            ids, n, cid, vec = rows.column("doc_id"), [], [], []
+            ids, n, cid, vec, fine = rows.column("doc_id"), [], [], [], []
             for text in rows.column("text").cast(pa.binary()).to_pylist():
                 found = shingles(text, size)
                 n.append(len(found))
                 cid.append(class_of(found) if len(found) else None)
                 vec.append(point(found) if len(found) else None)
+                fine.append(point(found, 1) if len(found) else None)
                 np.add.at(seen, (found >> np.uint64(46)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(vec, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["doc_id", "n", "cid", "vec", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(vec, pa.binary()), pa.array(fine, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         parts = seen.astype(np.int32).reshape(slices, -1)
-        none = [pa.nulls(slices, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "n", "cid", "vec", "slice", "counts"])
+        none = [pa.nulls(slices, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
     def added(table: pa.Table) -> pa.Table:
         total = np.zeros(BUCKETS // slices, np.int64)
@@ -200,7 +240,7 @@ def marks(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, np.ndarray]:
             total += np.frombuffer(x, np.int32)
         return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, "doc_id long, n long, cid long, vec binary, slice int, counts binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, "doc_id long, n long, cid long, vec binary, fine binary, slice int, counts binary")
     rows = materialise(rows, "sets")
     sums = rows.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(added, "slice int, counts binary").collect()
     counts = np.zeros(BUCKETS, np.int64)
@@ -271,7 +311,7 @@ def shared_keys(posts: DataFrame) -> DataFrame:
     return posts.groupBy("part").applyInArrow(found, "key long, cid long")
 
 
-def candidates(blocks: DataFrame, parts: int, percent: int, second: bool = False) -> DataFrame:
+def candidates(blocks: DataFrame, parts: int, percent: int, turn: int = 0) -> DataFrame:
     """From rows key, cid, n, vec (and group): pairs (a, b) that pass the bound, and the rows of crowded blocks (with key)."""
     names = ["a", "b", "key", "cid", "n", "vec"]
 
@@ -280,12 +320,12 @@ def candidates(blocks: DataFrame, parts: int, percent: int, second: bool = False
         order = np.argsort(key, kind="stable")
         key = key[order]
         cid, n = table.column("cid").to_numpy()[order], table.column("n").to_numpy()[order]
-        group = table.column("group").to_numpy()[order] if second else None
+        group = table.column("group").to_numpy()[order] if turn else None
         vec = table.column("vec").take(pa.array(order)).to_pylist()
         pairs: set[tuple[int, int]] = set()
         kept: list[int] = []
         for a, b in _blocks(key):
-            got, crowded = block_pairs(cid[a:b], n[a:b], vec[a:b], group[a:b] if second else None, percent)
+            got, crowded = block_pairs(cid[a:b], n[a:b], vec[a:b], group[a:b] if turn else None, percent, turn)
             pairs.update(got)
             if crowded:
                 kept += range(a, b)
@@ -348,18 +388,19 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows, counts = marks(docs, size)
     real = rows.where("doc_id is not null and cid is not null")
-    classes = materialise(real.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.count("*").alias("copies")), "classes")
+    classes = materialise(real.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("fine").alias("fine"), F.count("*").alias("copies")), "classes")
     own = docs.where("doc_id is not null")
     keys = shared_keys(postings(own, crowded_order(counts), size, percent, parts))
     first = materialise(candidates(keys.join(classes.select("cid", "n", "vec"), "cid"), parts, percent), "candidates")
     pairs = first.where("a is not null").select("a", "b").distinct()
     links = materialise(verified(docs, classes, pairs, size, percent), "verified")
     crowd = first.where("a is null").select("key", "cid", "n", "vec")
-    if not crowd.isEmpty():
+    for turn in [] if crowd.isEmpty() else range(1, LAST + 1):
         so_far = components(links).select(F.col("node").alias("cid"), F.col("component").alias("group"))
-        crowd = crowd.join(so_far, "cid", "left").withColumn("group", F.coalesce("group", "cid"))
-        more = candidates(crowd, parts, percent, second=True).where("a is not null").select("a", "b").distinct()
+        rows_left = crowd.drop("vec").join(classes.select("cid", F.col("fine").alias("vec")), "cid").join(so_far, "cid", "left").withColumn("group", F.coalesce("group", "cid"))
+        more = candidates(rows_left, parts, percent, turn).where("a is not null").select("a", "b").distinct()
         more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "candidates")
+        pairs = pairs.union(more)
         links = materialise(links.union(verified(docs, classes, more, size, percent)), "verified")
     rep = classes.select("cid", "rep")
     ends = links.join(rep.withColumnsRenamed({"cid": "a", "rep": "ra"}), "a").join(rep.withColumnsRenamed({"cid": "b", "rep": "rb"}), "b")
@@ -370,7 +411,7 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     of_class = rep.join(found, rep.rep == found.node, "left").select("cid", F.coalesce("component", "rep").alias("component"))
     # only classes with copies or links are looked up; any other row is its own component
     told = of_class.join(classes.select("cid", "copies"), "cid").join(rep, "cid").where("copies > 1 or component <> rep").select("cid", "component")
-    out = rows.drop("vec").join(told, "cid", "left")
+    out = rows.drop("vec", "fine").join(told, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
