@@ -10,8 +10,8 @@ tree for each block: a pair at the threshold must share a shingle among the rare
 they stand in one order of all shingles, so each text goes to the blocks of those shingles, and nothing is lost. The
 order puts shingles of crowded hash buckets last (counted over all texts), so that common passages open no blocks.
 Equal sets are one class from the start. A block whose points all look alike first ties each point to a few others;
-what these links leave in different components is looked up in a later turn in full, by finer groups, so that no block
-lists all its pairs and no link between components is lost.
+in later turns, by finer groups, points of different components are tied again, and at last all that is left is looked
+up in full, so that no block lists all its pairs and no link between components is lost.
 
 A text without words, or a null one, has an empty set and links with nothing. With fewer words than a shingle has, the
 whole sequence is the one shingle. Rows that share a doc_id are one document. A row without doc_id keeps a null
@@ -31,13 +31,18 @@ from corpusloom.llm.common import components, materialise, small_batches
 
 WORDS, PERCENT = 5, 75
 #: Hash buckets in which shingles are counted to order them; the counts have this size at any input size.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 #: Children of a node, and points of a block that one leaf holds.
 FANOUT, LEAF = 16, 64
 #: Partners of a point in a block that are listed before the block counts as crowded.
 CROWD = 6
 #: Partners that a point of a crowded block is tied to in a turn, and the turn that looks up all that is left.
-TIES, LAST = 12, 1
+TIES, LAST = 12, 2
+#: Shingles in a group of the points of crowded blocks: so few that hardly a pair below the threshold passes the bound.
+FINE = 0.25
+#: Bytes of points that are compared at a time.
+CHUNK = 1 << 24
 #: Bits that mark the documents whose sets are needed; more documents than that only mean more sets built.
 MARKS = 1 << 25
 #: Hashed words kept for each Python worker.
@@ -85,10 +90,10 @@ def class_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
 
-def point(found: np.ndarray, each: int = 4) -> bytes:
+def point(found: np.ndarray, each: float = 4) -> bytes:
     """Group counts: a power of two of groups, about so many shingles each. Counts beyond a byte's range stay at its
     end, where 255 means no bound."""
-    groups = 1 << max(3, min(16, (max(1, len(found) // each)).bit_length()))
+    groups = 1 << max(3, min(16, max(1, int(len(found) / each)).bit_length()))
     return np.minimum(np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()
 
 
@@ -137,10 +142,10 @@ class Tree:
         return at
 
 
-def block_pairs(ids: np.ndarray, sizes: np.ndarray, points: list[bytes], groups: np.ndarray | None, percent: int, turn: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of a block that pass the bound (with groups, of different components), and whether the block is crowded.
-    In every turn but the LAST, a point with many partners is tied to a few of them, the first in an order of all ids
-    that depends on the turn, so that it meets the same few in most blocks."""
+def block_pairs(ids: np.ndarray, sizes: np.ndarray, points: list[bytes], groups: np.ndarray | None, percent: int, turn: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a block (as places in it) that pass the bound (with groups, of different components), and whether the
+    block is crowded. In every turn but the LAST, a point with many partners is tied to a few of them, the first in an
+    order of all ids that depends on the turn, so that it meets the same few in most blocks."""
     order = np.lexsort((ids, sizes))
     ids, sizes = ids[order], sizes[order]
     groups = None if groups is None else groups[order]
@@ -157,8 +162,23 @@ def block_pairs(ids: np.ndarray, sizes: np.ndarray, points: list[bytes], groups:
             one, two = one[first], two[first]
             first = np.arange(len(one)) - np.searchsorted(one, one) < TIES
             i, j = np.concatenate((i[~tied], one[first])), np.concatenate((j[~tied], two[first]))
-    a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-    return list(zip(a[a < b].tolist(), b[a < b].tolist(), strict=True)), crowded
+    return order[i], order[j], crowded
+
+
+def bounded(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, points: list[bytes], percent: int) -> np.ndarray:
+    """Which index pairs (i the smaller set) may be at the threshold by their counts."""
+    widths = np.array([len(p) for p in points])
+    passed = np.zeros(len(i), bool)
+    for w, v in np.unique(np.stack([widths[i], widths[j]], 1), axis=0).tolist() if len(i) else []:
+        here = np.flatnonzero((widths[i] == w) & (widths[j] == v))
+        step = max(1, CHUNK // v)
+        for k in (here[x : x + step] for x in range(0, len(here), step)):
+            a = np.frombuffer(b"".join(points[x] for x in i[k]), np.uint8).reshape(len(k), w)
+            b = folded(np.frombuffer(b"".join(points[x] for x in j[k]), np.uint8).reshape(len(k), v), w)
+            low = np.minimum(a, b)
+            most = np.where((low == 255).any(1), 1 << 40, low.sum(1, dtype=np.int64))
+            passed[k] = most >= needed(sizes[i[k]], sizes[j[k]], percent)
+    return passed
 
 
 def _leaf(sizes: np.ndarray, points: list[bytes], groups: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,17 +187,27 @@ def _leaf(sizes: np.ndarray, points: list[bytes], groups: np.ndarray | None, per
     if groups is not None:
         fits &= groups[:, None] != groups[None, :]
     i, j = np.nonzero(fits)
-    if not len(i):
-        return i, j
-    widths = np.array([len(p) for p in points])
-    passed = np.zeros(len(i), bool)
-    for w, v in {(int(x), int(y)) for x, y in zip(widths[i], widths[j], strict=True)}:
-        k = np.flatnonzero((widths[i] == w) & (widths[j] == v))
-        a = np.frombuffer(b"".join(points[x] for x in i[k]), np.uint8).reshape(len(k), w)
-        b = folded(np.frombuffer(b"".join(points[x] for x in j[k]), np.uint8).reshape(len(k), v), w)
-        low = np.minimum(a, b)
-        most = np.where((low == 255).any(1), 1 << 40, low.sum(1, dtype=np.int64))
-        passed[k] = most >= needed(sizes[i[k]], sizes[j[k]], percent)
+    passed = bounded(i, j, sizes, points, percent)
+    return i[passed], j[passed]
+
+
+def small_pairs(rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, points: list[bytes], groups: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of all blocks too small to be crowded: each pair is bounded once, in however many blocks it stands."""
+    ones, twos = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k in np.unique(lengths).tolist():
+        members = rows[starts[lengths == k][:, None] + np.arange(k)]
+        one, two = np.triu_indices(k, 1)
+        ones.append(members[:, one].ravel())
+        twos.append(members[:, two].ravel())
+    i, j = np.concatenate(ones), np.concatenate(twos)
+    swap = (sizes[i] > sizes[j]) | ((sizes[i] == sizes[j]) & (i > j))
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    fits = 100 * sizes[i] >= percent * sizes[j]
+    if groups is not None:
+        fits &= groups[i] != groups[j]
+    packed = np.unique(i[fits] * len(sizes) + j[fits])
+    i, j = packed // len(sizes), packed % len(sizes)
+    passed = bounded(i, j, sizes, points, percent)
     return i[passed], j[passed]
 
 
@@ -206,12 +236,13 @@ def _tree(sizes: np.ndarray, points: list[bytes], groups: np.ndarray | None, per
     return np.concatenate(ones), np.concatenate(twos)
 
 
-def _blocks(keys: np.ndarray):
-    """(start, end) of the runs of equal keys that hold two or more rows."""
-    cuts = np.flatnonzero(np.diff(keys)) + 1
-    starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)]))
-    many = ends - starts > 1
-    return zip(starts[many].tolist(), ends[many].tolist(), strict=True)
+def _packed(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The distinct owners and the keys of each, as bytes."""
+    order = np.lexsort((key, owner))
+    key, owner = key[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.empty(0, np.int64)
+    ends = np.append(starts, len(owner))[1:]
+    return owner[starts], [key[x:y].tobytes() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def marks(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, np.ndarray]:
@@ -227,8 +258,8 @@ def marks(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, np.ndarray]:
                 n.append(len(found))
                 cid.append(class_of(found) if len(found) else None)
                 vec.append(point(found) if len(found) else None)
-                fine.append(point(found, 1) if len(found) else None)
-                np.add.at(seen, (found >> np.uint64(46)).astype(np.int64), 1)
+                fine.append(point(found, FINE) if len(found) else None)
+                np.add.at(seen, (found >> SHIFT).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(vec, pa.binary()), pa.array(fine, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         parts = seen.astype(np.int32).reshape(slices, -1)
         none = [pa.nulls(slices, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
@@ -281,7 +312,7 @@ def postings(docs: DataFrame, heavy: np.ndarray, size: int, percent: int, parts:
                 if not n:
                     continue
                 first = n - -(-percent * n // 100) + 1
-                weight = heavy[(found >> np.uint64(46)).astype(np.int64)]
+                weight = heavy[(found >> SHIFT).astype(np.int64)]
                 rare = found[:first] if not weight.any() else found[np.lexsort((found, weight))[:first]]
                 keys.append(rare)
                 cids.append(np.full(len(rare), class_of(found), np.int64))
@@ -296,7 +327,7 @@ def postings(docs: DataFrame, heavy: np.ndarray, size: int, percent: int, parts:
 
 
 def shared_keys(posts: DataFrame) -> DataFrame:
-    """(key, cid) of the shingles that open a block: those of two or more classes."""
+    """(part, cid, keys) of the shingles that open a block: those of two or more classes; a row for each class and part."""
 
     def found(table: pa.Table) -> pa.Table:
         data = np.frombuffer(b"".join(table.column("blob").to_pylist()), np.uint64).reshape(-1, 2)
@@ -306,36 +337,47 @@ def shared_keys(posts: DataFrame) -> DataFrame:
         same = data[1:, 0] == data[:-1, 0]
         many = np.concatenate((same, [False])) | np.concatenate(([False], same))
         data = data[many].view(np.int64)
-        return pa.table({"key": pa.array(data[:, 0]), "cid": pa.array(data[:, 1])})
+        cid, keys = _packed(data[:, 0], data[:, 1])
+        part = pa.array(np.full(len(cid), table.column("part")[0].as_py(), np.int32))
+        return pa.table({"part": part, "cid": pa.array(cid), "keys": pa.array(keys, pa.binary())})
 
-    return posts.groupBy("part").applyInArrow(found, "key long, cid long")
+    return posts.groupBy("part").applyInArrow(found, "part int, cid long, keys binary")
 
 
-def candidates(blocks: DataFrame, parts: int, percent: int, turn: int = 0) -> DataFrame:
-    """From rows key, cid, n, vec (and group): pairs (a, b) that pass the bound, and the rows of crowded blocks (with key)."""
-    names = ["a", "b", "key", "cid", "n", "vec"]
+def candidates(blocks: DataFrame, percent: int, turn: int = 0) -> DataFrame:
+    """From rows part, cid, keys, n, vec (and group): pairs (a, b) that pass the bound, and part, cid, keys of crowded blocks."""
+    names = ["a", "b", "part", "cid", "keys"]
 
     def search(table: pa.Table) -> pa.Table:
-        key = table.column("key").to_numpy()
+        cid, n = table.column("cid").to_numpy(), table.column("n").to_numpy()
+        group = table.column("group").to_numpy() if turn else None
+        vec, blobs = table.column("vec").to_pylist(), table.column("keys").to_pylist()
+        key = np.frombuffer(b"".join(blobs), np.int64)
+        rows = np.repeat(np.arange(len(blobs)), [len(x) // 8 for x in blobs])
         order = np.argsort(key, kind="stable")
-        key = key[order]
-        cid, n = table.column("cid").to_numpy()[order], table.column("n").to_numpy()[order]
-        group = table.column("group").to_numpy()[order] if turn else None
-        vec = table.column("vec").take(pa.array(order)).to_pylist()
-        pairs: set[tuple[int, int]] = set()
-        kept: list[int] = []
-        for a, b in _blocks(key):
-            got, crowded = block_pairs(cid[a:b], n[a:b], vec[a:b], group[a:b] if turn else None, percent, turn)
-            pairs.update(got)
+        key, rows = key[order], rows[order]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        lengths = np.diff(np.append(starts, len(key)))
+        small = (lengths > 1) & (lengths <= CROWD + 1)
+        ones, twos = ([x] for x in small_pairs(rows, starts[small], lengths[small], n, vec, group, percent))
+        kept: list[np.ndarray] = []
+        for a, k in zip(starts[lengths > CROWD + 1].tolist(), lengths[lengths > CROWD + 1].tolist(), strict=True):
+            own = rows[a : a + k]
+            i, j, crowded = block_pairs(cid[own], n[own], [vec[x] for x in own], group[own] if turn else None, percent, turn)
+            ones.append(own[i])
+            twos.append(own[j])
             if crowded:
-                kept += range(a, b)
-        pair = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        k, blank = np.array(kept, np.int64), lambda x, t: pa.concat_arrays([pa.nulls(len(pair), t), x])
-        ends = [pa.concat_arrays([pa.array(pair[:, i]), pa.nulls(len(k), pa.int64())]) for i in (0, 1)]
-        rest = [blank(pa.array(x[k]), pa.int64()) for x in (key, cid, n)]
-        return pa.table([*ends, *rest, blank(pa.array([vec[i] for i in kept], pa.binary()), pa.binary())], names)
+                kept.append(np.arange(a, a + k))
+        one, two = cid[np.concatenate(ones)], cid[np.concatenate(twos)]
+        pair = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0)
+        rest = np.concatenate(kept) if kept else np.empty(0, np.int64)
+        owner, keys = _packed(key[rest], rows[rest])
+        part = pa.array(np.full(len(owner), table.column("part")[0].as_py(), np.int32))
+        ends = [pa.concat_arrays([pa.array(pair[:, x]), pa.nulls(len(owner), pa.int64())]) for x in (0, 1)]
+        crowd = [pa.concat_arrays([pa.nulls(len(pair), x.type), x]) for x in (part, pa.array(cid[owner]), pa.array(keys, pa.binary()))]
+        return pa.table([*ends, *crowd], names)
 
-    return blocks.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("part").applyInArrow(search, "a long, b long, key long, cid long, n long, vec binary")
+    return blocks.groupBy("part").applyInArrow(search, "a long, b long, part int, cid long, keys binary")
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -388,18 +430,22 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows, counts = marks(docs, size)
     real = rows.where("doc_id is not null and cid is not null")
-    classes = materialise(real.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("fine").alias("fine"), F.count("*").alias("copies")), "classes")
+    classes = materialise(real.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.count("*").alias("copies")), "classes")
     own = docs.where("doc_id is not null")
     keys = shared_keys(postings(own, crowded_order(counts), size, percent, parts))
-    first = materialise(candidates(keys.join(classes.select("cid", "n", "vec"), "cid"), parts, percent), "candidates")
-    pairs = first.where("a is not null").select("a", "b").distinct()
+    found = materialise(candidates(keys.join(classes.select("cid", "n", "vec"), "cid"), percent), "candidates")
+    pairs = found.where("a is not null").select("a", "b").distinct()
     links = materialise(verified(docs, classes, pairs, size, percent), "verified")
-    crowd = first.where("a is null").select("key", "cid", "n", "vec")
-    for turn in [] if crowd.isEmpty() else range(1, LAST + 1):
+    for turn in range(1, LAST + 1):
+        crowd = found.where("a is null").select("part", "cid", "keys")
+        if crowd.isEmpty():
+            break
         so_far = components(links).select(F.col("node").alias("cid"), F.col("component").alias("group"))
-        rows_left = crowd.drop("vec").join(classes.select("cid", F.col("fine").alias("vec")), "cid").join(so_far, "cid", "left").withColumn("group", F.coalesce("group", "cid"))
-        more = candidates(rows_left, parts, percent, turn).where("a is not null").select("a", "b").distinct()
-        more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "candidates")
+        in_crowd = crowd.select("cid").distinct()
+        fine = real.join(in_crowd, "cid", "left_semi").select("cid", "n", F.col("fine").alias("vec")).dropDuplicates(["cid"])
+        fine = fine.join(so_far, "cid", "left").withColumn("group", F.coalesce("group", "cid"))
+        found = materialise(candidates(crowd.join(fine, "cid"), percent, turn), "candidates")
+        more = materialise(found.where("a is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         pairs = pairs.union(more)
         links = materialise(links.union(verified(docs, classes, more, size, percent)), "verified")
     rep = classes.select("cid", "rep")
