@@ -1,9 +1,14 @@
-"""Vocabulary overlap and cosine between accounts and texts."""
+"""Vocabulary overlap and cosine between accounts and texts; names and titles resolved against known ones."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def word_rows(texts: DataFrame, key: str, text: str, least: int, stopwords: list[str]) -> DataFrame:
@@ -28,3 +33,54 @@ def topical_overlap(candidates: DataFrame, accounts: DataFrame, key_a: str, key_
     size = x.groupBy(key_a).agg(F.count("*").alias("n"))
     met = x.join(y, "word").groupBy(key_a, key_b).agg(F.count("*").alias("shared"))
     return met.join(size, key_a).select(key_a, key_b, "shared", (F.col("shared") / F.col("n")).alias("overlap"))
+
+
+def set_match(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
+    """For each key of a the key of b whose word set is likest by Jaccard (the smaller key at a tie); a and b hold a row
+    a word. Keys that share no word have no row."""
+    x, y = a.distinct(), b.distinct()
+    nx, ny = x.groupBy(key_a).agg(F.count("*").alias("nx")), y.groupBy(key_b).agg(F.count("*").alias("ny"))
+    met = x.join(y, "word").groupBy(key_a, key_b).agg(F.count("*").alias("shared")).join(nx, key_a).join(ny, key_b)
+    met = met.withColumn("jaccard", F.col("shared") / (F.col("nx") + F.col("ny") - F.col("shared")))
+    return met.groupBy(key_a).agg(F.min_by(F.struct(key_b, "jaccard"), F.struct(-F.col("jaccard"), F.col(key_b))).alias("_m")).select(key_a, f"_m.{key_b}", "_m.jaccard")
+
+
+@F.pandas_udf(DoubleType())
+def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the characters in matching blocks over all characters."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def _rare_pairs(names: DataFrame, side: str, least: float) -> DataFrame:
+    """The rarest numbered letter pairs of each name. At ratio t two names of T letters match in at least tT/2 letters,
+    in at most (1 - t)T + 1 blocks, so they share (1.5t - 1)T - 1 pairs; T is at least 2 / (2 - t) times either length.
+    Among the pairs of a name beyond that number, in one order for all names, a match shares at least one."""
+    need = F.greatest(F.lit(1), F.ceil((1.5 * least - 1) * F.length("norm") * (2 / (2 - least)) - 1 - 1e-9))
+    return names.where(F.col("place") <= F.length("norm") - need).select(F.col("norm").alias(side), "pair")
+
+
+def resolve_names(incoming: DataFrame, known: DataFrame, name: str, norm: Column, least: float = 0.82) -> DataFrame:
+    """name, status and suggestion of each incoming name: exact, similar (equal when normalised, else the known name of
+    the best matching-block ratio from least on; the smaller at a tie) or new. least must exceed 2/3.
+
+    Ratios are computed only for names that share one of their rarest letter pairs; the bound of _rare_pairs loses none.
+    """
+    a = incoming.select(name).where(F.col(name).isNotNull()).distinct().withColumn("norm", norm)
+    b = known.select(name).where(F.col(name).isNotNull()).distinct().withColumn("norm", norm)
+    shown = b.groupBy("norm").agg(F.min(name).alias("equal"))
+    norms = a.select("norm").union(b.select("norm")).where("norm <> ''").distinct()
+    raw = F.transform(F.sequence(F.lit(1), F.length("norm") - 1), lambda i: F.substring(F.col("norm"), i, F.lit(2)))
+    pairs = norms.where(F.length("norm") > 1).select("norm", F.posexplode(raw).alias("at", "raw"))
+    again = W.partitionBy("norm", "raw").orderBy("at")
+    pairs = pairs.select("norm", F.concat("raw", F.lit("#"), F.row_number().over(again).cast("string")).alias("pair"))
+    often = pairs.groupBy("pair").agg(F.count("*").alias("df"))
+    placed = pairs.join(often, "pair").withColumn("place", F.row_number().over(W.partitionBy("norm").orderBy("df", "pair")))
+    open_names = a.join(b, name, "left_anti").join(shown, "norm", "left_anti").select("norm").distinct()
+    left = _rare_pairs(placed.join(open_names, "norm", "left_semi"), "x", least)
+    right = _rare_pairs(placed.join(shown, "norm", "left_semi"), "y", least)
+    close = left.join(right, "pair").where((F.least(F.length("x"), F.length("y")) * 2.0 >= least * (F.length("x") + F.length("y")))).select("x", "y").distinct()
+    scored = close.withColumn("ratio", block_ratio("x", "y")).where(F.col("ratio") >= least).join(shown.withColumnRenamed("norm", "y"), "y")
+    best = scored.groupBy(F.col("x").alias("norm")).agg(F.min_by("equal", F.struct(-F.col("ratio"), F.col("equal"))).alias("near"))
+    rows = a.join(b.select(name, F.lit(True).alias("_exact")), name, "left").join(shown, "norm", "left").join(best, "norm", "left")
+    status = F.when(F.col("_exact"), "exact").when(F.coalesce("equal", "near").isNotNull(), "similar").otherwise("new")
+    return rows.select(name, status.alias("status"), F.when(F.col("_exact").isNull(), F.coalesce("equal", "near")).alias("suggestion"))

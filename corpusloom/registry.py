@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from corpusloom.plans import library
 from corpusloom.plans import queries as plans
 
-QUERIES: dict = dict(plans.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(plans.ORACLE_SQL)
+QUERIES: dict = plans.QUERIES | library.QUERIES
+ORACLE_SQL: dict[str, str] = plans.ORACLE_SQL | library.ORACLE_SQL
