@@ -1,9 +1,10 @@
 """Licence scans by a positional rare-token index. DataFrame functions only.
 
-Templates are indexed as postings (word, template, position). In each text that holds all words of some mandatory key
-phrase, the licence words of highest inverse document frequency are looked up; two of them whose postings agree on the
-relative position propose a place, the mandatory phrases are verified there, and the share of the template's weight
-that stands in place is its score.
+Templates are indexed as postings (word, template, position) of the mandatory words of highest inverse document
+frequency, two for each template. In each text that holds all words of some mandatory key phrase, all of these words
+are looked up; two whose postings agree on the relative position propose a place, the mandatory phrases are verified
+there, and the share of the template's weight that stands in place is its score. A verified place holds all mandatory
+words, so each one is proposed, however many notices and licence words the text holds.
 
 A null text has no words, no labels and score 0. Repeated rows get the same result.
 """
@@ -37,8 +38,8 @@ TEMPLATES = [
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
 ]
-#: Licence words looked up in each text, the rarest first.
-RAREST = 16
+#: Places of mandatory words of each template that are looked up, the rarest first.
+ANCHORS = 2
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -72,17 +73,29 @@ def idf(docs: DataFrame, templates=TEMPLATES) -> dict[str, float]:
     return {w: round(math.log((total + 1) / (found.get(w, 0) + 1)) + 0.01, 6) for w in vocabulary}
 
 
-def _alignments(words: Column, present: Column, weight: dict[str, float], templates, rarest: int) -> Column:
-    """array<struct<label, score>> of the verified places of templates in a text."""
-    order = sorted(weight, key=lambda w: (-weight[w], w))  # the vocabulary from the rarest word on
-    anchors = F.slice(F.array_intersect(strings(order), present), 1, rarest)
+def key_at(notice: str, phrase: str) -> int:
+    """The word of the notice at which the phrase begins."""
+    return len(f" {notice} "[: f" {notice} ".index(f" {phrase} ")].split())
+
+
+def anchors(weight: dict[str, float], templates=TEMPLATES) -> dict[str, list[tuple[int, int]]]:
+    """Postings (template, position) of the rarest mandatory words of each template; a sole word stands twice."""
     index: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, notice, _) in enumerate(templates):
-        for k, w in enumerate(notice.split(" ")):
-            index.setdefault(w, []).append((t, k))
+    for t, (_, notice, keys) in enumerate(templates):
+        words = notice.split(" ")
+        spots = {k for p in keys for k in range(key_at(notice, p), key_at(notice, p) + len(p.split(" ")))}
+        rarest = sorted(spots, key=lambda k: (-weight[words[k]], k))
+        for k in (rarest * ANCHORS)[:ANCHORS]:
+            index.setdefault(words[k], []).append((t, k))
+    return index
+
+
+def _alignments(words: Column, present: Column, weight: dict[str, float], templates) -> Column:
+    """array<struct<label, score>> of the verified places of templates in a text."""
+    index = anchors(weight, templates)
     entries = (F.struct(F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for t, k in at))) for w, at in sorted(index.items()))
     postings = F.map_from_entries(F.array(*entries))
-    whole = F.array(*(F.struct(F.lit(label).alias("label"), F.array(*(F.struct(F.lit(w).alias("w"), F.lit(weight[w]).alias("idf")) for w in notice.split(" "))).alias("words"), F.array(*(F.struct(F.lit(f" {notice} ".index(f" {p} ") and len(f" {notice} "[: f" {notice} ".index(f" {p} ")].split())).alias("at"), strings(p.split(" ")).alias("words")) for p in keys)).alias("keys")) for label, notice, keys in templates))
+    whole = F.array(*(F.struct(F.lit(label).alias("label"), F.array(*(F.struct(F.lit(w).alias("w"), F.lit(weight[w]).alias("idf")) for w in notice.split(" "))).alias("words"), F.array(*(F.struct(F.lit(key_at(notice, p)).alias("at"), strings(p.split(" ")).alias("words")) for p in keys)).alias("keys")) for label, notice, keys in templates))
 
     def verified(starts: Column) -> Column:
         def score(s: Column) -> Column:
@@ -97,8 +110,7 @@ def _alignments(words: Column, present: Column, weight: dict[str, float], templa
         return F.filter(F.transform(starts, score), lambda r: r["score"].isNotNull())
 
     def proposed(hits: Column) -> Column:
-        twice = F.filter(hits, lambda h, j: (j > 0) & (h == F.get(hits, j - 1)))
-        return verified(F.array_distinct(twice))
+        return verified(F.filter(hits, lambda h, j: (j > 0) & (h == F.get(hits, j - 1))))  # ANCHORS hits at most, so once each
 
     def looked_up(chosen: Column) -> Column:
         numbered = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
@@ -106,10 +118,10 @@ def _alignments(words: Column, present: Column, weight: dict[str, float], templa
         hits = F.flatten(F.transform(met, lambda o: F.transform(F.element_at(postings, o["w"]), lambda p: F.struct(p["t"].alias("t"), (o["i"] - p["k"]).alias("start")))))
         return bind(F.sort_array(hits), proposed)
 
-    return bind(anchors, looked_up)
+    return bind(F.array_intersect(strings(sorted(index)), present), looked_up)
 
 
-def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, rarest: int = RAREST) -> DataFrame:
+def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of documents."""
     weight = idf(docs, templates)
     words, present = F.col("_words"), F.col("_present")
@@ -123,7 +135,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, rarest: int = RA
     base = F.concat(*(F.when(F.contains("_joined", F.lit(f" {p} ")), labelled(p, label)).otherwise(none) for p, label in phrases.items()))
     whole_keys = [sorted({w for p in keys for w in p.split(" ")}) for _, _, keys in templates]
     may = F.exists(F.array(*map(strings, whole_keys)), lambda k: F.size(F.array_except(k, present)) == 0)
-    found = F.when(may, _alignments(words, present, weight, templates, rarest)).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
+    found = F.when(may, _alignments(words, present, weight, templates)).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
     rows = rows.select("doc_id", F.size("_words").cast("long").alias("n_words"), base.alias("_base"), found.alias("_found"))
     at = F.transform("_base", lambda b: b["i"])
     names = F.transform("_base", lambda b: b["label"])

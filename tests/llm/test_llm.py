@@ -64,6 +64,17 @@ def test_licences(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_licences_of_several_notices(spark):
+    notices = [notice for _, notice, _ in licenses.TEMPLATES]
+    several = [notices[2], notices[12], notices[6], notices[14]]
+    texts = [" zz ".join(several), " zz ".join(notices), " zz ".join(notices[::-1] * 2), "", *notices]
+    got = licenses.scan(docs(spark, texts)).orderBy("doc_id").collect()
+    every = ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
+    assert [r.labels for r in got[:4]] == ["all-rights-reserved,bsd,cc-by-sa,mit", every, every, ""]
+    for r, (label, _, _) in zip(got[4:], licenses.TEMPLATES, strict=True):
+        assert label in r.labels.split(",") and r.score == 1
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
