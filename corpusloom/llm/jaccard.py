@@ -10,8 +10,10 @@ tree for each block: a pair at the threshold must share a shingle among the rare
 they stand in one order of all shingles, so each text goes to the blocks of those shingles, and nothing is lost. The
 order puts shingles of crowded hash buckets last (counted over all texts), so that common passages open no blocks.
 Equal sets are one class from the start. A block whose points all look alike first ties each point to a few others;
-in later turns, by finer groups, points of different components are tied again, and at last all that is left is looked
-up in full, so that no block lists all its pairs and no link between components is lost.
+in later turns, by finer groups, points of different components are tied again, to ever more partners, until no point
+of any block has partners left over. So no link between components is lost. Partners are cut while a tree is walked and
+pairs leave a task as they come: no turn holds all pairs of a block, and pairs within a component aren't listed again.
+The number of parts grows with the shingles; a block stands in one part, with a point for each of its classes.
 
 A text without words, or a null one, has an empty set and links with nothing. With fewer words than a shingle has, the
 whole sequence is the one shingle. Rows that share a doc_id are one document. A row without doc_id keeps a null
@@ -20,6 +22,9 @@ component and takes no part.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,10 +40,12 @@ BUCKETS = 1 << 20
 SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 #: Children of a node, and points of a block that one leaf holds.
 FANOUT, LEAF = 16, 64
-#: Partners of a point in a block that are listed before the block counts as crowded.
+#: Classes of a block beyond which its pairs are bounded block by block.
 CROWD = 6
-#: Partners that a point of a crowded block is tied to in a turn, and the turn that looks up all that is left.
-TIES, LAST = 12, 2
+#: Partners that a point of a block is tied to in the first two turns, and by how much each later turn multiplies them.
+TIES, WIDER = 12, 64
+#: Pairs that a task holds before it hands them on, leaf points looked at together, and rare shingles in a part.
+HELD, STRIDE, PART = 1 << 20, 1024, 1 << 20
 #: Shingles in a group of the points of crowded blocks: so few that hardly a pair below the threshold passes the bound.
 FINE = 0.25
 #: Bytes of points that are compared at a time.
@@ -127,42 +134,48 @@ class Tree:
             cuts = np.arange(0, len(high), FANOUT)
             self.levels.append((np.maximum.reduceat(high, cuts), np.minimum.reduceat(small, cuts), np.maximum.reduceat(large, cuts)))
 
-    def near(self, query: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Indices of the points that may be at the threshold with the query."""
-        at = np.arange(len(self.levels[-1][0]))
-        for k in range(len(self.levels) - 1, -1, -1):
+    def near(self, query: np.ndarray, size: int, percent: int, first: int, most: int, back: bool, groups: np.ndarray | None, group: int) -> np.ndarray:
+        """Indices, from first on and in other groups, of points that may be at the threshold with the query: all of
+        them, or more than most, from the end if back."""
+
+        def fits(k: int, at: np.ndarray) -> np.ndarray:
             high, small, large = (x[at] for x in self.levels[k])
-            fits = (100 * large >= percent * size) & (percent * small <= 100 * size)
+            passed = (100 * large >= percent * size) & (percent * small <= 100 * size)
             least = needed(np.maximum(small, -(-percent * size // 100)), np.int64(size), percent)
-            fits &= shared_at_most(query[None], high)[0] >= least
-            at = at[fits]
-            if k:
-                at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                at = at[at < len(self.levels[k - 1][0])]
-        return at
-
-
-def block_pairs(ids: np.ndarray, sizes: np.ndarray, points: list[bytes], groups: np.ndarray | None, percent: int, turn: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of a block (as places in it) that pass the bound (with groups, of different components), and whether the
-    block is crowded. In every turn but the LAST, a point with many partners is tied to a few of them, the first in an
-    order of all ids that depends on the turn, so that it meets the same few in most blocks."""
+            return passed & (shared_at_most(query[None], high)[0] >= least)
+
+        at = np.arange(first // FANOUT ** (len(self.levels) - 1), len(self.levels[-1][0]))
+        for k in range(len(self.levels) - 1, 0, -1):
+            at = (at[fits(k, at)][:, None] * FANOUT + np.arange(FANOUT)).ravel()
+            at = at[(at >= first // FANOUT ** (k - 1)) & (at < len(self.levels[k - 1][0]))]
+        if groups is not None:
+            at = at[groups[at] != group]
+        at = at[::-1] if back else at
+        found, n = [np.empty(0, np.int64)], 0
+        for x in range(0, len(at), STRIDE):
+            here = at[x : x + STRIDE]
+            found.append(here[fits(0, here)])
+            n += len(found[-1])
+            if n > most:
+                break
+        return np.concatenate(found)
+
+
+def partners(turn: int) -> int:
+    """Partners among those after it that a point of a block is tied to in a turn."""
+    return TIES * WIDER ** max(0, turn - 1)
+
+
+def block_pairs(ids: np.ndarray, sizes: np.ndarray, points: list[bytes], groups: np.ndarray | None, percent: int, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Pairs of a block (as places in it) that pass the bound (with groups, of different components), a lot at a time,
+    and whether a point of the lot has more partners than the turn ties. Even turns take partners from the end of the
+    block, so that all points meet the same few, odd ones the nearest in size."""
+    if groups is not None and (groups == groups[0]).all():
+        return
     order = np.lexsort((ids, sizes))
-    ids, sizes = ids[order], sizes[order]
     groups = None if groups is None else groups[order]
-    points = [points[k] for k in order]
-    i, j = (_leaf if len(ids) <= LEAF else _tree)(sizes, points, groups, percent)
-    crowded = False
-    if turn != LAST and len(i) > CROWD * len(ids) // 2:
-        many = np.bincount(np.concatenate((i, j)), minlength=len(ids)) > CROWD
-        tied = many[i] | many[j]
-        if tied.any():
-            crowded = True
-            one, two = np.concatenate((i[tied], j[tied])), np.concatenate((j[tied], i[tied]))
-            first = np.lexsort((_mixed(ids[two].view(np.uint64) ^ np.uint64(turn)), one))
-            one, two = one[first], two[first]
-            first = np.arange(len(one)) - np.searchsorted(one, one) < TIES
-            i, j = np.concatenate((i[~tied], one[first])), np.concatenate((j[~tied], two[first]))
-    return order[i], order[j], crowded
+    for i, j, crowded in (_leaf if len(ids) <= LEAF else _tree)(sizes[order], [points[k] for k in order], groups, percent, partners(turn), turn % 2 == 0):
+        yield order[i], order[j], crowded
 
 
 def bounded(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, points: list[bytes], percent: int) -> np.ndarray:
@@ -181,14 +194,16 @@ def bounded(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, points: list[bytes]
     return passed
 
 
-def _leaf(sizes: np.ndarray, points: list[bytes], groups: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _leaf(sizes: np.ndarray, points: list[bytes], groups: np.ndarray | None, percent: int, most: int, back: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Index pairs of a block of one leaf that pass the bound: sizes first, then counts."""
     fits = np.triu(100 * sizes[:, None] >= percent * sizes[None, :], 1)
     if groups is not None:
         fits &= groups[:, None] != groups[None, :]
     i, j = np.nonzero(fits)
     passed = bounded(i, j, sizes, points, percent)
-    return i[passed], j[passed]
+    i, j = i[passed], j[passed]
+    place = np.searchsorted(i, i, "right") - 1 - np.arange(len(i)) if back else np.arange(len(i)) - np.searchsorted(i, i)
+    yield i[place < most], j[place < most], bool((place >= most).any())
 
 
 def small_pairs(rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, points: list[bytes], groups: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,29 +226,35 @@ def small_pairs(rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray, sizes
     return i[passed], j[passed]
 
 
-def _tree(sizes: np.ndarray, points: list[bytes], groups: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _tree(sizes: np.ndarray, points: list[bytes], groups: np.ndarray | None, percent: int, most: int, back: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Index pairs of a large block that pass the bound, by a tree for each width of points."""
     widths = np.array([len(p) for p in points])
-    trees: dict[tuple[int, int], tuple[np.ndarray, Tree]] = {}
+    trees: dict[tuple[int, int], tuple[np.ndarray, np.ndarray | None, Tree]] = {}
     for v in map(int, np.unique(widths)):
         own = np.flatnonzero(widths == v)
         stack = np.frombuffer(b"".join(points[k] for k in own), np.uint8).reshape(len(own), v)
         for w in (v, v // 2):
-            trees[w, v] = own, Tree(folded(stack, w), sizes[own])
-    ones, twos = [], []
+            trees[w, v] = own, None if groups is None else groups[own], Tree(folded(stack, w), sizes[own])
+    ones, twos, held, crowded = [], [], 0, False
     for i in range(len(sizes)):  # sizes grow along the order: partners stand later, in as wide points or twice as wide
         w = len(points[i])
         query = np.frombuffer(points[i], np.uint8)
-        for v in (w, 2 * w):
+        left = most
+        for v in (2 * w, w) if back else (w, 2 * w):
             if (w, v) in trees:
-                own, tree = trees[w, v]
-                hits = own[tree.near(query, int(sizes[i]), percent)]
-                hits = hits[hits > i]
-                if groups is not None:
-                    hits = hits[groups[hits] != groups[i]]
+                own, group, tree = trees[w, v]
+                near = tree.near(query, int(sizes[i]), percent, int(np.searchsorted(own, i, "right")), left, back, group, 0 if groups is None else groups[i])
+                hits = own[near[: left + 1]]
+                crowded |= len(hits) > left
+                hits = hits[:left]
+                left -= len(hits)
                 ones.append(np.full(len(hits), i))
                 twos.append(hits)
-    return np.concatenate(ones), np.concatenate(twos)
+                held += len(hits)
+        if held > HELD:
+            yield np.concatenate(ones), np.concatenate(twos), crowded
+            ones, twos, held = [], [], 0
+    yield np.concatenate([np.empty(0, np.int64), *ones]), np.concatenate([np.empty(0, np.int64), *twos]), crowded
 
 
 def _packed(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -346,9 +367,14 @@ def shared_keys(posts: DataFrame) -> DataFrame:
 
 def candidates(blocks: DataFrame, percent: int, turn: int = 0) -> DataFrame:
     """From rows part, cid, keys, n, vec (and group): pairs (a, b) that pass the bound, and part, cid, keys of crowded blocks."""
-    names = ["a", "b", "part", "cid", "keys"]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("cid", pa.int64()), ("keys", pa.binary())])
+
+    def rows_of(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-    def search(table: pa.Table) -> pa.Table:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         cid, n = table.column("cid").to_numpy(), table.column("n").to_numpy()
         group = table.column("group").to_numpy() if turn else None
         vec, blobs = table.column("vec").to_pylist(), table.column("keys").to_pylist()
@@ -360,22 +386,32 @@ def candidates(blocks: DataFrame, percent: int, turn: int = 0) -> DataFrame:
         lengths = np.diff(np.append(starts, len(key)))
         small = (lengths > 1) & (lengths <= CROWD + 1)
         ones, twos = ([x] for x in small_pairs(rows, starts[small], lengths[small], n, vec, group, percent))
+
+        def flush() -> pa.RecordBatch:
+            one, two = cid[np.concatenate(ones)], cid[np.concatenate(twos)]
+            pair = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0)
+            return rows_of(a=pair[:, 0], b=pair[:, 1])
+
+        held = 0
         kept: list[np.ndarray] = []
         for a, k in zip(starts[lengths > CROWD + 1].tolist(), lengths[lengths > CROWD + 1].tolist(), strict=True):
             own = rows[a : a + k]
-            i, j, crowded = block_pairs(cid[own], n[own], [vec[x] for x in own], group[own] if turn else None, percent, turn)
-            ones.append(own[i])
-            twos.append(own[j])
+            crowded = False
+            for i, j, cut in block_pairs(cid[own], n[own], [vec[x] for x in own], group[own] if turn else None, percent, turn):
+                crowded |= cut
+                ones.append(own[i])
+                twos.append(own[j])
+                held += len(i)
+                if held > HELD:
+                    yield flush()
+                    ones, twos, held = [], [], 0
             if crowded:
                 kept.append(np.arange(a, a + k))
-        one, two = cid[np.concatenate(ones)], cid[np.concatenate(twos)]
-        pair = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0)
+        if ones:
+            yield flush()
         rest = np.concatenate(kept) if kept else np.empty(0, np.int64)
         owner, keys = _packed(key[rest], rows[rest])
-        part = pa.array(np.full(len(owner), table.column("part")[0].as_py(), np.int32))
-        ends = [pa.concat_arrays([pa.array(pair[:, x]), pa.nulls(len(owner), pa.int64())]) for x in (0, 1)]
-        crowd = [pa.concat_arrays([pa.nulls(len(pair), x.type), x]) for x in (part, pa.array(cid[owner]), pa.array(keys, pa.binary()))]
-        return pa.table([*ends, *crowd], names)
+        yield rows_of(part=np.full(len(owner), table.column("part")[0].as_py(), np.int32), cid=cid[owner], keys=keys)
 
     return blocks.groupBy("part").applyInArrow(search, "a long, b long, part int, cid long, keys binary")
 
@@ -427,8 +463,9 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     """doc_id, n_shingles, component_id for every row of documents."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows, counts = marks(docs, size)
+    rare = (rows.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100  # about as many postings
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rare // PART))
     real = rows.where("doc_id is not null and cid is not null")
     classes = materialise(real.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.count("*").alias("copies")), "classes")
     own = docs.where("doc_id is not null")
@@ -436,7 +473,7 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     found = materialise(candidates(keys.join(classes.select("cid", "n", "vec"), "cid"), percent), "candidates")
     pairs = found.where("a is not null").select("a", "b").distinct()
     links = materialise(verified(docs, classes, pairs, size, percent), "verified")
-    for turn in range(1, LAST + 1):
+    for turn in itertools.count(1):  # ends: a turn ties more partners than any block has points at last
         crowd = found.where("a is null").select("part", "cid", "keys")
         if crowd.isEmpty():
             break

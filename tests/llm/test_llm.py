@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -109,6 +110,40 @@ def test_jaccard_equals_brute_force(spark):
     assert [r.component_id for r in got] == low
 
 
+def crowded_block(k, groups):
+    rng = np.random.default_rng(7)
+    points = [np.maximum(p, 8).astype(np.uint8).tobytes() for p in rng.integers(0, 10, (k, 8))]
+    return rng.permutation(k).astype(np.int64), np.full(k, 72), points, groups, 75
+
+
+def test_a_crowded_block_never_holds_all_its_pairs():
+    k = 3000  # k * (k - 1) / 2 pairs pass the bound: 72 MB as indices
+    for turn, groups in ((0, None), (1, np.arange(k) % 50)):
+        block = crowded_block(k, groups)
+        tracemalloc.start()
+        i, j, crowded = map(list, zip(*jaccard.block_pairs(*block, turn), strict=True))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert k <= sum(map(len, i)) <= jaccard.TIES * k and any(crowded) and most < 16e6
+    assert list(jaccard.block_pairs(*crowded_block(k, np.zeros(k, np.int64)), 2)) == []
+
+
+def test_turns_list_all_pairs_of_a_block_at_last(monkeypatch):
+    for name, value in (("TIES", 1), ("WIDER", 2), ("HELD", 64)):
+        monkeypatch.setattr(jaccard, name, value)
+    for k in (40, 300):  # a leaf and a tree
+        groups = np.arange(k) % 7
+        found, turn, crowded = set(), 1, True
+        while crowded:
+            crowded = False
+            for i, j, cut in jaccard.block_pairs(*crowded_block(k, groups), turn):
+                assert len(i) <= 64 + k or k == 40
+                found |= set(map(tuple, np.sort(np.stack([i, j], 1)).tolist()))
+                crowded |= cut
+            turn += 1
+        assert turn > 3 and found == {(a, b) for b in range(k) for a in range(b) if groups[a] != groups[b]}
+
+
 def test_packing_is_gapless_and_tight(spark):
     rng = np.random.default_rng(1)
     sizes = [int(x) for x in rng.integers(1, 65, 900)] + [30] * 300
