@@ -132,12 +132,12 @@ def even_frames(spark, sf_dir):
 
 
 def _videos(spark, sf_dir):
-    """Documents as videos: each third sentence is a cue, each twentieth begins a chapter."""
+    """Documents as videos: each sentence is a cue, each twentieth begins a chapter."""
     docs = table(spark, sf_dir, "documents").withColumn("s", T.sentences(T.stripped(F.col("text"))))
-    third = F.filter(F.transform("s", lambda x, i: F.struct((i * 5.0).alias("start"), x.alias("text"))), lambda c: c["start"] % 15 == 0)
+    cues = F.transform("s", lambda x, i: F.struct((i * 5.0).alias("start"), x.alias("text")))
     none = F.array().cast("array<string>")
     firsts = F.filter(F.transform("s", lambda x, i: F.struct(i.alias("i"), x.alias("title"), F.get(F.col("s"), i + 1).alias("summary"), none.alias("points"))), lambda c: c["i"] % 20 == 0)
-    return docs.select("doc_id", third.alias("cues"), firsts.alias("sections"), (F.size("s") * 5.0).alias("duration"))
+    return docs.select("doc_id", cues.alias("cues"), firsts.alias("sections"), (F.size("s") * 5.0).alias("duration"))
 
 
 def chapter_times(spark, sf_dir):

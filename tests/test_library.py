@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import titles
 from corpusloom.operators import matching, timing, upkeep
+from corpusloom.plans import library
 from corpusloom.streaming.ingest import ingest
 
 TITLES = {
@@ -57,6 +58,17 @@ def test_chapter_times(spark):
     assert got[3] == [(0.0, 15.0, "allocated", 1.0), (15.0, 30.0, "allocated", 0.0)]
 
 
+def test_videos_hold_every_sentence(spark, tmp_path):
+    said = [f"Sentence {w} tells of {w} matters." for w in ("alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima mike november oscar papa quebec romeo sierra tango uniform victor whiskey").split()]
+    texts = [(1, " ".join(said)), (2, "Only one."), (3, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.transcript for r in library.marked_transcripts(spark, str(tmp_path)).collect()}
+    marked = [f"[{5 * k // 60:02d}:{5 * k % 60:02d}] {x}" if k % 7 == 0 else x for k, x in enumerate(said)]  # 6 words each
+    assert got == {1: " ".join(marked), 2: "[00:00] Only one.", 3: ""}
+    times = [tuple(r) for r in library.chapter_times(spark, str(tmp_path)).where("doc_id = 1").orderBy("chapter").collect()]
+    assert times == [(1, 0, 0.0, 100.0, "matched", 1.0), (1, 1, 100.0, 115.0, "matched", times[1][5])]
+
+
 def test_names_against_brute_force(spark):
     known = ["Kyla Scan", "robert willis", "philosophy minis", "Ann", "Bo", "économie", "The Long History", "longhistory the"]
     incoming = ["Kyla Scan", "kylascan", "kyla scann", "Robert Wilis", "philosophyminis!", "an", "b o", "The Log History", "zebra", "", None]
