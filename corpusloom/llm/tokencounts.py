@@ -3,7 +3,8 @@
 The state is a table of counts by document and tokenizer version, and additive totals by source, language and version.
 A batch of changes (insert, revise, delete) becomes signed deltas against the state: what the document counted before
 is taken off, what it counts now is added. Totals change by the sums of deltas alone. Each batch is one commit, a
-folder of its own written under the batch's name and read by later ones; a batch that was committed before changes nothing.
+folder of its own written under the batch's name and read by later ones, and counts once its marker stands in the log
+of commits, which a new driver reads; a batch that was committed before changes nothing.
 
 Within a batch the last change of a document and version (by seq) holds. Deletes and revisions of unknown documents
 count as nothing and as inserts. Null sources and languages are values of their own; a change without doc_id is not
@@ -12,6 +13,7 @@ applied. Documents with repeated ids are one document, their smallest text count
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from corpusloom.llm.common import shared_dir
 KEYS = ["source", "lang", "version"]
 STATE = "doc_id long, source string, lang string, version string, n_tokens long"
 TOTALS = "source string, lang string, version string, n_docs long, n_tokens long"
+LOG = "seq long, batch string"
 
 #: Tokenizer versions: each counts the tokens of a text by a Column.
 WHITESPACE = r"[^\x20\x09-\x0D]+"
@@ -32,13 +35,26 @@ def counted(text: Column, version: str) -> Column:
 
 
 class Rollup:
-    """Totals in the shared folder, as a chain of committed batches."""
+    """Totals in the shared folder, as a chain of committed batches. One writer at a time; a new object goes on where
+    the log of commits ends."""
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}"
-        self.commits: list[str] = []
+        self.log = f"{self.path}.commits"  # beside the folders that batches name
+        self.commits = self._logged()
         self.state = spark.createDataFrame([], STATE)
         self.totals = spark.createDataFrame([], TOTALS)
+        if self.commits:
+            self._open(self.commits[-1])
+
+    def _logged(self) -> list[str]:
+        """Names of the committed batches in their order."""
+        try:
+            return [r.batch for r in self.spark.read.schema(LOG).parquet(self.log).orderBy("seq").collect()]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
 
     def _open(self, batch: str) -> None:
         self.state = self.spark.read.schema(STATE).parquet(f"{self.path}/{batch}/state")
@@ -61,7 +77,10 @@ class Rollup:
         delta = delta.select("d.v.source", "d.v.lang", "version", F.col("d.sign").cast("long").alias("n_docs"), (F.col("d.sign") * F.col("d.v.n_tokens")).alias("n_tokens"))
         totals = self.totals.union(delta).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
         totals.write.mode("overwrite").parquet(f"{self.path}/{batch}/totals")
-        self.commits.append(batch)  # both tables are whole: the batch counts from here on
+        # both tables are whole: with its marker, one row in a file, the batch counts from here on
+        marker = self.spark.range(0, 1, 1, 1).select(F.lit(len(self.commits)).cast("long").alias("seq"), F.lit(batch).alias("batch"))
+        marker.write.mode("append").parquet(self.log)
+        self.commits.append(batch)
         self._open(batch)
         return True
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import tracemalloc
+import uuid
 
 import numpy as np
 import pytest
@@ -228,6 +229,24 @@ def test_rollup_is_idempotent(spark):
     assert told() == [("", 1, 1)]
 
 
+def test_rollup_knows_commits_after_a_restart(spark):
+    name = f"test-restart-{uuid.uuid4().hex}"
+    d = spark.createDataFrame([(1, "a b", "en", "s", 3), (2, "c", "en", None, 1)], DOCS)
+    first, second = (tokencounts.changes(d.where(f"doc_id = {k}"), ["words-1"], "insert", k) for k in (1, 2))
+    told = lambda roll: sorted((r.source or "", r.n_docs, r.n_tokens) for r in roll.totals.collect())
+    roll = tokencounts.Rollup(spark, name)
+    assert roll.apply("one", first) and roll.apply("two", second)
+    again = tokencounts.Rollup(spark, name)
+    assert not again.apply("two", second) and not again.apply("one", first)
+    assert told(again) == [("", 1, 1), ("s", 1, 2)]
+    assert again.apply("three", tokencounts.changes(d.where("doc_id = 1"), ["words-1"], "delete", 3))
+    # tables without a marker are no commit: the batch is applied when it comes again
+    spark.createDataFrame([], tokencounts.STATE).write.parquet(f"{again.path}/four/state")
+    last = tokencounts.Rollup(spark, name)
+    assert told(last) == [("", 1, 1)] and last.commits == ["one", "two", "three"]
+    assert last.apply("four", first) and told(last) == [("", 1, 1), ("s", 1, 2)]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 1), (7, 7), (None, 2)], "a long, b long")
     assert sorted(map(tuple, components(e).collect())) == [(1, 1), (3, 1), (4, 1), (5, 1), (8, 8), (9, 8)]
