@@ -14,6 +14,7 @@ in later turns, by finer groups, points of different components are tied again,
 of any block has partners left over. So no link between components is lost. Partners are cut while a tree is walked and
 pairs leave a task as they come: no turn holds all pairs of a block, and pairs within a component aren't listed again.
 The number of parts grows with the shingles; a block stands in one part, with a point for each of its classes.
+The result is components: links within a component are looked up only as far as they are needed to find it.
 
 A text without words, or a null one, has an empty set and links with nothing. With fewer words than a shingle has, the
 whole sequence is the one shingle. Rows that share a doc_id are one document. A row without doc_id keeps a null
