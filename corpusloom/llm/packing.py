@@ -7,7 +7,10 @@ sweep gives the pieces of each length, the longest first, the smallest gaps that
 the lower rank goes first; then gaps are updated, and the next round begins. Lengths come in classes (halves of the
 capacity, quarters, ...), as best-fit decreasing takes them; where nothing fits, new sequences are opened.
 
-A null text is empty: a piece with the end token alone. Repeated rows are packed one by one.
+A null text is empty: a piece with the end token alone. Repeated rows and ids are packed one by one, pieces of one
+length in an order that their hash and id decide. Texts may be of any length; those with a very long run of one kind
+of character are encoded by this library's own BPE. An empty table gives no rows, and columns beside doc_id and text
+play no part.
 """
 
 from __future__ import annotations
@@ -19,14 +22,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from corpusloom.llm.bpe import byte_letters
+from corpusloom.llm import bpe
+from corpusloom.llm.bpe import BYTE_PATTERN, byte_letters
 from corpusloom.llm.common import materialise, ranked
 
 CAPACITY, END = 1024, 2
+#: Runs of one kind of character so long that tiktoken gives up on them or takes the square of their length.
+LONG_RUN = 4096
+RUN = regex.compile("|".join(rf"{kind}{{{LONG_RUN}}}" for kind in (r"\s", r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]")))
 
 
 @lru_cache(maxsize=2)
@@ -39,8 +47,15 @@ def tokenizer(path: str):
     back = {c: b for b, c in byte_letters().items()}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(map(back.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special), set(special)
+    return tiktoken.Encoding("file", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens=special), set(special)
+
+
+def token_ids(text: str | None, path: str) -> np.ndarray:
+    """The ids of a whole text."""
+    coder, special = tokenizer(path)
+    if text and len(text) >= LONG_RUN and RUN.search(text):
+        return np.frombuffer(bpe.load(path).encode_bytes(text), np.int32).astype(np.uint32)
+    return np.asarray(coder.encode_to_numpy(text or "", allowed_special=special, disallowed_special=()), np.uint32)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -49,12 +64,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
 
     def cut(batches):
-        coder, special = tokenizer(path)
         for rows in batches:
             which: list[int] = []
             out: dict[str, list] = {n: [] for n, _ in fields}
             for k, text in enumerate(rows.column("text").to_pylist()):
-                ids = np.append(np.asarray(coder.encode_to_numpy(text or "", allowed_special=special, disallowed_special=()), np.uint32), np.uint32(end)).astype("<u4")
+                ids = np.append(token_ids(text, path), np.uint32(end)).astype("<u4")
                 at, n = 0, len(ids)
                 while at < n:
                     size = (n - at) % capacity or capacity
