@@ -7,8 +7,10 @@ audited against a full scan of the shard, and the beam is doubled until the audi
 answers). Links are verified by cosine in double precision. A task returns one row for each vector, its number of links
 and the smallest vector joined to it there, never the pairs; components are joined up over these rows.
 
-Vectors that are null, zero or hold null or non-finite components, and those without label, link with nothing. Rows that
-share a vec_id are one vector (the smallest label and values count). A null vec_id comes back with no links.
+Vectors that are null, zero or hold null or non-finite components, and those without label, link with nothing. Vectors
+of different lengths are not compared. Rows that share a vec_id are vectors of their own: each comes back, and they link
+with each other as any two do. A row with a null vec_id comes back with no links. An empty table gives no rows; other
+columns play no part.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ LEAST = 0.98
 SHARD = 8192
 #: Neighbours kept for a vector (twice as many on the ground layer), the beam of building, the first and the widest beam of queries.
 NEIGHBOURS, BUILD_BEAM, FIRST_BEAM, WIDEST = 12, 40, 16, 512
-#: Audited queries of each shard, and the recall that they must reach.
-AUDITED, RECALL = 64, 0.995
+#: Queries of each shard pair that are audited: as many as hold so many links to other vectors, but at most so many; and
+#: the recall that they must reach. Where hardly a link is met, the beam starts wide.
+LINKS, AUDITED, RECALL, UNSURE = 64, 1024, 0.995, 64
 
 
 class Graph:
@@ -132,18 +135,37 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
 
 
+def audited(points: np.ndarray, target: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled queries and their true links by a full scan, without those of a vector to itself."""
+    order, truth, met = np.random.default_rng(11).permutation(len(points)), [], 0
+    for a in range(0, min(AUDITED, len(order)), 64):
+        own = order[a : min(a + 64, AUDITED)]
+        links = points[own] @ target.T >= least
+        if points is target:
+            links[np.arange(len(own)), own] = False
+        truth.append(links)
+        met += int(links.sum())
+        if met >= LINKS:
+            break
+    return order[: sum(map(len, truth))], np.concatenate(truth)
+
+
+def recall(found: np.ndarray, truth: np.ndarray) -> float:
+    """The share of true links that were found; 1 if there are none."""
+    return float((found & truth).sum() / truth.sum()) if truth.any() else 1.0
+
+
 def search(points: np.ndarray, graph: Graph, target: np.ndarray, least: float) -> np.ndarray:
     """Boolean table of the links of points to the vectors of a graph, verified in double precision."""
     loose = least - 1e-4  # of single precision; what is found is verified
     queries = points.astype(np.float32)
     found = np.zeros((len(points), len(target)), bool)
-    audit = np.random.default_rng(11).permutation(len(points))[:AUDITED]
-    truth = points[audit] @ target.T >= least
-    width = FIRST_BEAM
+    audit, truth = audited(points, target, least)
+    width = FIRST_BEAM if truth.sum() >= LINKS else UNSURE
     while width <= WIDEST:
-        for k, i in enumerate(audit):
+        for i in audit:
             found[i, graph.links(queries[i], width, loose)] = True
-        if (found[audit] & truth).sum() >= RECALL * truth.sum():
+        if recall(found[audit], truth) >= RECALL:
             break
         width *= 2
     for a in range(0, len(points), 256):
@@ -174,9 +196,9 @@ def smallest_joined(found: np.ndarray) -> np.ndarray:
 
 
 def build(table: pa.Table) -> pa.Table:
-    """The shard's graph with its ids and vectors, as one row."""
-    order = np.argsort(table.column("vec_id").to_numpy())
-    ids = table.column("vec_id").to_numpy()[order]
+    """The shard's graph with its nodes and vectors, as one row."""
+    order = np.argsort(table.column("node").to_numpy())
+    ids = table.column("node").to_numpy()[order]
     flat = table.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64)
     vectors = unit(flat.reshape(len(ids), -1)[order])
     graph = Graph(vectors)
@@ -185,7 +207,7 @@ def build(table: pa.Table) -> pa.Table:
 
 
 def compare(table: pa.Table, least: float) -> pa.Table:
-    """One row for each vector of a shard pair: vec_id, its links here, the smallest vector joined to it here."""
+    """One row for each vector of a shard pair: node, its links here, the smallest node joined to it here."""
     row = table.to_pylist()[0]
     ids, vectors, graph = pickle.loads(row["blob"])
     if row["shard"] == row["other"]:
@@ -212,29 +234,32 @@ def compare(table: pa.Table, least: float) -> pa.Table:
                 break
             lab = low
         root = ids[lab]
-    return pa.table({"vec_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "root": pa.array(root, pa.int64())})
+    return pa.table({"node": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "root": pa.array(root, pa.int64())})
 
 
 def links(vectors: DataFrame, least: float = LEAST, shard: int = SHARD) -> DataFrame:
     """vec_id, n_links, component_id, kept for each vector of (vec_id, embedding, label)."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), "label")
-    lost = rows.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    rows = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("r")).select("vec_id", "r.label", "r.embedding")
-    rows = materialise(rows, "vectors")
+    # written once, so that the numbers of rows stay: rows that share a vec_id are told apart by them
+    rows = materialise(rows.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    named = rows.where("vec_id is not null")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = rows.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)).withColumn("dim", F.size("embedding"))
+    good = named.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)).withColumn("dim", F.size("embedding"))
     sizes = good.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).alias("shards"))
-    good = good.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int")).drop("shards")
+    good = good.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), "shards").cast("int")).drop("shards", "vec_id")
     kind = good.schema["label"].dataType.simpleString()
     graphs = materialise(good.groupBy("label", "dim", "shard").applyInArrow(build, f"label {kind}, dim int, shard int, blob binary"), "graphs")
     other = graphs.withColumnsRenamed({"shard": "other", "blob": "blob2"})
     pairs = graphs.join(other, ["label", "dim"]).where("shard <= other")
     # a graph meets itself without a second copy
     pairs = pairs.withColumn("blob2", F.when(F.col("shard") < F.col("other"), F.col("blob2")))
-    found = pairs.groupBy("label", "dim", "shard", "other").applyInArrow(lambda t: compare(t, least), "vec_id long, n long, root long")
+    found = pairs.groupBy("label", "dim", "shard", "other").applyInArrow(lambda t: compare(t, least), "node long, n long, root long")
     found = materialise(found, "links")
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    nodes = components(found.where("root <> vec_id"), "vec_id", "root").withColumnRenamed("node", "vec_id")
-    out = rows.select("vec_id").join(counts, "vec_id", "left").join(nodes, "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept")).union(lost)
+    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
+    joined = components(found.where("root <> node"), "node", "root")
+    names = rows.select("node", "vec_id")
+    first = joined.join(names, "node").groupBy("component").agg(F.min("vec_id").alias("first"))
+    component = joined.join(first, "component").select("node", "first")
+    out = names.join(counts, "node", "left").join(component, "node", "left")
+    first = F.coalesce("first", "vec_id")
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), first.alias("component_id"), F.coalesce(F.col("vec_id") == first, F.lit(True)).alias("kept"))
