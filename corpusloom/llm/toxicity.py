@@ -1,13 +1,16 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons (a seed list, and words, stems and endings found among the training rows) and patterns. A generative
-label model estimates by expectation maximisation how often each voter fires on toxic and on clean texts and, from
-what is left unexplained, how the voters hang together; voters that say the same count less. Its posterior labels train
-a linear classifier that scores every whole text.
+Voters are lexicons (a seed list, and words, stems and endings found among the training rows), patterns, the absence of
+any lexicon word, and the marks that people gave, which are one noisy voter of many. A voter that does not fire abstains.
+A generative label model starts from the agreement of the voters and estimates by expectation maximisation how often
+each is right when it fires and, from what the classes leave unexplained, how the voters hang together; voters that say
+the same count less. Its posterior labels train a linear classifier that scores every whole text.
 
 Labels are read only for training rows, at most TRAIN_ROWS of them. Scores depend on the text alone: null and empty
-texts get the score of a text without any feature; repeated rows score alike. With no labelled rows the seed lexicon
-alone decides.
+texts get the score of a text without any feature; repeated rows score alike, a score of 0.5 counts as toxic, texts may
+be of any length. Rows without labels and labels without rows play no part; of several labels of one document the
+largest holds. With no labelled rows the seed lexicon alone decides. An empty table gives no rows. scores() reads no
+other columns, keep() passes them on under any name.
 """
 
 from __future__ import annotations
@@ -24,11 +27,15 @@ from pyspark.sql.pandas.functions import arrow_udf
 
 #: Bound of the training sample: the labelled rows of smallest hash.
 TRAIN_ROWS = 20_000
-#: Features of the classifier, and those of them that vote by themselves.
-FEATURES, VOTERS = 600, 80
+#: The least share of toxic rows among those with a lexicon feature.
+PRECISE = 0.7
+#: How often a voter is taken to be right at the start (the share of toxic rows where it fires): lexicons, patterns, no
+#: lexicon word, a toxic mark, a clean mark; and for how many rows this guess counts.
+START, GUESS = {"lexicon": 0.9, "pattern": 0.3, "none": 0.03, "marked": 0.8, "cleared": 0.03}, 2.0
 #: Words of insult that start the label model.
 SEED = "idiot idiots moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown fool jerk imbecile".split()
 WORD = re.compile(r"[^\W\d_]{3,}")
+LETTER = re.compile(r"[^\W\d_]")
 #: Words kept with their features for each Python worker.
 KEPT_WORDS = 300_000
 
@@ -46,9 +53,9 @@ def words_of(text: str | None) -> set[str]:
 def patterns(text: str | None) -> list[bool]:
     """Pattern voters: shouting, repeated marks, address of a reader, symbols in words, a very short text."""
     text = text or ""
-    letters = sum(c.isalpha() for c in text[:2000])
+    letters = len(LETTER.findall(text))
     return [
-        letters > 20 and sum(c.isupper() for c in text[:2000]) > 0.5 * letters,
+        letters > 20 and sum(map(str.isupper, text)) > 0.5 * letters,
         "!!" in text or "??" in text,
         re.search(r"\byou(?:'re| are)\b", text, re.I) is not None,
         re.search(r"\w[*$#@]{2,}", text) is not None,
@@ -69,8 +76,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
-def candidates(train: DataFrame, most: int = FEATURES) -> list[str]:
-    """The features with the largest log-likelihood ratio among those that point to toxic texts."""
+def candidates(train: DataFrame) -> list[str]:
+    """The features that point to toxic texts beyond chance, by their log-likelihood ratio."""
 
     def count(batches):
         for rows in batches:
@@ -92,45 +99,49 @@ def candidates(train: DataFrame, most: int = FEATURES) -> list[str]:
     ratio = log(F.col("t"), F.col("n") * base) + log(F.col("n") - F.col("t"), F.col("n") * (1 - base))
     # so far above chance that none of the features tried should get there by it
     tried = sums.where("n >= 3").count()
-    good = sums.where((F.col("t") >= 3) & (F.col("t") > 2 * base * F.col("n")) & (ratio > float(np.log(tried + 1) + 2)))
-    return [r.f for r in good.orderBy(ratio.desc(), "f").limit(most).collect()]
+    good = sums.where((F.col("t") >= 3) & (F.col("t") > 2 * base * F.col("n")) & (F.col("t") >= PRECISE * F.col("n")) & (ratio > float(np.log(tried + 1) + 2)))
+    return [r.f for r in good.orderBy(ratio.desc(), "f").collect()]  # of at most TRAIN_ROWS texts
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Posterior of a toxic label for each row of 0/1 votes, and the model: how often each voter fires on toxic and on
-    clean texts, the correlations of voters within a class, and the share of its evidence that each voter keeps."""
-    post = np.clip(start.astype(float), 0.02, 0.98)
-    keep = np.ones(votes.shape[1])
-    for _ in range(rounds):
-        prior = np.clip(post.mean(), 1e-4, 0.9)
-        fire = np.array([(w @ votes + 0.05 * (k + 1)) / (w.sum() + 1) for k, w in ((1, post), (0, 1 - post))])
-        fire = np.clip(fire, 1e-4, 1 - 1e-4)
-        # what a voter's vote leaves unexplained by the class; correlated remainders are the same evidence twice
-        rest = votes - (post[:, None] * fire[0] + (1 - post)[:, None] * fire[1])
-        scale = np.sqrt((rest**2).mean(0)) + 1e-9
-        together = (rest.T @ rest) / len(votes) / np.outer(scale, scale)
-        alike = np.clip(together, 0, 1)
-        alike[alike < 0.2] = 0
-        np.fill_diagonal(alike, 1)
-        keep = 1 / alike.sum(0)
-        on, off = np.log(fire[0] / fire[1]), np.log((1 - fire[0]) / (1 - fire[1]))
-        odds = np.log(prior / (1 - prior)) + votes @ (keep * on) + (1 - votes) @ (keep * off)
+    """Posterior of a toxic label for each row of 0/1 votes (0 abstains), and the model: the share of toxic rows where
+    each voter fires, the correlations of voters within a class, and the share of its evidence that each voter keeps.
+
+    start: what that share is taken to be before the first round."""
+    logit = lambda p: np.log(p / (1 - p))
+    votes = votes.astype(np.float32)
+    fired, right, keep, post = votes.sum(0), start.astype(float), np.ones(votes.shape[1]), None
+    prior = float(np.clip(((votes @ right) / np.maximum(votes.sum(1), 1)).mean(), 0.01, 0.5))
+    together = np.eye(votes.shape[1])
+    for turn in range(rounds):
+        odds = logit(prior) + votes @ (keep * (logit(right) - logit(prior)))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        settled, post = np.abs(new - post).max() < 1e-4, new
+        settled, post = post is not None and np.abs(new - post).max() < 1e-4, new
         if settled:
             break
-    return post, {"fire": fire, "correlation": together, "keep": keep, "prior": np.array(prior)}
+        prior = float(np.clip(post.mean(), 1e-3, 0.9))
+        right = np.clip((post @ votes + GUESS * start) / (fired + GUESS), 1e-3, 1 - 1e-3)
+        if turn < 3:  # what a voter's vote leaves unexplained by the class; correlated remainders are the same evidence twice
+            by_class = [(w @ votes) / max(w.sum(), 1e-9) for w in (post, 1 - post)]
+            rest = votes - np.outer(post, by_class[0]).astype(np.float32) - np.outer(1 - post, by_class[1]).astype(np.float32)
+            scale = np.sqrt((rest**2).mean(0)) + 1e-9
+            together = (rest.T @ rest) / len(votes) / np.outer(scale, scale)
+            alike = np.clip(together, 0, 1)
+            alike[alike < 0.2] = 0
+            np.fill_diagonal(alike, 1)
+            keep = 1 / alike.sum(0)
+    return post, {"right": right, "correlation": together, "keep": keep, "prior": np.array(prior)}
 
 
 def linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
     """Weights (the last is the intercept) of a logistic regression on soft labels, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, pull = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     pull[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (y - p) - pull * w
-        bend = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(pull)
+        bend = ((x * (p * (1 - p) + 1e-6)[:, None].astype(x.dtype)).T @ x).astype(float) + np.diag(pull)
         step = np.linalg.solve(bend, slope)
         w = w + step
         if np.abs(step).max() < 1e-6:
@@ -158,12 +169,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> dict:
     x = np.zeros((len(rows), len(names)), np.float32)
     for i, r in enumerate(rows):
         x[i, r.found] = 1
-    gold = np.array([r.label for r in rows], float)
-    # the marks themselves vote too: the model estimates how far they can be trusted
-    votes = np.hstack([x[:, :VOTERS], np.array([r.signs for r in rows], float), x.max(1, keepdims=True), gold[:, None]]).astype(float)
-    post, _ = label_model(votes, gold)
-    w = linear(x.astype(float), post)
-    return {"weights": {f: float(v) for f, v in zip(names, w, strict=False) if abs(v) > 1e-6}, "intercept": float(w[-1])}
+    # features that stand in the same rows are one voter
+    _, firsts, voter = np.unique(np.packbits(x.astype(bool), axis=0), axis=1, return_index=True, return_inverse=True)
+    x, shared = x[:, firsts], np.bincount(voter.ravel())
+    marked = np.array([r.label for r in rows], np.float32)[:, None]
+    votes = np.hstack([x, np.array([r.signs for r in rows], np.float32), 1 - x.max(1, keepdims=True), marked, 1 - marked])
+    kinds = ["lexicon"] * x.shape[1] + ["pattern"] * (len(rows[0].signs) - 1) + ["lexicon", "none", "marked", "cleared"]
+    post, _ = label_model(votes, np.array([START[k] for k in kinds]))
+    w = linear(x, post)
+    each = w[:-1][voter.ravel()] / shared[voter.ravel()]
+    return {"weights": {f: float(v) for f, v in zip(names, each, strict=True) if abs(v) > 1e-9}, "intercept": float(w[-1])}
 
 
 def score(text: Column, model: dict) -> Column:
