@@ -1,6 +1,7 @@
 """Text features as Column expressions: one projection, no UDF.
 
-Densities of an empty text are 0; a null text counts as empty.
+Densities of an empty text are 0; a null text counts as empty. Averages and densities are rounded half to even: two
+digits for lengths, grades and densities by 100 words, four for rhythm, jargon and diversity, three for other ratios.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ HUMOR = ["haha", "lol", "joking", "kidding", "hilarious", "just kidding"]
 STEP_NOUNS = ["step", "number", "element", "rule"]
 STEP_NUMBERS = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "one", "two", "three", "four", "five", "six", "seven", "eight", "1", "2", "3", "4", "5"]
 
-# Patterns are Unicode-aware, as \b is ASCII otherwise from JDK 19 on.
+# Patterns of the features. They are Unicode-aware, as \b is ASCII otherwise from JDK 19 on.
 WORD = r"[A-Za-z']+"
 YOU = r"(?iU)\byou(r|rs|self)?\b"
 I_WORD = r"(?U)\bI\b"
@@ -42,6 +43,15 @@ def any_of(words: list[str]) -> str:
 STEPS = r"(?iU)\b(?:" + "|".join(STEP_NOUNS) + r")\s*(?:number\s+)?(?:" + "|".join(STEP_NUMBERS) + r")\b|\b(?:the\s+)?(?:" + "|".join(STEP_NUMBERS[:6]) + r")\s+(?:thing|reason|element|step|point)\b"
 
 
+COLLOQUIALISM = r"(?iU)\b\w+'(?:t|s|re|ve|ll|d|m)\b|" + any_of(COLLOQUIAL)[5:]
+
+
+def title_features(title: Column) -> dict[str, Column]:
+    """title_word_count (null without a title) and title_names_source (a comma in the title)."""
+    some = F.coalesce(title, F.lit("")) != ""
+    return {"title_word_count": F.when(some, F.size(words(title)).cast("long")), "title_names_source": F.when(some & F.contains(title, F.lit(",")), 1).otherwise(0)}
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
 
@@ -84,6 +94,10 @@ def ratio(a: Column, b: Column, otherwise: float = 0.0) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(otherwise))
 
 
+def half_even(value: Column, digits: int) -> Column:
+    return F.rint(value * 10.0**digits) / 10.0**digits
+
+
 def median(sorted_values: Column) -> Column:
     n = F.size(sorted_values)
     at = lambda k: F.get(sorted_values, k.cast("int"))
@@ -170,17 +184,18 @@ def core_features(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.col("_text")
     return df.withColumns(
         {
-            "avg_sentence_len": F.col("_sum") / F.col("_k"),
+            "avg_sentence_len": half_even(F.col("_sum") / F.col("_k"), 2),
             "median_sentence_len": median(F.col("_lens")),
-            "sentence_len_variance": spread,
-            "sentence_rhythm_cv": ratio(F.sqrt(spread) * F.col("_k"), F.col("_sum")),
-            "closing_paragraph_ratio": F.when(total(paras) > 0, F.get(paras, F.size("_paras") - 1) * F.size("_paras") / total(paras)),
+            "sentence_len_variance": half_even(spread, 2),
+            "sentence_rhythm_cv": half_even(ratio(F.sqrt(spread) * F.col("_k"), F.col("_sum")), 4),
+            "closing_paragraph_ratio": F.when(total(paras) > 0, half_even(F.get(paras, F.size("_paras") - 1) * F.size("_paras") / total(paras), 3)),
             "question_count": literal_hits(t, ["?"]),
             "emdash_count": literal_hits(t, ["—", "--"]),
             "filler_count": literal_hits(F.lower(t), FILLERS),
-            "jargon_density": ratio(literal_hits(F.lower(t), JARGON).cast("double"), F.col("word_count")),
-            "punctuation_density": ratio(hits(t, PUNCTUATION) * 100.0, F.col("word_count")),
-            "lexical_diversity": ratio(F.size(F.array_distinct(F.transform("_words", F.lower))).cast("double"), F.col("word_count")),
+            "filler_retention": (literal_hits(F.lower(t), FILLERS) > 0).cast("int"),
+            "jargon_density": half_even(ratio(literal_hits(F.lower(t), JARGON).cast("double"), F.col("word_count")), 4),
+            "punctuation_density": half_even(ratio(hits(t, PUNCTUATION) * 100.0, F.col("word_count")), 2),
+            "lexical_diversity": half_even(ratio(F.size(F.array_distinct(F.transform("_words", F.lower))).cast("double"), F.col("word_count")), 4),
             "ends_on_question": F.coalesce(F.get("_paras", F.size("_paras") - 1).endswith("?").cast("int"), F.lit(0)),
         }
     )
@@ -192,8 +207,8 @@ def readability(df: DataFrame, text: str = "text") -> DataFrame:
     n, s = F.size("_words"), F.size("_sentences")
     some = (n > 0) & (s > 0)
     grade = 0.39 * (n / s) + 11.8 * (F.col("_syl") / n) - 15.59
-    book = 0.39 * F.round(n / s, 2) + 11.8 * F.round(F.col("_syl") / n, 3) - 15.59
-    return df.withColumns({"n_syllables": F.col("_syl"), "readability_score": F.when(some, grade).otherwise(0.0), "book_readability": F.when(some, book)})
+    book = 0.39 * half_even(n / s, 2) + 11.8 * half_even(F.col("_syl") / n, 3) - 15.59
+    return df.withColumns({"n_syllables": F.col("_syl"), "readability_score": F.when(some, half_even(grade, 2)).otherwise(0.0), "book_readability": F.when(some, half_even(book, 2))})
 
 
 def pattern_features(df: DataFrame) -> DataFrame:
@@ -201,9 +216,9 @@ def pattern_features(df: DataFrame) -> DataFrame:
     t, n = F.col("_text"), F.col("word_count")
     verbs, steps, numbers = hits(t, any_of(INSTRUCTIONS)), hits(t, STEPS), hits(t, NUMBER)
     each = {
-        "you_freq_per_100w": ratio(hits(t, YOU) * 100.0, n),
-        "i_freq_per_100w": ratio(hits(t, I_WORD) * 100.0, n),
-        "we_freq_per_100w": ratio(hits(t, WE) * 100.0, n),
+        "you_freq_per_100w": half_even(ratio(hits(t, YOU) * 100.0, n), 2),
+        "i_freq_per_100w": half_even(ratio(hits(t, I_WORD) * 100.0, n), 2),
+        "we_freq_per_100w": half_even(ratio(hits(t, WE) * 100.0, n), 2),
         "quote_count": hits(t, QUOTE),
         "number_count": numbers,
         "instruction_verb_count": verbs,
@@ -212,8 +227,8 @@ def pattern_features(df: DataFrame) -> DataFrame:
         "references_external_media": t.rlike(MEDIA).cast("int"),
         "named_entity_count": F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)))).cast("long"),
         "humor_marker_count": hits(t, any_of(HUMOR)) + literal_hits(t, ["!"]),
-        "colloquialism_density": ratio((hits(t, r"(?iU)\b\w+'(?:t|s|re|ve|ll|d|m)\b|" + any_of(COLLOQUIAL)[5:])) * 100.0, n),
+        "colloquialism_density": half_even(ratio(hits(t, COLLOQUIALISM) * 100.0, n), 2),
     }
     df = df.withColumns(each)
     useful = F.col("instruction_verb_count") + F.col("framework_marker_count") + F.col("number_count")
-    return df.withColumn("word_economy_ratio", F.when(useful > 0, F.col("filler_count") / useful).otherwise(F.col("filler_count").cast("double")))
+    return df.withColumn("word_economy_ratio", F.when(useful > 0, half_even(F.col("filler_count") / useful, 3)).otherwise(F.col("filler_count").cast("double")))

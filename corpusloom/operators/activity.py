@@ -7,19 +7,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def shot_attributes(shots: DataFrame, item: str, number: str, seconds: str, category: str) -> DataFrame:
-    """Pace and categories of each item's shots. Durations leave out nulls; the main category is the most frequent, at a
-    tie the one that comes first."""
+#: Seconds below which a shot is very short and short, and beyond which it is long; categories of shots.
+LIMITS = (1, 2, 5)
+CATEGORIES = ["illustration_panel", "step_card", "narrator_reaction", "map_data_graphic", "cta", "other"]
+
+
+def shot_attributes(shots: DataFrame, item: str, number: str, seconds: str, category: str, limits: tuple[float, float, float] = LIMITS, categories: list[str] = CATEGORIES) -> DataFrame:
+    """Pace and categories of each item's shots. Durations leave out nulls, shares of categories are of all shots; the
+    main category is the most frequent, at a tie the one that comes first."""
     rows = shots.withColumns({"_s": F.col(seconds), "_c": F.col(category)})
     timed = lambda cond: 100.0 * F.count_if(cond) / F.count("_s")
+    least, short, long = limits
     pace = rows.groupBy(item).agg(
         F.count("*").alias("n_shots"),
         F.avg("_s").alias("mean_s"),
         F.percentile("_s", 0.5).alias("median_s"),
         F.stddev_pop("_s").alias("std_s"),
-        timed(F.col("_s") < 10).alias("short_percent"),
-        timed(F.col("_s").between(10, 30)).alias("middle_percent"),
-        timed(F.col("_s") > 30).alias("long_percent"),
+        timed(F.col("_s") < least).alias("shortest_percent"),
+        timed(F.col("_s") < short).alias("short_percent"),
+        timed(F.col("_s").between(short, long)).alias("middle_percent"),
+        timed(F.col("_s") > long).alias("long_percent"),
+        *((100.0 * F.count_if(F.col("_c") == c) / F.count("*")).alias(f"percent_{c}") for c in categories),
         F.array_sort(F.collect_list(F.struct(F.col(number).alias("k"), F.col("_s").alias("s")))).alias("_curve"),
     )
     counts = rows.groupBy(item, "_c").agg(F.count("*").alias("_n"), F.min(number).alias("_first"))
@@ -51,6 +59,53 @@ def usage(rows: DataFrame, site: str, cost: str, large: Column) -> DataFrame:
     return sized.rollup("site", "size").agg(F.count("*").alias("n"), F.avg("cost").alias("mean_cost"), F.sum("cost").alias("total_cost"))
 
 
+#: Dollars for a million tokens in and out, and the share of it that a batch call costs.
+PRICES, BATCH = (2.0, 10.0), 0.5
+
+
+def call_cost(tokens_in: Column, tokens_out: Column, batch: Column, prices: tuple[float, float] = PRICES) -> Column:
+    """Dollars of a call, to six digits."""
+    whole = tokens_in / 1e6 * prices[0] + tokens_out / 1e6 * prices[1]
+    return F.round(whole * F.when(batch, BATCH).otherwise(1.0), 6)
+
+
+def token_usage(calls: DataFrame, site: str, tokens_in: str, tokens_out: str, batch: str, large: int = 5000, prices: tuple[float, float] = PRICES) -> DataFrame:
+    """Calls, mean tokens, cost, batch calls and the output's share of the cost by call site and size, with totals."""
+    paid = F.when(F.col(batch), BATCH).otherwise(1.0)
+    sized = calls.select(
+        F.col(site).alias("site"),
+        F.when(F.col(tokens_out) > large, "large output").otherwise("usual").alias("size"),
+        F.col(tokens_in).alias("i"),
+        F.col(tokens_out).alias("o"),
+        F.col(batch).alias("b"),
+        call_cost(F.col(tokens_in), F.col(tokens_out), F.col(batch), prices).alias("cost"),
+        (F.col(tokens_out) / 1e6 * prices[1] * paid).alias("out_cost"),
+    )
+    totals = sized.rollup("site", "size").agg(F.count("*").alias("n"), F.avg("i").alias("mean_input"), F.avg("o").alias("mean_output"), F.sum("cost").alias("cost"), F.count_if("b").alias("batch_calls"), F.sum("out_cost").alias("_out"))
+    return totals.withColumn("output_percent", F.when(F.col("cost") > 0, 100 * F.col("_out") / F.col("cost"))).drop("_out")
+
+
+def trusted_accounts(items: DataFrame, account: str, classified: Column, least: int = 1) -> DataFrame:
+    """Accounts with at least so many classified items."""
+    return items.groupBy(account).agg(F.count_if(classified).alias("_n")).where(F.col("_n") >= least).select(account)
+
+
+def over_budget(calls: DataFrame, at: str, cost: str, cap: float) -> DataFrame:
+    """day, spent, over: spending of each UTC day against a cap."""
+    return calls.groupBy(F.to_date(at).alias("day")).agg(F.sum(cost).alias("spent")).withColumn("over", F.col("spent") >= cap)
+
+
+def gate_chain(classified: Column, account: Column, seconds: Column, topic: Column, spent: Column) -> Column:
+    """The first reason that holds an item: classified, no account, length, topic, budget; null if none does."""
+    return first_reason(F.when(classified, "already_classified"), F.when(account.isNull(), "no_account"), length_gate(seconds), topic, F.when(spent, "over_budget"))
+
+
+def missing_frames(shots: DataFrame, item: str, number: str, captured: str) -> DataFrame:
+    """Items with shots whose frame was not captured, and those shots' numbers in order."""
+    lost = F.collect_list(F.when(~F.coalesce(F.col(captured), F.lit(False)), F.col(number)))
+    return shots.groupBy(item).agg(F.array_sort(lost).alias("missing")).where(F.size("missing") > 0)
+
+
 def first_reason(*reasons: Column) -> Column:
     """The first reason of a chain of gates, or null."""
     return F.coalesce(*reasons)

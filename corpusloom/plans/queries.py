@@ -13,10 +13,12 @@ from corpusloom.functions.scoring import intrinsic
 from corpusloom.operators import activity, matching, profiles
 from corpusloom.streaming.spend import daily_spend
 
-CORE = ["word_count", "beat_count", "avg_sentence_len", "median_sentence_len", "sentence_len_variance", "sentence_rhythm_cv", "closing_paragraph_ratio", "question_count", "emdash_count", "filler_count", "jargon_density", "punctuation_density", "lexical_diversity", "ends_on_question"]
+CORE = ["word_count", "beat_count", "avg_sentence_len", "median_sentence_len", "sentence_len_variance", "sentence_rhythm_cv", "closing_paragraph_ratio", "question_count", "emdash_count", "filler_count", "filler_retention", "jargon_density", "punctuation_density", "lexical_diversity", "ends_on_question"]
 #: Attributes that the profile queries fingerprint.
 SCORED = ["word_count", "avg_sentence_len", "sentence_len_variance", "filler_count", "punctuation_density", "lexical_diversity"]
 CAPS = 500.0
+#: Numeric attributes of shots that profiles hold.
+SHOT_NUMBERS = ["n_shots", "mean_s", "median_s", "std_s", "shortest_percent", "short_percent", "middle_percent", "long_percent", "percent_A", "percent_N", "percent_R"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +34,7 @@ def text_features_core(spark, sf_dir):
 
 
 def readability(spark, sf_dir):
-    return rounded(T.readability(table(spark, sf_dir, "documents")).select("doc_id", "n_syllables", "readability_score"))
+    return rounded(T.readability(table(spark, sf_dir, "documents")).select("doc_id", "n_syllables", "readability_score", "book_readability"))
 
 
 def regex_features(spark, sf_dir):
@@ -109,15 +111,21 @@ def coverage_by_field(spark, sf_dir):
     return rounded(profiles.coverage(docs, ["n_chars", "quality", "toxic"]))
 
 
+def _shots(spark, sf_dir) -> DataFrame:
+    """Lines of orders as shots: a tenth of the quantity in seconds, the return flag as category."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("seconds", F.col("l_quantity") / 10)
+    return activity.shot_attributes(lines, "l_orderkey", "l_linenumber", "seconds", "l_returnflag", categories=["A", "N", "R"])
+
+
 def shot_attributes(spark, sf_dir):
-    return rounded(activity.shot_attributes(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"))
+    return rounded(_shots(spark, sf_dir))
 
 
 def shot_profile(spark, sf_dir):
     """Fingerprints of customers' orders by their pace."""
-    shots = activity.shot_attributes(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    shots = _shots(spark, sf_dir)
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("account"))
-    rows = profiles.long_numeric(shots.join(orders, "l_orderkey"), ["account"], ["n_shots", "mean_s", "median_s", "short_percent"])
+    rows = profiles.long_numeric(shots.join(orders, "l_orderkey"), ["account"], SHOT_NUMBERS)
     return rounded(profiles.numeric_fingerprint(rows, "account"))
 
 
@@ -139,12 +147,15 @@ def spend_by_day(spark, sf_dir):
 
 
 def gate_chain(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    trusted = docs.join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi").select("source").distinct().withColumn("trusted", F.lit(True))
-    docs = docs.join(F.broadcast(trusted), "source", "left")
-    length = activity.length_gate(F.col("n_chars") / 15.0, 5, 600)
+    """Documents as items to process: labelled ones are classified, sources are accounts, each is due on a day of January."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    trusted = activity.trusted_accounts(docs, "source", F.col("quality") == 1, 3).withColumn("trusted", F.lit(True))
+    spent = activity.over_budget(table(spark, sf_dir, "events"), "ts", "value", CAPS).select("day", "over")
+    docs = docs.withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")))
+    docs = docs.join(trusted, "source", "left").join(spent, "day", "left")
     topic = F.when(F.col("trusted").isNull(), activity.topic_gate(F.lit(""), F.col("text"), ["tion", "ment"]))
-    return docs.select("doc_id", activity.first_reason(length, topic, F.when(F.col("lang") != "en", "language")).alias("reason"))
+    reason = activity.gate_chain(F.col("quality") == 0, F.nullif(F.col("source"), F.lit("src7")), F.col("n_chars") / 15.0, topic, F.col("over"))
+    return docs.select("doc_id", reason.alias("reason"))
 
 
 def account_cosine(spark, sf_dir):
@@ -192,6 +203,10 @@ def _count(term: str, text: str = "low") -> str:
     return f"((length({text}) - length(replace({text}, '{quoted}', ''))) // {len(term)})"
 
 
+def _even(x: str, digits: int) -> str:
+    return f"(round_even(({x})::double * 1e{digits}, 0) / 1e{digits})"
+
+
 def _feature_ctes(source: str) -> str:
     return rf"""
         with t as (select *, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '') tx from {source}),
@@ -201,15 +216,15 @@ def _feature_ctes(source: str) -> str:
         l as (select *, case when len(s) > 0 then list_transform(s, lambda x: len(regexp_extract_all(x, '[A-Za-z'']+'))) else [0] end lens,
             list_transform(pa, lambda x: len(regexp_extract_all(x, '[A-Za-z'']+'))) pl from p),
         m as (select *, len(w)::bigint n, len(lens) k, list_sum(lens)::bigint sm, list_sum(list_transform(lens, lambda x: x * x))::bigint sq, list_sort(lens) so from l),
-        f as (select *, n word_count, len(pa)::bigint beat_count, sm / k avg_sentence_len, (so[(k + 1) // 2] + so[k // 2 + 1]) / 2.0 median_sentence_len,
-            (k * sq - sm * sm) / (k * k) sentence_len_variance,
-            case when sm > 0 then sqrt((k * sq - sm * sm) / (k * k)) * k / sm else 0.0 end sentence_rhythm_cv,
-            case when coalesce(list_sum(pl), 0) > 0 then pl[len(pl)] * len(pl) / list_sum(pl) end closing_paragraph_ratio,
+        f as (select *, n word_count, len(pa)::bigint beat_count, {_even("sm / k", 2)} avg_sentence_len, (so[(k + 1) // 2] + so[k // 2 + 1]) / 2.0 median_sentence_len,
+            {_even("(k * sq - sm * sm) / (k * k)", 2)} sentence_len_variance,
+            {_even("case when sm > 0 then sqrt((k * sq - sm * sm) / (k * k)) * k / sm else 0.0 end", 4)} sentence_rhythm_cv,
+            case when coalesce(list_sum(pl), 0) > 0 then {_even("pl[len(pl)] * len(pl) / list_sum(pl)", 3)} end closing_paragraph_ratio,
             {_count("?", "tx")}::bigint question_count, ({_count("—", "tx")} + {_count("--", "tx")})::bigint emdash_count,
-            ({" + ".join(_count(x) for x in T.FILLERS)})::bigint filler_count,
-            case when n > 0 then ({" + ".join(_count(x) for x in T.JARGON)}) / n else 0.0 end jargon_density,
-            case when n > 0 then len(regexp_extract_all(tx, '[.,;:!?—–\-"''()]')) * 100.0 / n else 0.0 end punctuation_density,
-            case when n > 0 then len(list_distinct(list_transform(w, lambda x: lower(x)))) / n else 0.0 end lexical_diversity,
+            ({" + ".join(_count(x) for x in T.FILLERS)})::bigint filler_count, (filler_count > 0)::int filler_retention,
+            {_even(f"case when n > 0 then ({' + '.join(_count(x) for x in T.JARGON)}) / n else 0.0 end", 4)} jargon_density,
+            {_even("case when n > 0 then len(regexp_extract_all(tx, '[.,;:!?—–" + chr(92) + "-" + chr(34) + "''()]')) * 100.0 / n else 0.0 end", 2)} punctuation_density,
+            {_even("case when n > 0 then len(list_distinct(list_transform(w, lambda x: lower(x)))) / n else 0.0 end", 4)} lexical_diversity,
             coalesce(ends_with(pa[len(pa)], '?'), false)::int ends_on_question from m)"""
 
 
@@ -234,21 +249,61 @@ _DOUBLES = ["avg_sentence_len", "median_sentence_len", "sentence_len_variance",
 _STATS = _round(["mean", "std", "low", "high", "median"])
 _NORMAL = r"""trim(regexp_replace(regexp_replace(translate(lower(coalesce(text, '')), '‘’“”', '''''""'), '\s+', ' ', 'g'), '[^a-z0-9'' ]', '', 'g'))"""
 _SHOTS = """
-        s as (select l_orderkey, count(*) n_shots, avg(l_quantity) mean_s, quantile_cont(l_quantity, 0.5) median_s, stddev_pop(l_quantity) std_s,
-            100.0 * count(*) filter (l_quantity < 10) / count(l_quantity) short_percent,
-            100.0 * count(*) filter (l_quantity between 10 and 30) / count(l_quantity) middle_percent,
-            100.0 * count(*) filter (l_quantity > 30) / count(l_quantity) long_percent,
-            string_agg(l_quantity::bigint::varchar, ',' order by l_linenumber, l_quantity) curve from lineitem group by all)"""
+        s as (select l_orderkey, count(*) n_shots, avg(q) mean_s, quantile_cont(q, 0.5) median_s, stddev_pop(q) std_s,
+            100.0 * count(*) filter (q < 1) / count(q) shortest_percent, 100.0 * count(*) filter (q < 2) / count(q) short_percent,
+            100.0 * count(*) filter (q between 2 and 5) / count(q) middle_percent, 100.0 * count(*) filter (q > 5) / count(q) long_percent,
+            100.0 * count(*) filter (l_returnflag = 'A') / count(*) percent_A, 100.0 * count(*) filter (l_returnflag = 'N') / count(*) percent_N, 100.0 * count(*) filter (l_returnflag = 'R') / count(*) percent_R,
+            string_agg(trunc(q)::bigint::varchar, ',' order by l_linenumber, q) curve from (select *, l_quantity / 10 q from lineitem) group by all)"""
 _SYLLABLES = "list_sum(list_transform(w, lambda x: greatest(len(regexp_extract_all(lower(x), '[aeiouy]+')) - case when ends_with(lower(x), 'e') and len(regexp_extract_all(lower(x), '[aeiouy]+')) > 1 then 1 else 0 end, 1)))"
 
 
+_GRADES = f"""g as (select doc_id, y, case when n > 0 and c > 0 then {_even("0.39 * (n / c) + 11.8 * (y / n) - 15.59", 2)} else 0.0 end readability_score,
+            case when n > 0 and c > 0 then {_even(f"0.39 * {_even('n / c', 2)} + 11.8 * {_even('y / n', 3)} - 15.59", 2)} end book_readability
+            from (select doc_id, n, len(s) c, coalesce({_SYLLABLES}, 0)::bigint y from m))"""
+#: Letters, marks and digits beyond ASCII become underscores, word characters that no pattern names, as RE2 knows ASCII words alone.
+_ASCII = r"regexp_replace(tx, '[^\x00-\x7F\p{P}\p{S}\p{Z}\p{C}]', '_', 'g')"
+
+
+def _re(pattern: str) -> str:
+    return pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''")
+
+
+def _hits(pattern: str, text: str = "ax") -> str:
+    return f"len(regexp_extract_all({text}, '{_re(pattern)}'))::bigint"
+
+
+_PATTERN_INTS = ["quote_count", "number_count", "instruction_verb_count", "framework_marker_count", "contrast_structure_count", "references_external_media", "named_entity_count", "humor_marker_count"]
+_PATTERN_DOUBLES = ["you_freq_per_100w", "i_freq_per_100w", "we_freq_per_100w", "colloquialism_density", "word_economy_ratio"]
+_per100 = lambda pattern: _even(f"case when n > 0 then {_hits(pattern)} * 100.0 / n else 0.0 end", 2)
+_PATTERN_CTES = f"""q as (select *, {_ASCII} ax from f),
+        r0 as (select *, {_per100(T.YOU)} you_freq_per_100w, {_per100(T.I_WORD)} i_freq_per_100w, {_per100(T.WE)} we_freq_per_100w, {_hits(T.QUOTE, "tx")} quote_count, {_hits(T.NUMBER)} number_count,
+            {_hits(T.any_of(T.INSTRUCTIONS))} instruction_verb_count, {_hits(T.STEPS)} framework_marker_count, {_hits(T.CONTRAST)} contrast_structure_count,
+            regexp_matches(ax, '{_re(T.MEDIA)}')::int references_external_media, len(list_distinct(regexp_extract_all(ax, '{_re(T.ENTITY)}')))::bigint named_entity_count,
+            ({_hits(T.any_of(T.HUMOR))} + {_count("!", "tx")})::bigint humor_marker_count, {_per100(T.COLLOQUIALISM)} colloquialism_density from q),
+        r as (select *, case when instruction_verb_count + framework_marker_count + number_count > 0 then {_even("filler_count / (instruction_verb_count + framework_marker_count + number_count)", 3)} else filler_count::double end word_economy_ratio from r0)"""
+_first_at = lambda p: f"case when regexp_matches(ax, '{_re(p)}') then length(regexp_extract(ax, '(?s)^(.*?)(?:{_re(p)})', 1)) end"
+_late = lambda p: f"len(list_filter(list_transform(range(1, len(regexp_extract_all(ax, '{_re(p)}')) + 1), lambda i: list_sum(list_transform(string_split_regex(ax, '{_re(p)}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(ax, '{_re(p)}')[1:i - 1], lambda x: length(x))), 0)), lambda b: b >= 0.9 * length(ax)))"
+_CTA = rf"""with t as (select conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '') tx from conversations),
+        q as (select *, {_ASCII} ax from t),
+        c as (select *, [{", ".join(_hits(p) for _, p in T.CALLS)}] n, [{", ".join(_first_at(p) for _, p in T.CALLS)}] fa, {_first_at(T.SPONSOR)} sp, ({" + ".join(_late(p) for _, p in T.CALLS)})::bigint late from q),
+        e as (select *, list_sum(n)::bigint total, list_min(list_filter(fa, lambda x: x is not null)) / length(ax) share from c)
+        select conv_id, turn, (total > 0)::int has_cta, case when total = 0 then 'None' else [{", ".join(f"'{k}'" for k, _ in T.CALLS)}][list_position(n, list_max(n))] end cta_type,
+            case when total = 0 then 'None' when share < 1 / 3 then 'Start' when share < 2 / 3 then 'Mid' else 'End' end cta_placement, total cta_count, (sp is not null)::int sponsor_segment_present,
+            case when sp is null then 'none' when sp / length(ax) < 1 / 3 then 'early' when sp / length(ax) < 2 / 3 then 'mid' else 'late' end sponsor_segment_position, late outro_cta_count from e"""
+
+
 def _cosine_words(source: str, key: str, stop: str = "") -> str:
     return f"select {key}, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{4,}}')) word from {source}"
 
 
 ORACLE_SQL = {
-    "text_features_core": _feature_ctes("documents") + f" select doc_id, word_count, beat_count, question_count, emdash_count, filler_count, ends_on_question, {_round(_DOUBLES)} from f",
-    "readability": _feature_ctes("documents") + f", g as (select doc_id, n, len(s) c, coalesce({_SYLLABLES}, 0)::bigint y from m) select doc_id, y n_syllables, round(case when n > 0 and c > 0 then 0.39 * (n / c) + 11.8 * (y / n) - 15.59 else 0.0 end, 6) readability_score from g",
+    "text_features_core": _feature_ctes("documents") + f" select doc_id, word_count, beat_count, question_count, emdash_count, filler_count, filler_retention, ends_on_question, {_round(_DOUBLES)} from f",
+    "readability": _feature_ctes("documents") + f", {_GRADES} select doc_id, y n_syllables, readability_score, round(book_readability, 6) book_readability from g",
+    "regex_features": _feature_ctes("documents") + f", {_PATTERN_CTES} select doc_id, {', '.join(_PATTERN_INTS)}, {_round(_PATTERN_DOUBLES)} from r",
+    "intrinsic_score": _feature_ctes("documents") + f""", {_PATTERN_CTES}, {_GRADES.replace("from m", "from m")},
+        e as (select r.doc_id, [word_count between 150 and 350, readability_score between 6 and 11, you_freq_per_100w >= 1.5, question_count >= 1, jargon_density <= 0.03, quote_count >= 1, beat_count >= 3, ends_on_question = 1] p from r join g using (doc_id))
+        select doc_id, round(list_sum(list_transform(p, lambda x, i: case when x then [15, 15, 15, 10, 15, 10, 10, 10][i] else 0 end)) * 100.0 / 100, 6) total_score, len(list_filter(p, lambda x: x))::int rules_passed from e""",
+    "cta_sponsor_outro": _CTA,
     "content_dedup": f"with h as (select doc_id, source, sha256({_NORMAL}) content_hash from documents) select min(doc_id) doc_id, source, content_hash from h group by source, content_hash",
     "fingerprint_numeric": _feature_ctes("documents") + _PRINTS + f" select source, attribute, n, {_STATS} from pr",
     "fingerprint_categorical": """with d as (select source, lang, quality::varchar quality, toxic::varchar toxic from documents left join labels using (doc_id)),
@@ -266,9 +321,9 @@ ORACLE_SQL = {
     "shot_attributes": f"""with {_SHOTS},
         c as (select l_orderkey, l_returnflag, count(*) n, min(l_linenumber) f from lineitem group by all),
         g as (select l_orderkey, l_returnflag main_category from c qualify row_number() over (partition by l_orderkey order by n desc, f, l_returnflag) = 1)
-        select l_orderkey, n_shots, curve, main_category, {_round(["mean_s", "median_s", "std_s", "short_percent", "middle_percent", "long_percent"])} from s join g using (l_orderkey)""",
+        select l_orderkey, n_shots, curve, main_category, {_round(SHOT_NUMBERS[1:])} from s join g using (l_orderkey)""",
     "shot_profile": f"""with {_SHOTS},
-        v as (select o_custkey account, x.attribute, x.value from s join orders on o_orderkey = l_orderkey, lateral (values ('n_shots', n_shots::double), ('mean_s', mean_s), ('median_s', median_s), ('short_percent', short_percent)) x(attribute, value) where x.value is not null),
+        v as (select o_custkey account, x.attribute, x.value from s join orders on o_orderkey = l_orderkey, lateral (values {", ".join(f"('{a}', {a}::double)" for a in SHOT_NUMBERS)}) x(attribute, value) where x.value is not null),
         pr as (select account, attribute, count(*) n, avg(value) mean, stddev_pop(value) std, min(value) low, max(value) high, quantile_cont(value, 0.5) median from v group by all)
         select account, attribute, n, {_STATS} from pr""",
     "account_median_gated": """with e as (select user_id, value, case when event_type = 'purchase' then value end paid from events)
@@ -292,7 +347,9 @@ ORACLE_SQL = {
         select regexp_replace(lower(coalesce(x, '')), '[^a-z0-9]', '', 'g') handle, sum(s)::bigint suppliers, sum(c)::bigint customers from n group by all""",
     "url_roster": r"""select page_id, case when l like '%instagram.com%' then 'Instagram' when l like '%youtube.com%' or l like '%youtu.be%' then 'YouTube' when l like '%facebook.com%' or l like '%fb.watch%' then 'Facebook' when l like '%tiktok.com%' then 'TikTok' else 'Web' end platform,
         substr(sha256(lower(regexp_replace(string_split(coalesce(url, ''), '?')[1], '/+$', ''))), 1, 16) url_hash from (select *, lower(coalesce(url, '')) l from pages)""",
-    "gate_chain": r"""with tr as (select distinct source from documents where doc_id in (select doc_id from labels where quality = 1)),
-        d as (select doc_id, lang, n_chars / 15.0 sec, source in (select source from tr) trusted, array_to_string(string_split_regex(lower(coalesce(text, '')), '\s+')[1:600], ' ') head from documents)
-        select doc_id, coalesce(case when sec > 600 then 'too_long' when sec < 5 then 'too_short' end, case when not trusted and not (contains(head, 'tion') or contains(head, 'ment')) then 'off_topic' end, case when lang <> 'en' then 'language' end) reason from d""",
+    "gate_chain": rf"""with b as (select doc_id, lang, source, text, n_chars / 15.0 sec, quality, date '2024-01-01' + (doc_id % 30)::int as day from documents left join labels using (doc_id)),
+        tr as (select source from b group by source having count(*) filter (quality = 1) >= 3), sp as (select ts::date as day, sum(value) >= {CAPS} over_cap from events group by all),
+        d as (select *, source in (select source from tr) trusted, array_to_string(string_split_regex(lower(coalesce(text, '')), '\s+')[1:600], ' ') head from b left join sp using (day))
+        select doc_id, coalesce(case when quality = 0 then 'already_classified' end, case when source is null or source = 'src7' then 'no_account' end, case when sec > 3600 then 'too_long' when sec < 5 then 'too_short' end,
+            case when not coalesce(trusted, false) and not (contains(head, 'tion') or contains(head, 'ment')) then 'off_topic' end, case when over_cap then 'over_budget' end) reason from d""",
 }
