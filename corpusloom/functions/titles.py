@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import any_of, sentences, stripped
+from corpusloom.functions.text import any_of, half_even, sentences, stripped
 
 # Word lists of the title formats.
 SUPERLATIVES = ["biggest", "best", "worst", "most", "only", "greatest", "smartest", "hardest", "easiest", "highest", "lowest"]
@@ -77,3 +77,23 @@ def seconds_of(stamp: Column) -> Column:
     parts = F.transform(F.split(F.trim(stamp), ":"), lambda p: p.try_cast("long"))
     ok = F.trim(stamp).rlike(r"^\d+:\d{1,2}(:\d{1,2})?$")
     return F.when(ok, F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 60 + p))
+
+
+def stamp_of(seconds: Column) -> Column:
+    """MM:SS, or H:MM:SS from an hour on, of whole seconds."""
+    s = F.floor(seconds).cast("long")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return F.when(s < 3600, F.concat(two(F.floor(s / 60)), F.lit(":"), two(s % 60))).otherwise(F.concat(F.floor(s / 3600).cast("string"), F.lit(":"), two(F.floor(s / 60) % 60), F.lit(":"), two(s % 60)))
+
+
+def cue_seconds(stamp: Column) -> Column:
+    """Seconds of a subtitle's stamp, [H:]MM:SS with a comma or point before the fraction; null for anything else."""
+    parts = F.transform(F.split(F.replace(F.trim(stamp), F.lit(","), F.lit(".")), ":"), lambda p: p.try_cast("double"))
+    ok = F.trim(stamp).rlike(r"^(\d+:)?\d{1,2}:\d{1,2}([.,]\d+)?$")
+    return F.when(ok, F.aggregate(parts, F.lit(0.0), lambda a, p: a * 60 + p))
+
+
+def number_label(n: Column) -> Column:
+    """12, 3.4k, 5.6M: thousands and millions to one digit, without a zero at the end."""
+    short = lambda x, sign: F.concat(F.regexp_replace(F.format_string("%.1f", half_even(x, 1)), r"\.0$", ""), F.lit(sign))
+    return F.when(n >= 1e6, short(n / 1e6, "M")).when(n >= 1e3, short(n / 1e3, "k")).otherwise(F.format_string("%d", F.rint(n).cast("long")))

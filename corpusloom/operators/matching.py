@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from corpusloom.functions import text as T
+
 
 def word_rows(texts: DataFrame, key: str, text: str, least: int, stopwords: list[str]) -> DataFrame:
     """key, word (ASCII letters, lower case, longer than least, no stopwords), one row an occurrence."""
@@ -84,3 +86,169 @@ def resolve_names(incoming: DataFrame, known: DataFrame, name: str, norm: Column
     rows = a.join(b.select(name, F.lit(True).alias("_exact")), name, "left").join(shown, "norm", "left").join(best, "norm", "left")
     status = F.when(F.col("_exact"), "exact").when(F.coalesce("equal", "near").isNotNull(), "similar").otherwise("new")
     return rows.select(name, status.alias("status"), F.when(F.col("_exact").isNull(), F.coalesce("equal", "near")).alias("suggestion"))
+
+
+# Words that account guesses leave out.
+STOPWORDS = """the a an and or but if of to in on for with is are was were be been being this that these those it its as at by
+from you your i we our they their he she his her not no yes do does did can could should would will just so than then
+there here what which who when where why how also into out up down about over under again more most some such only own
+same too very s t don now""".split()
+
+# Subjects, and parts of a domain's name that stand for them, in the order in which they are tried.
+SUBJECTS = ["Economics", "Politics", "Philosophy", "Psychology", "Sustainability", "Science", "Technology"]
+SUBJECT_HINTS = {
+    "Economics": ["econom", "financ", "business", "market"],
+    "Politics": ["politic", "geopolit", "history", "law"],
+    "Philosophy": ["philosoph", "ethic"],
+    "Psychology": ["psycholog", "behavio", "self-help"],
+    "Sustainability": ["sustainab", "environment", "climate", "ecolog"],
+    "Science": ["scien", "math", "physic", "biolog"],
+    "Technology": ["technolog", "comput", "software", r"\bai\b"],
+}
+
+
+def best_account(cosines: DataFrame, item: str, account: str) -> DataFrame:
+    """The account of the highest cosine for each item (the smaller name at a tie) and the confidence in percent."""
+    best = cosines.where("cosine > 0").groupBy(item).agg(F.min_by(F.struct(account, "cosine"), F.struct(-F.col("cosine"), F.col(account))).alias("_b"))
+    return best.select(item, f"_b.{account}", F.rint(100 * F.col("_b.cosine")).cast("long").alias("confidence"))
+
+
+def subject_of(domain: Column) -> Column:
+    """The subject that a free-text domain names: by its own name first, then by hints; null without any."""
+    low = F.lower(F.trim(F.coalesce(domain, F.lit(""))))
+    out = F.lit(None).cast("string")
+    for subject, hints in reversed(SUBJECT_HINTS.items()):
+        out = F.when(low.rlike("|".join(hints)), subject).otherwise(out)
+    for subject in reversed(SUBJECTS):
+        out = F.when(F.contains(low, F.lit(subject.lower())), subject).otherwise(out)
+    return out
+
+
+def account_subjects(items: DataFrame, account: str, domain: str, current: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """account, subject, votes: the subject that most items name (the smaller name at a tie), null if none names any.
+
+    current (account, subject) stays where it is a known subject, unless forced."""
+    rows = items.select(account, subject_of(F.col(domain)).alias("s"))
+    votes = rows.groupBy(account, "s").agg(F.count("*").alias("n"))
+    best = votes.groupBy(account).agg(F.min_by(F.struct("s", "n"), F.when(F.col("s").isNotNull(), F.struct(-F.col("n"), F.col("s")))).alias("b"))
+    out = best.select(account, F.col("b.s").alias("subject"), F.when(F.col("b.s").isNotNull(), F.col("b.n")).otherwise(0).alias("votes"))
+    if current is None or force:
+        return out
+    kept = current.where(F.col("subject").isin(*SUBJECTS)).select(account, F.col("subject").alias("_kept"))
+    return out.join(kept, account, "left").withColumn("subject", F.coalesce("_kept", "subject")).drop("_kept")
+
+
+def linked_kinds(accounts: DataFrame, kinds: dict[str, DataFrame], name: str, key: str, relink: bool = False) -> DataFrame:
+    """accounts with the key of each kind of profile whose normalised name is theirs; blanks alone are filled unless relink.
+
+    A kind's rows are name and key; the smaller key at a tie."""
+    norm = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]", "")
+    out = accounts.withColumn("_norm", norm)
+    for kind, rows in kinds.items():
+        found = rows.select(norm.alias("_norm"), key).where("_norm <> ''").groupBy("_norm").agg(F.min(key).alias("_found"))
+        new = F.col("_found") if relink else F.coalesce(F.col(kind), F.col("_found"))
+        out = out.join(found, "_norm", "left").withColumn(kind, new).drop("_found")
+    return out.drop("_norm")
+
+
+def two_readings(first: DataFrame, second: DataFrame, hashed: str, own: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """Two readings of one import on one row, by content hash, else by their own id; one row a key on either side.
+
+    columns: result name to (column of first, column of second); the first reading's value holds where both have one."""
+    at = lambda side: F.coalesce(F.col(hashed), F.concat(F.lit(f"{side}:"), F.col(own).cast("string"))).alias("key")
+    a = first.select(at("a"), *(F.col(x).alias(f"_a_{n}") for n, (x, _) in columns.items()), F.lit(True).alias("in_first"))
+    b = second.select(at("b"), *(F.col(y).alias(f"_b_{n}") for n, (_, y) in columns.items()), F.lit(True).alias("in_second"))
+    both = a.join(b, "key", "full")
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("in_first", "in_second")]
+    return both.select("key", *(F.coalesce(f"_a_{n}", f"_b_{n}").alias(n) for n in columns), *flags)
+
+
+def blended_match(subject: DataFrame, voice: DataFrame, topical: DataFrame, item: str, profile: str, own: DataFrame, k: int = 3) -> DataFrame:
+    """item, profile, match, place: the k best profiles by 0.6 subject, 0.2 voice and 0.2 topical score in whole percent.
+
+    A profile of the item's own sources (item, profile rows of own) is left out, unless it is the first of all."""
+    key = [item, profile]
+    rows = voice.select(*key, "voice").join(subject.select(*key, "subject"), key, "left").join(topical.select(*key, "topical"), key, "left")
+    part = lambda c: F.coalesce(c, F.lit(0.0))
+    rows = rows.withColumn("match", F.rint(100 * (0.6 * part("subject") + 0.2 * part("voice") + 0.2 * part("topical"))).cast("long"))
+    rows = rows.join(own.select(*key).distinct().withColumn("_own", F.lit(True)), key, "left")
+    order = W.partitionBy(item).orderBy(F.col("match").desc(), profile)
+    rows = rows.withColumn("_first", F.row_number().over(order)).where("_own is null or _first = 1")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(*key, "match", "place")
+
+
+#: Tokens of an example, and openings that are no names.
+NUMBERS = r"\$?\d[\d,\.]*\s?(?:trillion|billion|million|gigajoules|percent|%)?"
+NAMES = r"\b(?:[A-Z][a-z]{2,}(?:\s[A-Z][a-z]{2,}){0,2})\b"
+OPENINGS = ["The", "This", "That", "These", "Those", "After", "Before", "Despite", "Using", "Also", "Shows", "While", "When", "Where", "Even", "Only", "Most", "Many", "Some", "Because", "Since", "Smil", "Author"]
+
+
+def page_match(examples: DataFrame, pages: DataFrame, book: str, item: str, text: Column, page: str, page_text: str, least: int = 4) -> DataFrame:
+    """The page of its book that holds most of an example's weighted tokens (numbers 3, names of several words 2, single
+    names 1), from a score on; the last page at a tie. A token that stands twice counts twice."""
+    numbers = F.filter(F.transform(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)), F.trim), lambda t: F.length(t) > 1)
+    names = F.filter(F.regexp_extract_all(text, F.lit(NAMES), F.lit(0)), lambda t: ~F.split(t, r"\s")[0].isin(*OPENINGS))
+    weighed = F.concat(F.transform(numbers, lambda t: F.struct(t.alias("t"), F.lit(3).alias("w"))), F.transform(names, lambda t: F.struct(t.alias("t"), F.when(t.contains(" "), 2).otherwise(1).alias("w"))))
+    rows = examples.select(book, item, F.explode(weighed).alias("x")).groupBy(book, item, F.col("x.t").alias("t")).agg(F.sum("x.w").alias("w"))
+    tokens = rows.groupBy(book, item).agg(F.collect_list(F.struct("t", "w")).alias("tokens"))
+    both = tokens.join(pages.select(book, page, F.col(page_text).alias("_text")), book)
+    score = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + F.when(F.contains(F.col("_text"), x["t"]), x["w"]).otherwise(0))
+    scored = both.select(book, item, page, score.alias("score")).where(F.col("score") >= least)
+    return scored.groupBy(book, item).agg(F.max(F.struct("score", page)).alias("_m")).select(book, item, f"_m.{page}", "_m.score")
+
+
+def membership(texts: DataFrame, corpus: DataFrame, item: str, text: str, account: str, owned: str, words: int = 5, near: float = 0.85, exact: float = 0.995) -> DataFrame:
+    """item, account, match (exact or near), similarity, matched: whether an account's corpus holds a text.
+
+    Equal normalised texts are exact. Else the best matching-block ratio counts, over texts of the corpus that share a
+    run of so many words with the item and whose length lets the ratio be reached; normalised texts are compared, and an
+    item never with itself (rows of texts and corpus with the same item and owned id)."""
+    norm, shown = T.normalised(F.col(text)), F.col("_norm") != ""
+    a = texts.select(item, norm.alias("_norm")).where(shown)
+    b = corpus.select(owned, account, norm.alias("_norm")).where(shown)
+    same = F.col(item) != F.col(owned)
+    equal = a.join(b, "_norm").where(same).groupBy(item, account).agg(F.min(owned).alias("matched"))
+    equal = equal.select(item, account, F.lit("exact").alias("match"), F.lit(1.0).alias("similarity"), "matched")
+
+    def runs(rows: DataFrame, key: str) -> DataFrame:
+        split = F.split("_norm", " ")
+        each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(split) - words, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(split, i + 1, words), " ")))
+        return rows.select(key, F.length("_norm").alias(f"_len_{key}"), F.explode(F.array_distinct(each)).alias("_run"))
+
+    left, right = runs(a, item), runs(b, owned)
+    long = F.least(f"_len_{item}", f"_len_{owned}") * 2.0 >= near * (F.col(f"_len_{item}") + F.col(f"_len_{owned}"))
+    close = left.join(right, "_run").where(long).select(item, owned).where(same).distinct()
+    texts_of = close.join(a.withColumnRenamed("_norm", "_x"), item).join(b.withColumnRenamed("_norm", "_y"), owned)
+    scored = texts_of.withColumn("similarity", block_ratio("_x", "_y")).where(F.col("similarity") >= near)
+    best = scored.groupBy(item, account).agg(F.max(F.struct("similarity", (-F.col(owned)).alias("m"))).alias("b"))
+    best = best.select(item, account, F.when(F.col("b.similarity") >= exact, "exact").otherwise("near").alias("match"), "b.similarity", (-F.col("b.m")).alias("matched"))
+    return equal.union(best.join(equal.select(item, account), [item, account], "left_anti"))
+
+
+def suggestions(names: DataFrame, accounts: DataFrame, name: str, account: str, k: int = 5, least: float = 0.5, sure: float = 0.82) -> DataFrame:
+    """name, account, confidence, place, action: up to k accounts that a name may mean, by matching-block ratio of the
+    normalised names (the smaller account at a tie). The names are queries against all accounts, in blocks.
+
+    action: proceed if the name is an account, confirm_existing if the best is sure, else confirm_new (a name without
+    any account near it stands alone, place 0)."""
+    from corpusloom.operators.scoring import pairs_in_blocks
+
+    norm = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
+    a = names.select(name).distinct().withColumn("_x", norm(F.col(name)))
+    b = accounts.select(account).distinct().withColumn("_y", norm(F.col(account)))
+    pairs = pairs_in_blocks(a, b, name, account).withColumn("confidence", F.when(F.col("_x") == F.col("_y"), 1.0).otherwise(block_ratio("_x", "_y")))
+    pairs = pairs.where(F.col("confidence") >= least)
+    top = pairs.withColumn("place", F.row_number().over(W.partitionBy(name).orderBy(F.col("confidence").desc(), account))).where(F.col("place") <= k)
+    known = accounts.select(F.col(account).alias(name)).distinct().withColumn("_exact", F.lit(True))
+    best = top.groupBy(name).agg(F.max("confidence").alias("_best"))
+    told = a.select(name).join(known, name, "left").join(best, name, "left")
+    told = told.withColumn("action", F.when(F.col("_exact"), "proceed").when(F.round("_best", 3) >= sure, "confirm_existing").otherwise("confirm_new"))
+    out = told.join(top.select(name, account, "confidence", "place"), name, "left")
+    return out.select(name, account, F.round("confidence", 3).alias("confidence"), F.coalesce("place", F.lit(0)).alias("place"), "action")
+
+
+def candidate_sources(candidates: DataFrame, key: str, many: str, one: str) -> DataFrame:
+    """key, account: sources of a candidate from a JSON list of objects with account, else the single one."""
+    listed = F.from_json(many, "array<struct<account:string>>")
+    found = F.when(F.coalesce(F.size(listed), F.lit(0)) > 0, F.transform(listed, lambda x: x["account"])).otherwise(F.array(F.col(one).cast("string")))
+    return candidates.select(key, F.explode(found).alias("account")).where("account is not null").distinct()

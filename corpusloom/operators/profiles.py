@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -79,6 +79,63 @@ def similarity(prints: DataFrame, profile: str) -> DataFrame:
     return both.groupBy("a", "b").agg(F.avg(1 - F.least(off, F.lit(1.0))).alias("similarity"), F.count("*").alias("n_attributes"))
 
 
+def similarity_rows(prints: DataFrame, shares: DataFrame, profile: str) -> DataFrame:
+    """a, b, attribute, kind, percent: likeness of every two profiles in each attribute that both have.
+
+    Numbers by their relative difference, categories by the overlap of their shares; to one digit. The profiles are
+    paired in blocks, one row a profile, and their attributes compared within the pair."""
+    from corpusloom.operators.scoring import pairs_in_blocks
+
+    num = prints.groupBy(profile).agg(F.map_from_entries(F.collect_list(F.struct("attribute", "mean"))).alias("num"))
+    each = shares.groupBy(profile, "attribute").agg(F.map_from_entries(F.collect_list(F.struct("value", "share"))).alias("m"))
+    cat = each.groupBy(profile).agg(F.map_from_entries(F.collect_list(F.struct("attribute", "m"))).alias("cat"))
+    one = num.join(cat, profile, "full")
+    left = one.select(F.col(profile).alias("a"), F.col("num").alias("na"), F.col("cat").alias("ca"))
+    right = one.select(F.col(profile).alias("b"), F.col("num").alias("nb"), F.col("cat").alias("cb"))
+    pairs = pairs_in_blocks(left, right, "a", "b").where("a < b")
+    both = lambda x, y: F.coalesce(F.array_intersect(F.map_keys(x), F.map_keys(y)), F.array().cast("array<string>"))
+
+    def number(k: Column) -> Column:
+        x, y = F.element_at("na", k), F.element_at("nb", k)
+        off = F.abs(x - y) / F.greatest(F.abs(x), F.abs(y), F.lit(1e-6))
+        return F.struct(k.alias("attribute"), F.lit("numeric").alias("kind"), F.round(100 * (1 - F.least(off, F.lit(1.0))), 1).alias("percent"))
+
+    def category(k: Column) -> Column:
+        x, y = F.element_at("ca", k), F.element_at("cb", k)
+        shared = F.aggregate(F.map_entries(x), F.lit(0.0), lambda s, e: s + F.least(e["value"], F.coalesce(F.try_element_at(y, e["key"]), F.lit(0.0))))
+        return F.struct(k.alias("attribute"), F.lit("categorical").alias("kind"), F.round(shared, 1).alias("percent"))
+
+    return pairs.select("a", "b", F.inline(F.concat(F.transform(both("na", "nb"), number), F.transform(both("ca", "cb"), category))))
+
+
+def overall_similarity(rows: DataFrame) -> DataFrame:
+    """a, b, percent: the mean over the attributes of similarity_rows(), and their number."""
+    return rows.groupBy("a", "b").agg(F.round(F.avg("percent"), 1).alias("percent"), F.count("*").alias("n_attributes"))
+
+
+def profile_rows(items: DataFrame, profile: str, least: int, media: str, title: str) -> DataFrame:
+    """profile, n, status (confirmed from least items on), media (the most frequent, the smaller at a tie), overview
+    (distinct titles in order) of the analysed items."""
+    kinds = items.where(F.col(media).isNotNull()).groupBy(profile, media).agg(F.count("*").alias("_k"))
+    main = kinds.groupBy(profile).agg(F.min_by(media, F.struct(-F.col("_k"), F.col(media))).alias(media))
+    rows = items.groupBy(profile).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(title)), "; ").alias("overview"))
+    return rows.join(main, profile, "left").withColumn("status", F.when(F.col("n") >= least, "confirmed").otherwise("draft"))
+
+
+def hybrid_shares(shares: DataFrame, weights: DataFrame, profile: str, hybrid: str) -> DataFrame:
+    """Shares of hybrids: weighted sums over the weight of the sources that have the attribute, to three digits."""
+    rows = shares.join(weights, profile)
+    total = rows.select(hybrid, "attribute", profile, "weight").distinct().groupBy(hybrid, "attribute").agg(F.sum("weight").alias("_w"))
+    sums = rows.groupBy(hybrid, "attribute", "value").agg(F.sum(F.col("share") * F.col("weight")).alias("_s"))
+    return sums.join(total, [hybrid, "attribute"]).select(hybrid, "attribute", "value", F.round(F.col("_s") / F.col("_w"), 3).alias("share"))
+
+
+def boolean_fingerprint(rows: DataFrame, profile: str) -> DataFrame:
+    """Numeric fingerprint of yes/no attributes: the mean is the share of yes; empty strings are no answer."""
+    yes = F.when(F.lower("value").isin("1", "true", "yes"), 1.0).when(F.lower("value").isin("0", "false", "no"), 0.0)
+    return numeric_fingerprint(rows.withColumn("value", yes).where("value is not null"), profile)
+
+
 def drift(now: DataFrame, then: DataFrame, profile: str) -> DataFrame:
     """Change of each attribute's mean since a snapshot, absolute and in percent."""
     old = then.select(profile, "attribute", F.col("mean").alias("before"))

@@ -77,3 +77,79 @@ def vocabulary_errors(items: DataFrame, key: str, allowed: dict[str, list[str]],
         told.append(F.when(v.isNull(), missing).when(~v.isin(values), F.concat(F.lit(f"invalid {field}: "), v)))
     errors = F.filter(F.array(*told), lambda e: e.isNotNull())
     return items.select(key, F.size(errors).cast("long").alias("n_errors"), F.array_join(errors, "; ").alias("errors"))
+
+
+def replace_profiles(prints: DataFrame, new: DataFrame, rebuilt: DataFrame, profile: str) -> DataFrame:
+    """prints with all rows of the rebuilt profiles replaced by new's: attributes that lost their data vanish, and so do
+    profiles without rows in new."""
+    names = rebuilt.select(profile).distinct()
+    return prints.join(names, profile, "left_anti").unionByName(new.join(names, profile, "left_semi"))
+
+
+def snapshot(prints: DataFrame, taken: DataFrame, label: str, at: Column) -> DataFrame:
+    """taken (earlier snapshots) and a copy of prints under the next snapshot id."""
+    last = taken.agg(F.coalesce(F.max("snapshot_id"), F.lit(0)).alias("_last"))  # one row
+    copy = prints.join(F.broadcast(last), F.lit(True)).withColumns({"snapshot_id": F.col("_last") + 1, "label": F.lit(label), "at": at}).drop("_last")
+    return taken.unionByName(copy, allowMissingColumns=True)
+
+
+def merge_profiles(profiles: DataFrame, mapping: DataFrame, account: str, media: str) -> DataFrame:
+    """Profiles after accounts were merged (account, into): one moves to the other account, unless that has one of its
+    media type; of several that move the one of the smallest account stays."""
+    moved = profiles.join(mapping.withColumnRenamed("into", "_into"), account)
+    there = profiles.join(mapping.select(account), account, "left_anti")
+    free = moved.join(there.select(F.col(account).alias("_into"), media).distinct(), ["_into", media], "left_anti")
+    first = W.partitionBy("_into", media).orderBy(account)
+    moves = free.withColumn("_r", F.row_number().over(first)).where("_r = 1").withColumn(account, F.col("_into"))
+    return there.unionByName(moves.select(*profiles.columns))
+
+
+def touched_accounts(before: DataFrame, after: DataFrame, item: str, account: str) -> DataFrame:
+    """Accounts whose profiles must be rebuilt: those that lost or got an item."""
+    key = [item, account]
+    gone = before.select(*key).join(after.select(*key), key, "left_anti")
+    new = after.select(*key).join(before.select(*key), key, "left_anti")
+    return gone.union(new).select(account).where(F.col(account).isNotNull()).distinct()
+
+
+def remove_with_children(removed: DataFrame, item: str, children: dict[str, DataFrame], references: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables after items were removed: their child rows go, references to them become null."""
+    names = removed.select(item).distinct()
+    out = {n: t.join(names, item, "left_anti") for n, t in children.items()}
+    marked = names.withColumn("_gone", F.lit(True))
+    for n, t in references.items():
+        out[n] = t.join(marked, item, "left").withColumn(item, F.when(F.col("_gone").isNull(), F.col(item))).select(*t.columns)
+    return out
+
+
+def repaired_media(items: DataFrame, key: str, media: str, right: Column) -> DataFrame:
+    """key, old and new of the items whose media type differs from what their link says: the report of a dry run."""
+    return items.select(key, F.col(media).alias("old"), right.alias("new")).where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def with_closing_shot(shots: DataFrame, items: DataFrame, item: str, number: str, start: str, end: str, seconds: str, least: float = 0.15) -> DataFrame:
+    """shots and, for items whose duration goes on after the last shot by more than `least`, one closing shot."""
+    last = shots.groupBy(item).agg(F.max(number).alias("_n"), F.max(end).alias("_end"))
+    gap = last.join(items.select(item, seconds), item).where(F.col(seconds) - F.col("_end") > least)
+    new = gap.select(item, (F.col("_n") + 1).alias(number), F.col("_end").alias(start), F.col(seconds).alias(end))
+    return shots.unionByName(new, allowMissingColumns=True)
+
+
+def reingested_shots(stored: DataFrame, new: DataFrame, item: str, captured: str) -> DataFrame:
+    """Shots after inputs came again: a list with a missing frame, or none, gives way to the new one; a complete one stays."""
+    whole = stored.groupBy(item).agg(F.bool_and(F.coalesce(captured, F.lit(False))).alias("_whole")).where("_whole").select(item)
+    again = new.join(whole, item, "left_anti")
+    return stored.join(again.select(item).distinct(), item, "left_anti").unionByName(again, allowMissingColumns=True)
+
+
+def replace_visuals(visuals: DataFrame, new: DataFrame, item: str, marker: str) -> DataFrame:
+    """As replace_children(), with seconds from the marker; rows whose marker is no time are left out."""
+    from corpusloom.functions.titles import seconds_of
+
+    timed = new.withColumn("seconds", seconds_of(F.col(marker))).where("seconds is not null")
+    return visuals.join(new.select(item).distinct(), item, "left_anti").unionByName(timed)
+
+
+def repaired_durations(items: DataFrame, ends: DataFrame, item: str, seconds: str) -> DataFrame:
+    """items with missing durations filled from the last subtitle cue (item, last_end)."""
+    return items.join(ends.groupBy(item).agg(F.max("last_end").alias("_end")), item, "left").withColumn(seconds, F.coalesce(seconds, "_end")).drop("_end")

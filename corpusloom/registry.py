@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import library
+from corpusloom.plans import desk, library, studio
 from corpusloom.plans import queries as plans
 
-QUERIES: dict = plans.QUERIES | library.QUERIES
-ORACLE_SQL: dict[str, str] = plans.ORACLE_SQL | library.ORACLE_SQL
+QUERIES: dict = plans.QUERIES | library.QUERIES | studio.QUERIES | desk.QUERIES
+ORACLE_SQL: dict[str, str] = plans.ORACLE_SQL | library.ORACLE_SQL | studio.SQL | desk.SQL
