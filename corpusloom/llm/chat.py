@@ -1,14 +1,17 @@
 """Chat formatting in budgeted windows. DataFrame functions only.
 
 A conversation's turns are ordered by turn (then role and text, where a number repeats). Prefix sums of turn tokens cut
-it into turn-aligned spans: a turn belongs to the span in which its first token falls, and the spans are so short that
-span, system turn and repeated history stay within the budget wherever single turns allow it. Each window holds the
-system turn, the turns just before its span that fit the history budget, and the span; loss falls on the assistant
-texts of the span, not on repeated ones.
+it into turn-aligned spans: a turn of more than a quarter of the room stands alone, and the turns between such ones are
+cut where their first token, counted from the stretch's start, passes a multiple of the other three quarters. So a window of short turns stays within the
+budget, and a window of one long turn exceeds it only if that turn does. Each window holds the system turn, the turns
+just before its span that fit the history budget, and the span; loss falls on the assistant texts of the span, not on
+repeated ones.
 
 The template marks each turn as <s>role, a line break, the text, </s>; user texts stand between [INST] and [/INST].
 Control strings inside texts get a backslash after their first sign, and backslashes are doubled before, so that the
 way back is exact. Null roles and texts are empty; a null turn number comes first; a null conv_id is one conversation.
+Equal rows are turns of their own; texts may be of any length and are never cut; an empty table gives no rows; columns
+beside conv_id, turn, role and text play no part.
 """
 
 from __future__ import annotations
@@ -49,21 +52,27 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     whole = W.partitionBy("conv_id")
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumns({"k": F.row_number().over(order), "n": tokens(F.col("text"))})
-    rows = rows.withColumns({"end": F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)), "longest": F.max("n").over(whole), "is_system": (F.col("role") == "system") & (F.col("k") == 1)})
+    rows = rows.withColumns({"end": F.sum("n").over(so_far), "is_system": (F.col("role") == "system") & (F.col("k") == 1)})
     rows = rows.withColumn("system_n", F.max(F.when(F.col("is_system"), F.col("n")).otherwise(0)).over(whole))
-    rows = rows.withColumns({"begin": F.col("end") - F.col("n"), "stride": F.greatest(F.lit(1), budget - history - F.col("system_n") - F.col("longest") + 1)})
-    rows = rows.withColumn("window", F.floor(F.col("begin") / F.col("stride")))
-    firsts = rows.groupBy("conv_id", "window").agg(F.min("k").alias("first_k"), F.min("begin").alias("first_begin"))
+    room = budget - history - F.col("system_n")
+    rows = rows.withColumns({"begin": F.col("end") - F.col("n"), "most": F.greatest(F.lit(1), F.floor(room / 4))})
+    rows = rows.withColumn("alone", F.col("n") > F.col("most"))
+    stretch = F.col("alone") | F.coalesce(F.lag("alone").over(order), F.lit(True))  # begins between long turns
+    rows = rows.withColumn("from", F.max(F.when(stretch, F.col("begin"))).over(so_far))
+    rows = rows.withColumn("cell", F.floor((F.col("begin") - F.col("from")) / F.greatest(F.lit(1), room - F.col("most"))))
+    opens = (F.col("begin") == F.col("from")) | (F.lag("cell").over(order) != F.col("cell"))
+    rows = rows.withColumn("opens", opens.cast("int")).withColumn("window", (F.sum("opens").over(so_far) - 1).cast("long"))
+    # the first turn that begins within the history budget before this one
+    back = F.min("k").over(W.partitionBy("conv_id").orderBy("begin").rangeBetween(-history, 0))
+    firsts = rows.withColumn("from_k", back).where("opens = 1").select("conv_id", "window", F.col("k").alias("first_k"), "from_k")
     system = rows.where("is_system").select("conv_id", F.col("text").alias("system_text"), F.col("n").alias("system_tokens"))
 
-    # a turn is history of the windows after its own whose span begins within the history budget from its first token
-    reach = F.floor((F.col("begin") + history) / F.col("stride"))
-    later = F.when(reach > F.col("window"), F.sequence(F.col("window") + 1, reach)).otherwise(F.array().cast("array<bigint>"))
-    repeated = rows.where(~F.col("is_system")).select("conv_id", F.explode(later).alias("window"), "k", "role", "text", "n", "begin")
-    same = F.col("r.conv_id").eqNullSafe(F.col("f.conv_id")) & (F.col("r.window") == F.col("f.window"))
-    repeated = repeated.alias("r").join(firsts.alias("f"), same).where((F.col("first_begin") - F.col("begin") <= history) & (F.col("r.k") < F.col("first_k")))
-    repeated = repeated.select("r.conv_id", "r.window", "k", "role", "text", "n", F.lit(True).alias("again"))
+    past = firsts.where("from_k < first_k").select("conv_id", "window", F.explode(F.sequence("from_k", F.col("first_k") - 1)).alias("k"))
+    same = F.col("r.conv_id").eqNullSafe(F.col("f.conv_id")) & (F.col("r.k") == F.col("f.k"))
+    repeated = past.alias("f").join(rows.where(~F.col("is_system")).alias("r"), same)
+    repeated = repeated.select("r.conv_id", "f.window", "r.k", "role", "text", "n", F.lit(True).alias("again"))
     again = firsts.alias("f").where("first_k > 1").join(system.alias("r"), F.col("r.conv_id").eqNullSafe(F.col("f.conv_id")))
     again = again.select("f.conv_id", "f.window", F.lit(1).alias("k"), F.lit("system").alias("role"), F.col("system_text").alias("text"), F.col("system_tokens").alias("n"), F.lit(True).alias("again"))
     own = rows.select("conv_id", "window", "k", "role", "text", "n", F.lit(False).alias("again"))
