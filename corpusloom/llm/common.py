@@ -49,14 +49,17 @@ def ranked(df: DataFrame, order: list[str], pos: str = "pos", name: str = "ranke
 
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    mark = F.monotonically_increasing_id()
-    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_mark", mark)
-    rows = materialise(rows, name).withColumns({"_part": F.shiftright("_mark", 33), "_at": F.col("_mark").bitwiseAND((1 << 33) - 1)})
+    # the caller's columns stand in one struct, so that no name of theirs meets one of these
+    keys = [f"key{i}" for i in range(len(order))]
+    rows = df.select(F.struct("*").alias("row"), *(F.col(c).alias(k) for c, k in zip(order, keys, strict=True)))
+    rows = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("row", F.monotonically_increasing_id().alias("mark"))
+    rows = materialise(rows, name).withColumns({"part": F.shiftright("mark", 33), "at": F.col("mark").bitwiseAND((1 << 33) - 1)})
     # one row for each partition of the sort above, so a single window partition is small at any input size
-    sizes = rows.groupBy("_part").agg((F.max("_at") + 1).alias("_n"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return rows.join(F.broadcast(offsets), "_part").withColumn(pos, F.col("_offset") + F.col("_at")).drop("_mark", "_part", "_at", "_offset", "_n")
+    sizes = rows.groupBy("part").agg((F.max("at") + 1).alias("n"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    placed = rows.join(F.broadcast(offsets), "part").withColumn("at", F.col("offset") + F.col("at"))
+    return placed.select(*(F.col("row")[c].alias(c) for c in df.columns if c != pos), F.col("at").alias(pos))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
