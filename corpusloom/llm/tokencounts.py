@@ -1,14 +1,17 @@
 """Token counts as rollups that deltas maintain.
 
-The state is a table of counts by document and tokenizer version, and additive totals by source, language and version.
-A batch of changes (insert, revise, delete) becomes signed deltas against the state: what the document counted before
-is taken off, what it counts now is added. Totals change by the sums of deltas alone. Each batch is one commit, a
-folder of its own written under the batch's name and read by later ones, and counts once its marker stands in the log
-of commits, which a new driver reads; a batch that was committed before changes nothing.
-
-Within a batch the last change of a document and version (by seq) holds. Deletes and revisions of unknown documents
-count as nothing and as inserts. Null sources and languages are values of their own; a change without doc_id is not
-applied. Documents with repeated ids are one document, their smallest text counts.
+The state is a log: each commit adds the rows of the documents and tokenizer versions that it touched, and the last one of
+a document and version holds. A batch of changes (insert, revise, delete) becomes signed deltas against the state: what
+the document counted before is taken off, what it counts now is added. Totals by source, language and version are
+additive and change by the sums of deltas alone. So a commit writes what it changes and reads the log's buckets of its
+documents. Each batch is one commit, with folders of its own that later ones read, and counts
+once its marker stands in the list of commits, which a new driver reads; a batch that was committed before
+changes nothing.
+
+Within a batch the last change of a document and version (by seq) holds; of changes with the same seq the largest by
+operation, source, language and count. Deletes of unknown documents count as nothing, revisions of them as inserts. Null
+sources and languages are values of their own, null texts have no tokens, texts may be of any length; a change without
+doc_id is not applied. An empty batch is a commit without changes. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -17,12 +20,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import shared_dir
+from corpusloom.llm.common import materialise, shared_dir
 
 KEYS = ["source", "lang", "version"]
-STATE = "doc_id long, source string, lang string, version string, n_tokens long"
+STATE = "doc_id long, version string, seq long, alive boolean, source string, lang string, n_tokens long, bucket int"
 TOTALS = "source string, lang string, version string, n_docs long, n_tokens long"
 LOG = "seq long, batch string"
+#: Buckets of the state's log by document; a commit reads those of its documents alone.
+BUCKETS = 64
 
 #: Tokenizer versions: each counts the tokens of a text by a Column.
 WHITESPACE = r"[^\x20\x09-\x0D]+"
@@ -38,11 +43,11 @@ class Rollup:
     """Totals in the shared folder, as a chain of committed batches. One writer at a time; a new object goes on where
     the log of commits ends."""
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}"
-        self.log = f"{self.path}.commits"  # beside the folders that batches name
+        # beside the folders that batches name: markers, and the state's log by commit and bucket
+        self.log, self.states = f"{self.path}.commits", f"{self.path}.state"
         self.commits = self._logged()
-        self.state = spark.createDataFrame([], STATE)
         self.totals = spark.createDataFrame([], TOTALS)
         if self.commits:
             self._open(self.commits[-1])
@@ -57,23 +62,32 @@ class Rollup:
             return []
 
     def _open(self, batch: str) -> None:
-        self.state = self.spark.read.schema(STATE).parquet(f"{self.path}/{batch}/state")
         self.totals = self.spark.read.schema(TOTALS).parquet(f"{self.path}/{batch}/totals")
 
+    def state(self, buckets: list[int] | None = None) -> DataFrame:
+        """doc_id, version, alive, source, lang, n_tokens as of the last commit, of some buckets or all."""
+        rows = self.spark.read.schema(STATE).parquet(self.states) if self.commits else self.spark.createDataFrame([], STATE)
+        rows = rows.where(F.col("seq") < len(self.commits))  # what a lost commit left behind has no marker
+        rows = rows if buckets is None else rows.where(F.col("bucket").isin(*buckets))
+        last = F.max(F.struct("seq", "alive", "source", "lang", "n_tokens")).alias("s")
+        return rows.groupBy("doc_id", "version").agg(last).select("doc_id", "version", "s.alive", "s.source", "s.lang", "s.n_tokens")
+
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Apply changes (doc_id, source, lang, version, n_tokens, op, seq); False if the batch was committed before."""
         if batch in self.commits:
             return False
         last = changes.where("doc_id is not null").groupBy("doc_id", "version").agg(F.max(F.struct("seq", "op", "source", "lang", "n_tokens")).alias("c"))
-        last = last.select("doc_id", "version", "c.op", "c.source", "c.lang", "c.n_tokens")
-        old = self.state.select("doc_id", "version", F.struct("source", "lang", "n_tokens").alias("old"))
-        # rows that a full join repeats can't arise: doc_id and version are unique on both sides
-        both = last.withColumn("new", F.struct("source", "lang", "n_tokens")).select("doc_id", "version", "op", "new").join(old, ["doc_id", "version"], "full")
-        kept = F.when(F.col("op").isNull(), F.col("old")).when(F.col("op") != "delete", F.col("new"))
-        both = both.withColumn("now", kept)
-        both.where("now is not null").select("doc_id", "now.source", "now.lang", "version", "now.n_tokens").write.mode("overwrite").parquet(f"{self.path}/{batch}/state")
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+        last = materialise(last.select("doc_id", "version", "c.op", "c.source", "c.lang", "c.n_tokens", bucket.alias("bucket")), "changes")
+        touched = [r.bucket for r in last.select("bucket").distinct().collect()]  # BUCKETS at most
+        old = self.state(touched).where("alive").select("doc_id", "version", F.struct("source", "lang", "n_tokens").alias("old"))
+        both = last.withColumn("new", F.struct("source", "lang", "n_tokens")).join(old, ["doc_id", "version"], "left")
+        both = both.withColumn("now", F.when(F.col("op") != "delete", F.col("new"))).where("now is not null or old is not null")
+        kept = F.coalesce("now", "old")
+        state = both.select("doc_id", "version", F.col("now").isNotNull().alias("alive"), kept["source"].alias("source"), kept["lang"].alias("lang"), kept["n_tokens"].alias("n_tokens"), "bucket")
+        state.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.states}/seq={len(self.commits)}")
         signed = F.array(F.struct(F.lit(-1).alias("sign"), F.col("old").alias("v")), F.struct(F.lit(1).alias("sign"), F.col("now").alias("v")))
-        delta = both.where("op is not null").select("version", F.explode(signed).alias("d")).where("d.v is not null")
+        delta = both.select("version", F.explode(signed).alias("d")).where("d.v is not null")
         delta = delta.select("d.v.source", "d.v.lang", "version", F.col("d.sign").cast("long").alias("n_docs"), (F.col("d.sign") * F.col("d.v.n_tokens")).alias("n_tokens"))
         totals = self.totals.union(delta).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
         totals.write.mode("overwrite").parquet(f"{self.path}/{batch}/totals")
