@@ -9,7 +9,7 @@ the same count less. Its posterior labels train a linear classifier that scores
 Labels are read only for training rows, at most TRAIN_ROWS of them. Scores depend on the text alone: null and empty
 texts get the score of a text without any feature; repeated rows score alike, a score of 0.5 counts as toxic, texts may
 be of any length. Rows without labels and labels without rows play no part; of several labels of one document the
-largest holds. With no labelled rows the seed lexicon alone decides. An empty table gives no rows. scores() reads no
+largest holds. Where the labelled rows give no lexicon, the seed list alone decides. An empty table gives no rows. scores() reads no
 other columns, keep() passes them on under any name.
 """
 
@@ -154,7 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> dict:
     from corpusloom.llm.common import materialise
 
     train = materialise(training_rows(docs, labels, most), "toxic-training")
-    names = candidates(train) or [w for w in SEED]
+    names = candidates(train)
+    if not names:
+        return {"weights": dict.fromkeys(SEED, 4.0), "intercept": -2.0}
     place = {f: i for i, f in enumerate(names)}
 
     def hits(batches):
@@ -164,8 +166,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> dict:
             yield pd.DataFrame({"label": rows["label"], "found": found, "signs": signs})
 
     rows = train.mapInPandas(hits, "label int, found array<int>, signs array<boolean>").collect()
-    if not rows:
-        return {"weights": dict.fromkeys(SEED, 4.0), "intercept": -2.0}
     x = np.zeros((len(rows), len(names)), np.float32)
     for i, r in enumerate(rows):
         x[i, r.found] = 1
