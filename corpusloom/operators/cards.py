@@ -9,8 +9,8 @@ from corpusloom.functions.text import half_even
 
 
 def told_number(value: Column, digits: int) -> Column:
-    """The number with so many digits, rounded half to even."""
-    return F.format_string(f"%.{digits}f", half_even(value, digits))
+    """The number with so many digits, rounded half to even; null stays null."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", half_even(value, digits)))
 
 
 def wide_prints(prints: DataFrame, shares: DataFrame, profile: str, numbers: list[str], categories: list[str], k: int = 3) -> DataFrame:
