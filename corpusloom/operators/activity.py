@@ -138,3 +138,37 @@ def weighted_sample(rows: DataFrame, group: str, weight: Column, k: int, seed: i
     sliced = W.partitionBy(group, F.pmod(F.xxhash64(key), F.lit(64))).orderBy("_draw", key)
     cut = drawn.withColumn("_r", F.row_number().over(sliced)).where(F.col("_r") <= k)
     return cut.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy("_draw", key))).where(F.col("place") <= k).drop("_draw", "_r")
+
+
+#: Weights of the kinds of sources, and of drawing one, two or three of them.
+KINDS, HOW_MANY = {"term": 0.30, "example": 0.25, "quote": 0.05, "chapter": 0.40}, (0.60, 0.25, 0.15)
+
+
+def drawn_sources(sources: DataFrame, seekers: DataFrame, key: str, kind: str, item: str, used: DataFrame, seed: int, kinds: dict[str, float] = KINDS, how_many: tuple[float, ...] = HOW_MANY) -> DataFrame:
+    """One to three sources for each seeker, of kinds drawn by weight without replacement, one drawn item of each kind.
+
+    Used items (kind and item) are out. The draw is a function of the seed, the seeker and the kind: a kind's items are
+    numbered in order and one number is drawn, so a hot kind is never gathered."""
+    free = sources.join(used, [kind, item], "left_anti").select(kind, item).distinct()
+    unit = lambda *c: (F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    first = F.min_by(item, F.xxhash64(F.lit(seed), item)).alias("_low")
+    slices = 64  # a drawn slice, then its first item by hash: even over items for slices of about one size
+    slice_of = F.pmod(F.xxhash64(F.lit(seed + 1), item), F.lit(slices))
+    table = free.groupBy(kind, slice_of.alias("_slice")).agg(first).groupBy(kind).agg(F.sort_array(F.collect_list("_low")).alias("_items"))
+    weight = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))
+    counts = F.lit(len(how_many))
+    for n in range(len(how_many), 0, -1):
+        counts = F.when(unit(F.lit("n"), key) <= sum(how_many[:n]), n).otherwise(counts)
+    names = F.array(*map(F.lit, kinds))
+    order = F.array_sort(F.transform(names, lambda k: F.struct((-F.log(unit(F.lit("k"), key, k)) / F.element_at(weight, k)).alias("d"), k.alias("k"))))
+    rows = seekers.select(key, counts.alias("_n"), F.posexplode(order).alias("_place", "_x")).select(key, "_n", "_place", F.col("_x.k").alias(kind))
+    rows = rows.join(table, kind)
+    place = F.row_number().over(W.partitionBy(key).orderBy("_place"))
+    rows = rows.withColumn("place", place).where(F.col("place") <= F.col("_n"))
+    at = F.floor(unit(F.lit("i"), key, kind) * F.size("_items") - 1e-12).cast("int")
+    return rows.select(key, "place", kind, F.get("_items", at).alias(item))
+
+
+def oldest(rows: DataFrame, waiting: Column, order: list[str]) -> DataFrame:
+    """The row that waits longest."""
+    return rows.where(waiting).orderBy(*order).limit(1)

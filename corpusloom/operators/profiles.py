@@ -49,20 +49,30 @@ def categorical_fingerprint(rows: DataFrame, profile: str) -> DataFrame:
 
 def blend(prints: DataFrame, weights: DataFrame, profile: str, hybrid: str) -> DataFrame:
     """Fingerprints of hybrids: weighted means over the sources that have the attribute."""
-    rows = prints.join(F.broadcast(weights), profile)
+    rows = prints.join(weights, profile)
     mean = lambda c: (F.sum(F.col(c) * F.col("weight")) / F.sum("weight")).alias(c)
     return rows.groupBy(hybrid, "attribute").agg(*(mean(c) for c in ("mean", "std", "low", "high", "median")), F.count("*").alias("sources"))
 
 
-def score(items: DataFrame, prints: DataFrame, item: str, profile: str, weights: DataFrame | None = None) -> DataFrame:
-    """Weighted mean subscore (0 without any) of each item and profile, with the number of attributes that counted."""
-    pairs = items.join(prints, "attribute")
-    sub = numeric_subscore(F.col("value"), F.col("low"), F.col("high"), F.col("median"))
-    pairs = pairs.withColumn("subscore", F.round(sub, 1))
-    pairs = pairs.join(F.broadcast(weights), "attribute", "left") if weights is not None else pairs.withColumn("weight", F.lit(1.0))
-    w = F.when(F.col("subscore").isNotNull(), F.coalesce("weight", F.lit(1.0)))
-    mean = F.coalesce(F.sum(F.col("subscore") * w) / F.sum(w), F.lit(0.0))
-    return pairs.groupBy(item, profile).agg(mean.alias("score"), F.count("subscore").alias("n_attributes"))
+def score(items: DataFrame, prints: DataFrame, item: str, profile: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """Weighted mean subscore (0 without any; weight 1 where none is given) of each item and profile, with the number of
+    attributes that counted. Items and profiles meet as one row each, in blocks, not attribute by attribute."""
+    from corpusloom.operators.scoring import pairs_in_blocks
+
+    left = items.groupBy(item).agg(F.collect_list(F.struct("attribute", "value")).alias("_values"))
+    right = prints.groupBy(profile).agg(F.map_from_entries(F.collect_list(F.struct("attribute", F.struct("low", "high", "median").alias("r")))).alias("_ranges"))
+    table = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)) if weights else None
+
+    def sub(v: Column) -> Column:
+        r = F.try_element_at("_ranges", v["attribute"])
+        w = F.lit(1.0) if table is None else F.coalesce(F.try_element_at(table, v["attribute"]), F.lit(1.0))
+        return F.struct(F.round(numeric_subscore(v["value"], r["low"], r["high"], r["median"]), 1).alias("s"), w.alias("w"))
+
+    pairs = pairs_in_blocks(left, right, item, profile).withColumn("_subs", F.filter(F.transform("_values", sub), lambda x: x["s"].isNotNull()))
+    total = lambda f: F.aggregate("_subs", F.lit(0.0), lambda a, x: a + f(x))
+    weight = total(lambda x: x["w"])
+    mean = F.when(weight > 0, total(lambda x: x["s"] * x["w"]) / weight).otherwise(0.0)
+    return pairs.select(item, profile, mean.alias("score"), F.size("_subs").cast("long").alias("n_attributes"))
 
 
 def rank(scores: DataFrame, item: str, profile: str) -> DataFrame:
@@ -71,12 +81,18 @@ def rank(scores: DataFrame, item: str, profile: str) -> DataFrame:
 
 
 def similarity(prints: DataFrame, profile: str) -> DataFrame:
-    """Mean likeness of every two profiles over the numeric attributes that both have."""
-    a = prints.select(F.col(profile).alias("a"), "attribute", F.col("mean").alias("x"))
-    b = prints.select(F.col(profile).alias("b"), "attribute", F.col("mean").alias("y"))
-    both = a.join(b, "attribute").where("a < b")
-    off = F.abs(F.col("x") - F.col("y")) / F.greatest(F.abs("x"), F.abs("y"), F.lit(1e-6))
-    return both.groupBy("a", "b").agg(F.avg(1 - F.least(off, F.lit(1.0))).alias("similarity"), F.count("*").alias("n_attributes"))
+    """Mean likeness of every two profiles over the numeric attributes that both have; pairs without any are left out."""
+    from corpusloom.operators.scoring import pairs_in_blocks
+
+    one = prints.groupBy(profile).agg(F.map_from_entries(F.collect_list(F.struct("attribute", "mean"))).alias("m"))
+    pairs = pairs_in_blocks(one.select(F.col(profile).alias("a"), F.col("m").alias("x")), one.select(F.col(profile).alias("b"), F.col("m").alias("y")), "a", "b").where("a < b")
+
+    def like(k: Column) -> Column:
+        x, y = F.element_at("x", k), F.element_at("y", k)
+        return 1 - F.least(F.abs(x - y) / F.greatest(F.abs(x), F.abs(y), F.lit(1e-6)), F.lit(1.0))
+
+    both = pairs.withColumn("_likes", F.transform(F.array_intersect(F.map_keys("x"), F.map_keys("y")), like)).where(F.size("_likes") > 0)
+    return both.select("a", "b", (F.aggregate("_likes", F.lit(0.0), lambda s, v: s + v) / F.size("_likes")).alias("similarity"), F.size("_likes").cast("long").alias("n_attributes"))
 
 
 def similarity_rows(prints: DataFrame, shares: DataFrame, profile: str) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -451,3 +452,48 @@ def item_details(spark, sf_dir):
     fields = profiles.long_categorical(_classed(spark, sf_dir), ["doc_id"], ["lang", "source", "quality"])
     chapters = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.coalesce("role", F.lit("")).alias("chapter"), F.col("turn").alias("point"), "text")
     return catalog.item_detail(fields, {"origin": ["lang", "source"]}, chapters, "doc_id")
+
+
+@query()
+def drawn_sources(spark, sf_dir):
+    """Brands as seekers, types of parts as kinds; parts of size 1 are used."""
+    part = table(spark, sf_dir, "part").select(F.col("p_type").alias("kind"), F.col("p_partkey").alias("item"), "p_brand", "p_size")
+    return activity.drawn_sources(part, part.select("p_brand").distinct(), "p_brand", "kind", "item", part.where("p_size = 1").select("kind", "item"), 11, {"ECONOMY": 0.3, "STANDARD": 0.25, "PROMO": 0.05, "SMALL": 0.4})
+
+
+@query("select o_orderkey, o_orderdate::timestamp o_orderdate from orders where o_orderstatus = 'O' order by o_orderdate, o_orderkey limit 1")
+def oldest_queued(spark, sf_dir):
+    return activity.oldest(table(spark, sf_dir, "orders"), F.col("o_orderstatus") == "O", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_orderdate")
+
+
+@query("select c_custkey, count(o_orderkey) items, count(o_orderkey) filter (o_orderstatus = 'F') done, round(100.0 * count(o_orderkey) filter (o_orderstatus = 'F') / count(o_orderkey), 6) percent from customer join orders on o_custkey = c_custkey group by all having count(o_orderkey) filter (o_orderstatus = 'F') > 0 and count(o_orderkey) > count(o_orderkey) filter (o_orderstatus = 'F')")
+def account_listing(spark, sf_dir):
+    """Customers whose orders are finished in part."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("items"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
+    rows = orders.join(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").withColumn("percent", F.round(100.0 * F.col("done") / F.col("items"), 6))
+    return catalog.listed(rows, [F.col("done") > 0, F.col("done") < F.col("items")], [F.col("percent").desc(), F.col("c_custkey")])
+
+
+@query("""with h as (select doc_id from labels where quality = 1 union select doc_id from labels where toxic = 1 union select conv_id from conversations where role = 'user')
+        select doc_id, lang from documents where doc_id in (select doc_id from h)""")
+def items_with_parts(spark, sf_dir):
+    """Documents that any of three child tables names."""
+    labels = table(spark, sf_dir, "labels")
+    parts = [labels.where("quality = 1").select("doc_id"), labels.where("toxic = 1").select("doc_id"), table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("doc_id"))]
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(parts[0].union(parts[1]).union(parts[2]).distinct(), "doc_id", "left_semi")
+
+
+@query("""select 'text' kind, doc_id id, null::varchar part, n_chars size from documents where n_chars <= 500 union all select 'chapter', conv_id, role, sum(length(coalesce(text, '')))::bigint from conversations group by conv_id, role having sum(length(coalesce(text, ''))) > 0""")
+def rewrite_inputs(spark, sf_dir):
+    """Short documents, and conversations' turns by role as chapters that have content."""
+    docs = table(spark, sf_dir, "documents").where("n_chars <= 500").select(F.lit("text").alias("kind"), F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("part"), F.col("n_chars").alias("size"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("size")).where("size > 0")
+    return docs.union(turns.select(F.lit("chapter"), "conv_id", "role", "size"))
+
+
+@query("select c.*, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity)::int place from (select l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem where l_returnflag = 'A') c")
+def reference_clips(spark, sf_dir):
+    """Lines that were sent back as clips of suppliers, in the order of source and start."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select("l_suppkey", *order)
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("l_suppkey").orderBy(*order)))
