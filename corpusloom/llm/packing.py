@@ -32,9 +32,14 @@ from corpusloom.llm.bpe import BYTE_PATTERN, byte_letters
 from corpusloom.llm.common import materialise, ranked
 
 CAPACITY, END = 1024, 2
-#: Runs of one kind of character so long that tiktoken gives up on them or takes the square of their length.
-LONG_RUN = 4096
-RUN = regex.compile("|".join(rf"{kind}{{{LONG_RUN}}}" for kind in (r"\s", r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]")))
+#: Half the length of a run of one kind of character on which tiktoken gives up, or takes the square of its length.
+HALF_RUN = 2048
+KIND = regex.compile(r"\s+|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")
+
+
+def long_run(text: str) -> bool:
+    """Whether there is a run of two halves: then one of the text's pieces of half its length is of one kind."""
+    return any(KIND.fullmatch(text, i, i + 16) and KIND.fullmatch(text, i, i + HALF_RUN) for i in range(0, len(text) - HALF_RUN + 1, HALF_RUN))
 
 
 @lru_cache(maxsize=2)
@@ -53,7 +58,7 @@ def tokenizer(path: str):
 def token_ids(text: str | None, path: str) -> np.ndarray:
     """The ids of a whole text."""
     coder, special = tokenizer(path)
-    if text and len(text) >= LONG_RUN and RUN.search(text):
+    if text and long_run(text):
         return np.frombuffer(bpe.load(path).encode_bytes(text), np.int32).astype(np.uint32)
     return np.asarray(coder.encode_to_numpy(text or "", allowed_special=special, disallowed_special=()), np.uint32)
 
