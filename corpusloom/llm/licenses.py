@@ -6,7 +6,9 @@ are looked up; two whose postings agree on the relative position propose a place
 there, and the share of the template's weight that stands in place is its score. A verified place holds all mandatory
 words, so each one is proposed, however many notices and licence words the text holds.
 
-A null text has no words, no labels and score 0. Repeated rows get the same result.
+A null or empty text has no words, no labels and score 0. Texts may be of any length. Repeated rows get the same result,
+each its own row; places of one label count by the best of their scores. An empty table gives no rows. Columns beside
+doc_id and text play no part.
 """
 
 from __future__ import annotations

@@ -1,7 +1,9 @@
 """Quality rules: plain counts of each text, and a hashed n-gram log-likelihood ratio of a trusted target against the
 raw corpus, length-normalised and compared with one threshold for every document. DataFrame functions only.
 
-A null text has no words: it fails the base rule. Repeated rows are judged alike. Extra columns pass through keep().
+A null text, or one without words, fails the base rule. Texts may be of any length. Repeated rows are judged alike, and
+each counts in the corpus; a text at the threshold stays. Labels of unknown or null ids play no part; with no trusted
+document in the corpus all weights are 0. An empty table gives no rows. Extra columns pass through keep() under any name.
 """
 
 from __future__ import annotations
