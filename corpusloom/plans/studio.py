@@ -237,9 +237,9 @@ def blended_match(spark, sf_dir):
 
 @query()
 def corpus_members(spark, sf_dir):
-    """Which source's corpus holds another document's text: exact copies, and near ones by the matching-block ratio."""
-    docs = table(spark, sf_dir, "documents")
-    return matching.membership(docs, docs.select(F.col("doc_id").alias("owned"), "source", "text"), "doc_id", "text", "source", "owned")
+    """Which role's corpus holds another turn's text: exact copies, and near ones by the matching-block ratio."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "role", "text")
+    return matching.membership(turns, turns.withColumnRenamed("turn_id", "owned"), "turn_id", "text", "role", "owned")
 
 
 @query()
