@@ -237,9 +237,10 @@ def blended_match(spark, sf_dir):
 
 @query()
 def corpus_members(spark, sf_dir):
-    """Which role's corpus holds another turn's text: exact copies, and near ones by the matching-block ratio."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "role", "text")
-    return matching.membership(turns, turns.withColumnRenamed("turn_id", "owned"), "turn_id", "text", "role", "owned")
+    """Which source's corpus holds another document with the same summary, or nearly: exact copies, and near ones by the
+    matching-block ratio of the summaries of whole texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", titles.summary(F.col("text")).alias("text"))
+    return matching.membership(docs, docs.withColumnRenamed("doc_id", "owned"), "doc_id", "text", "source", "owned")
 
 
 @query()
