@@ -109,7 +109,8 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple
 
     start: what that share is taken to be before the first round."""
     logit = lambda p: np.log(p / (1 - p))
-    votes = votes.astype(np.float32)
+    votes = np.asarray(votes, np.float32)
+    alone = (votes.T @ votes).astype(float)  # how often two voters fire together
     fired, right, keep, post = votes.sum(0), start.astype(float), np.ones(votes.shape[1]), None
     prior = float(np.clip(((votes @ right) / np.maximum(votes.sum(1), 1)).mean(), 0.01, 0.5))
     together = np.eye(votes.shape[1])
@@ -122,10 +123,14 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple
         prior = float(np.clip(post.mean(), 1e-3, 0.9))
         right = np.clip((post @ votes + GUESS * start) / (fired + GUESS), 1e-3, 1 - 1e-3)
         if turn < 3:  # what a voter's vote leaves unexplained by the class; correlated remainders are the same evidence twice
-            by_class = [(w @ votes) / max(w.sum(), 1e-9) for w in (post, 1 - post)]
-            rest = votes - np.outer(post, by_class[0]).astype(np.float32) - np.outer(1 - post, by_class[1]).astype(np.float32)
-            scale = np.sqrt((rest**2).mean(0)) + 1e-9
-            together = (rest.T @ rest) / len(votes) / np.outer(scale, scale)
+            # of the table of remainders only its products are needed: it would be as large as the votes again
+            on, off = post @ votes, (1 - post) @ votes
+            one, two = on / max(post.sum(), 1e-9), off / max((1 - post).sum(), 1e-9)
+            both = float(post @ (1 - post))
+            left = alone - np.outer(on, one) - np.outer(one, on) - np.outer(off, two) - np.outer(two, off)
+            left += float(post @ post) * np.outer(one, one) + both * (np.outer(one, two) + np.outer(two, one)) + float((1 - post) @ (1 - post)) * np.outer(two, two)
+            scale = np.sqrt(np.maximum(np.diag(left), 0)) + 1e-6
+            together = left / np.outer(scale, scale)
             alike = np.clip(together, 0, 1)
             alike[alike < 0.2] = 0
             np.fill_diagonal(alike, 1)
@@ -166,16 +171,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> dict:
             yield pd.DataFrame({"label": rows["label"], "found": found, "signs": signs})
 
     rows = train.mapInPandas(hits, "label int, found array<int>, signs array<boolean>").collect()
-    x = np.zeros((len(rows), len(names)), np.float32)
+    x = np.zeros((len(rows), len(names)), np.uint8)
     for i, r in enumerate(rows):
         x[i, r.found] = 1
     # features that stand in the same rows are one voter
-    _, firsts, voter = np.unique(np.packbits(x.astype(bool), axis=0), axis=1, return_index=True, return_inverse=True)
-    x, shared = x[:, firsts], np.bincount(voter.ravel())
+    _, firsts, voter = np.unique(np.packbits(x, axis=0), axis=1, return_index=True, return_inverse=True)
+    x, shared = x[:, firsts].astype(np.float32), np.bincount(voter.ravel())
     marked = np.array([r.label for r in rows], np.float32)[:, None]
     votes = np.hstack([x, np.array([r.signs for r in rows], np.float32), 1 - x.max(1, keepdims=True), marked, 1 - marked])
     kinds = ["lexicon"] * x.shape[1] + ["pattern"] * (len(rows[0].signs) - 1) + ["lexicon", "none", "marked", "cleared"]
     post, _ = label_model(votes, np.array([START[k] for k in kinds]))
+    del rows, votes
     w = linear(x, post)
     each = w[:-1][voter.ravel()] / shared[voter.ravel()]
     return {"weights": {f: float(v) for f, v in zip(names, each, strict=True) if abs(v) > 1e-9}, "intercept": float(w[-1])}
