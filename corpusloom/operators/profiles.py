@@ -48,10 +48,12 @@ def categorical_fingerprint(rows: DataFrame, profile: str) -> DataFrame:
 
 
 def blend(prints: DataFrame, weights: DataFrame, profile: str, hybrid: str) -> DataFrame:
-    """Fingerprints of hybrids: weighted means over the sources that have the attribute."""
+    """Fingerprints of hybrids: weighted means over the sources that have the attribute, to three digits; values, where
+    the fingerprints have them, are pooled in order."""
     rows = prints.join(weights, profile)
-    mean = lambda c: (F.sum(F.col(c) * F.col("weight")) / F.sum("weight")).alias(c)
-    return rows.groupBy(hybrid, "attribute").agg(*(mean(c) for c in ("mean", "std", "low", "high", "median")), F.count("*").alias("sources"))
+    mean = lambda c: F.round(F.sum(F.col(c) * F.col("weight")) / F.sum("weight"), 3).alias(c)
+    pooled = [F.sort_array(F.flatten(F.collect_list("values"))).alias("values")] if "values" in prints.columns else []
+    return rows.groupBy(hybrid, "attribute").agg(*(mean(c) for c in ("mean", "std", "low", "high", "median")), F.count("*").alias("sources"), *pooled)
 
 
 def score(items: DataFrame, prints: DataFrame, item: str, profile: str, weights: dict[str, float] | None = None) -> DataFrame:

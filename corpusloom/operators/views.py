@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -37,10 +38,23 @@ def extremes(prints: DataFrame, profile: str) -> DataFrame:
     return prints.select("attribute", "mean", profile).join(best, ["attribute", "mean"]).groupBy("attribute", "mean").agg(F.min(profile).alias(profile), F.count("*").alias("tied"))
 
 
+def characteristic(prints: DataFrame, shares: DataFrame, numbers: DataFrame, values: DataFrame, profile: str, item: str, k: int = 2) -> DataFrame:
+    """attribute, profile, kind, told, examples: the profile of the largest mean of each number and of the largest share
+    of each category with that value (smaller names at a tie), and k of its items: those of the largest numbers, or the
+    first that have the value. numbers and values are long rows of profile, item, attribute, value."""
+    num = extremes(prints, profile).select("attribute", profile, F.lit("numeric").alias("kind"), F.round("mean", 3).cast("string").alias("told"))
+    best = F.min_by(F.struct(profile, "value"), F.struct(-F.col("share"), F.col(profile), F.col("value"))).alias("b")
+    cat = shares.groupBy("attribute").agg(best).select("attribute", F.col(f"b.{profile}").alias(profile), F.lit("categorical").alias("kind"), F.col("b.value").alias("told"))
+    large = numbers.join(num, ["attribute", profile]).select("attribute", item, (-F.col("value")).alias("by"))
+    having = values.join(cat, ["attribute", profile]).where(F.col("value") == F.col("told")).select("attribute", item, F.lit(0.0).alias("by"))
+    first = F.row_number().over(W.partitionBy("attribute").orderBy("by", item))
+    shown = large.union(having).withColumn("r", first).where(F.col("r") <= k)
+    told = shown.groupBy("attribute").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.col(item).alias("i")))), lambda x: x["i"].cast("string")), ",").alias("examples"))
+    return num.union(cat).join(told, "attribute", "left")
+
+
 def top_values(shares: DataFrame, profile: str, k: int) -> DataFrame:
     """The k most frequent values of each attribute of a profile, by share, then value."""
-    from pyspark.sql import Window as W
-
     place = F.row_number().over(W.partitionBy(profile, "attribute").orderBy(F.col("share").desc(), "value"))
     return shares.withColumn("place", place).where(F.col("place") <= k)
 

@@ -310,7 +310,7 @@ ORACLE_SQL = {
         v as (select source, x.attribute, x.value from d, lateral (values ('lang', lang), ('quality', quality), ('toxic', toxic)) x(attribute, value) where x.value is not null),
         c as (select source, attribute, value, count(*) n from v group by all)
         select source, attribute, value, n, round(100.0 * n / sum(n) over (partition by source, attribute), 6) share from c""",
-    "fingerprint_hybrid": _feature_ctes("documents") + _PRINTS + ", b as (select *, case source when 'src0' then 0.75 when 'src1' then 0.25 end::double wt from pr) select 'mix' as hybrid, attribute, count(*) sources, " + ", ".join(f"round(sum({c} * wt) / sum(wt), 6) {c}" for c in ("mean", "std", "low", "high", "median")) + " from b where wt is not null group by attribute",
+    "fingerprint_hybrid": _feature_ctes("documents") + _PRINTS + ", b as (select *, case source when 'src0' then 0.75 when 'src1' then 0.25 end::double wt from pr) select 'mix' as hybrid, attribute, count(*) sources, " + ", ".join(f"round(sum({c} * wt) / sum(wt), 3) {c}" for c in ("mean", "std", "low", "high", "median")) + " from b where wt is not null group by attribute",
     "score_profiles": _SCORES + " select * from sc",
     "rank_profiles": _SCORES + " select *, row_number() over (partition by item_id order by score desc, source)::int place from sc",
     "profile_similarity": _feature_ctes("documents") + _PRINTS + " select a.source a, b.source b, round(avg(1 - least(abs(a.mean - b.mean) / greatest(abs(a.mean), abs(b.mean), 1e-6), 1.0)), 6) similarity, count(*) n_attributes from pr a join pr b on a.attribute = b.attribute and a.source < b.source group by all",

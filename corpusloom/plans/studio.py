@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import titles
-from corpusloom.operators import activity, matching, profiles, scoring, upkeep
+from corpusloom.operators import matching, profiles, scoring, views
 from corpusloom.plans.queries import QUERIES as QUERIES_OF_PLANS
 from corpusloom.plans.queries import _LONG, _PRINTS, _SCORES, SCORED, _cosine_words, _feature_ctes, _features, _prints, _scores, rounded, table
 
@@ -249,3 +249,17 @@ def account_suggestions(spark, sf_dir):
     names = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))
     accounts = table(spark, sf_dir, "customer").select(F.col("c_name").alias("account"))
     return matching.suggestions(names, accounts, "name", "account")
+
+
+@query(_feature_ctes("documents") + _PRINTS + f""", {_SHARE_CTES},
+        nb as (select attribute, source, mean from (select attribute, source, round(mean, 6) mean from pr) qualify row_number() over (partition by attribute order by mean desc, source) = 1),
+        cb as (select attribute, source, value from sh qualify row_number() over (partition by attribute order by share desc, source, value) = 1),
+        il as (select doc_id, source, v.attribute, v.value from f, lateral (values {_LONG}) v(attribute, value) where v.value is not null),
+        ex as (select il.attribute, doc_id, -il.value k from il join nb using (attribute, source) union all select sv.attribute, doc_id, 0.0 from sv join cb using (attribute, source, value)),
+        er as (select *, row_number() over (partition by attribute order by k, doc_id) r from ex), ea as (select attribute, string_agg(doc_id::varchar, ',' order by r) examples from er where r <= 2 group by all)
+        select attribute, source, 'numeric' kind, round(mean, 3)::varchar told, examples from nb left join ea using (attribute) union all select attribute, source, 'categorical', value, examples from cb left join ea using (attribute)""")
+def characteristic_examples(spark, sf_dir):
+    """The most characteristic source of each attribute, with two of its documents."""
+    numbers = profiles.long_numeric(_features(spark, sf_dir), ["source", "doc_id"], SCORED)
+    values = profiles.long_categorical(_classed(spark, sf_dir), ["source", "doc_id"], CATEGORICAL)
+    return views.characteristic(rounded(_prints(spark, sf_dir)), _shares(spark, sf_dir), numbers, values, "source", "doc_id")
