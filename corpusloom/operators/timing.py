@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import half_even
+
 STOP = ("this", "that", "with", "from", "they", "have", "what", "when", "your", "about", "there", "their", "which", "would", "could")
 
 
@@ -95,6 +97,40 @@ def assembly_plan(beats: DataFrame, item: str, beat: str, least: str, most: str,
     return rows.select(item, beat, "shot", "shot_s", (F.col("_from") + (F.col("shot") - 1) * F.col("shot_s")).alias("start_s"), role.alias("role"))
 
 
+def tempo(percent_on_beat: Column, bpm: Column, least: float = 50) -> Column:
+    """Seconds of a beat of an account that puts at least so many percent of its cuts on one; null otherwise."""
+    return F.when((percent_on_beat >= least) & (bpm > 0), half_even(60.0 / bpm, 4))
+
+
+def shot_plan(beats: DataFrame, item: str, beat: str) -> DataFrame:
+    """A row for each shot of the beats of items, in order: item, beat, shot (from 1 in the item), seconds, subject,
+    caption, voiceover, role, previous.
+
+    beats has title, captions, tags and lines (arrays of string), sec_min, sec_max, shot_min, shot_max and beat_sec (null
+    without a tempo). A beat has as many shots as the middle of its range, else as it has captions, one at least; its
+    middle length is dealt evenly, then snapped to whole beats. Captions are spread over contiguous shots, a tag stands
+    on the shot of its number, the lines are spoken under the first shot. previous is the subject of the shot before,
+    unless it is the same. (item, beat) is unique."""
+    none = F.array().cast("array<string>")
+    rows = beats.withColumns({c: F.coalesce(c, none) for c in ("captions", "tags", "lines")})
+    lo, smin = F.coalesce("sec_min", F.lit(0.0)), F.coalesce("shot_min", F.lit(0))
+    hi, smax = F.coalesce(F.nullif(F.coalesce("sec_max", F.lit(0.0)), F.lit(0.0)), lo), F.coalesce(F.nullif(F.coalesce("shot_max", F.lit(0)), F.lit(0)), smin)
+    n = F.when((smin != 0) | (smax != 0), F.rint((smin + smax) / 2)).otherwise(F.greatest(F.size("captions"), F.lit(1)))
+    rows = rows.withColumns({"_n": F.greatest(F.lit(1), n.cast("int")), "_len": (lo + hi) / 2})
+    even = F.when(F.col("_len") > 0, half_even(F.col("_len") / F.col("_n"), 2))
+    snapped = half_even(F.greatest(F.lit(1.0), F.rint(even / F.col("beat_sec"))) * F.col("beat_sec"), 3)
+    rows = rows.withColumn("seconds", F.when(F.col("beat_sec").isNotNull() & (even != 0), snapped).otherwise(even))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
+    at = F.least(F.size("captions") - 1, F.floor(F.col("_i") * F.size("captions") / F.col("_n")).cast("int"))
+    subject = F.when(F.size("captions") > 0, F.get("captions", at)).otherwise(F.coalesce("title", F.lit("")))
+    spoken = F.when((F.col("_i") == 0) & (F.size("lines") > 0), F.array_join("lines", " "))
+    order = W.partitionBy(item).orderBy(beat, "_i")
+    rows = rows.select(item, beat, "_i", "seconds", subject.alias("subject"), F.get("tags", F.col("_i")).alias("caption"), spoken.alias("voiceover"))
+    rows = rows.withColumns({"shot": F.row_number().over(order), "_total": F.count("*").over(W.partitionBy(item)), "_before": F.lag("subject").over(order)})
+    role = F.when(F.col("shot") == 1, "opening").when(F.col("shot") == F.col("_total"), "closing").otherwise("middle")
+    return rows.select(item, beat, "shot", "seconds", "subject", "caption", "voiceover", role.alias("role"), F.when(F.col("_before") != F.col("subject"), F.col("_before")).alias("previous"))
+
+
 def even_frames(frames: DataFrame, item: str, number: str, quota: int, most: int) -> DataFrame:
     """At most quota frames of each item, evenly spread, of the newest items first, most in all (a sampling operator)."""
     here = W.partitionBy(item)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import titles
-from corpusloom.operators import activity, cards, catalog, profiles, replies, upkeep
+from corpusloom.operators import activity, cards, catalog, profiles, replies, timing, upkeep
 from corpusloom.plans.queries import _PRINTS, SCORED, _even, _feature_ctes, _features, _prints, rounded, table
 from corpusloom.plans.studio import _SHARE_CTES, _classed, _shares
 
@@ -497,3 +497,32 @@ def reference_clips(spark, sf_dir):
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
     rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select("l_suppkey", *order)
     return rows.withColumn("place", F.row_number().over(W.partitionBy("l_suppkey").orderBy(*order)))
+
+
+@query(f"""with b as (select conv_id, turn, coalesce(role, '') title, list_filter(string_split(coalesce(text, ''), '. '), lambda x: x <> '') captions, case when turn % 2 = 0 then [role] else [] end tags,
+            length(coalesce(text, '')) / 20.0::double lo, length(coalesce(text, '')) / 10.0::double hi, (turn % 3)::int smin, (turn % 5)::int smax, case when conv_id % 2 = 0 then 0.4615::double end bs from conversations),
+        c as (select *, case when smin <> 0 or smax <> 0 then greatest(1, round_even((smin + case when smax = 0 then smin else smax end) / 2, 0)::int) else greatest(len(captions), 1) end n, (lo + hi) / 2 len from b),
+        d as (select *, case when len > 0 then {_even("len / n", 2)} end even from c),
+        e as (select *, case when bs is not null and even <> 0 then {_even("greatest(1.0::double, round_even(even / bs, 0)) * bs", 3)} else even end sec from d),
+        x as (select *, unnest(range(n)) i from e),
+        y as (select *, case when len(captions) > 0 then captions[least(len(captions) - 1, i * len(captions) // n) + 1] else title end subject, row_number() over (partition by conv_id order by turn, i) shot, count(*) over (partition by conv_id) total from x),
+        z as (select *, lag(subject) over (partition by conv_id order by turn, i) bf from y)
+        select conv_id, turn, shot::int shot, sec as "seconds", subject, tags[i + 1] caption, case when i = 0 and text_of <> '' then text_of end voiceover, case when shot = 1 then 'opening' when shot = total then 'closing' else 'middle' end as role, case when bf <> subject then bf end previous
+        from z join (select conv_id, turn, coalesce(text, '') text_of from conversations) using (conv_id, turn)""")
+def shot_plans(spark, sf_dir):
+    """Conversations as items, turns as beats: their sentences are captions, their lengths seconds; even ones have a tempo."""
+    t = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        F.coalesce("role", F.lit("")).alias("title"),
+        F.filter(F.split(t, "[.] "), lambda x: x != "").alias("captions"),
+        F.when(F.col("turn") % 2 == 0, F.array("role")).alias("tags"),
+        F.when(t != "", F.array(t)).alias("lines"),
+        (F.length(t) / 20.0).alias("sec_min"),
+        (F.length(t) / 10.0).alias("sec_max"),
+        (F.col("turn") % 3).cast("int").alias("shot_min"),
+        (F.col("turn") % 5).cast("int").alias("shot_max"),
+        timing.tempo(F.when(F.col("conv_id") % 2 == 0, 80), F.lit(130.0)).alias("beat_sec"),
+    )
+    return timing.shot_plan(rows, "conv_id", "turn")
