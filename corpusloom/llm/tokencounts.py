@@ -85,6 +85,9 @@ class Rollup:
         both = both.withColumn("now", F.when(F.col("op") != "delete", F.col("new"))).where("now is not null or old is not null")
         kept = F.coalesce("now", "old")
         state = both.select("doc_id", "version", F.col("now").isNotNull().alias("alive"), kept["source"].alias("source"), kept["lang"].alias("lang"), kept["n_tokens"].alias("n_tokens"), "bucket")
+        # each task writes one bucket or two, and a bucket is written by as many tasks as there are for it
+        slices = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+        state = state.repartition("bucket", F.pmod(F.xxhash64("doc_id", "version"), F.lit(slices)))
         state.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.states}/seq={len(self.commits)}")
         signed = F.array(F.struct(F.lit(-1).alias("sign"), F.col("old").alias("v")), F.struct(F.lit(1).alias("sign"), F.col("now").alias("v")))
         delta = both.select("version", F.explode(signed).alias("d")).where("d.v is not null")
