@@ -69,8 +69,7 @@ def missed(offsets: np.ndarray, starts: list[int], bases: list[int], slopes: lis
     return gap.astype(np.uint8).tobytes()
 
 
-@arrow_udf(INDEX)
-def index(texts: pa.Array) -> pa.Array:
+def indexed(texts: pa.Array) -> pa.Array:
     """The index of each whole text; n is its number of lines."""
     out = []
     for text in texts:
@@ -82,11 +81,21 @@ def index(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("n", pa.int64()), *((x, whole) for x in parts), ("missed", pa.binary())]))
 
 
-def cut_at(indexed: Column, rank: Column) -> Column:
+def index(text: Column) -> Column:
+    """The index of each whole text, a struct of INDEX."""
+
+    @arrow_udf(INDEX)
+    def index_of(texts: pa.Array) -> pa.Array:
+        return indexed(texts)
+
+    return index_of(text)
+
+
+def cut_at(found: Column, rank: Column) -> Column:
     """The offset of the boundary of that rank: its segment's prediction, corrected by the stored byte."""
-    own = F.size(F.filter(indexed["starts"], lambda s: s <= rank))
-    told = F.element_at(indexed["bases"], own) + F.shiftright((rank - F.element_at(indexed["starts"], own)) * F.element_at(indexed["slopes"], own), SCALE)
-    byte = F.conv(F.hex(F.substring(indexed["missed"], (rank + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    own = F.size(F.filter(found["starts"], lambda s: s <= rank))
+    told = F.element_at(found["bases"], own) + F.shiftright((rank - F.element_at(found["starts"], own)) * F.element_at(found["slopes"], own), SCALE)
+    byte = F.conv(F.hex(F.substring(found["missed"], (rank + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
     return told + byte - 128
 
 
@@ -103,7 +112,7 @@ def transform(docs: DataFrame, seed: int = 7, rate: int = 100, spm: int = 50) ->
     hashed = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     drawn = [F.conv(F.substring(hashed, 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)]
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).select("*", index("text").alias("index"), *(h.alias(f"h{i}") for i, h in enumerate(drawn, 1)))
+    rows = docs.select("doc_id", text.alias("text")).select("*", index(F.col("text")).alias("index"), *(h.alias(f"h{i}") for i, h in enumerate(drawn, 1)))
     marked = F.col("text").contains(PREFIX) | F.col("text").contains(SUFFIX) | F.col("text").contains(MIDDLE)
     form = F.when((F.col("text") == "") | marked | (F.col("h3") % 100 >= rate), "plain").when(F.col("h4") % 100 < spm, "spm").otherwise("psm")
     n = F.col("index.n")

@@ -7,8 +7,8 @@ characters again never joins across their border: both are played back by rank,
 
 Merges of one score go from the left on. A model may give one score to pieces of repeated spaces alone, as the last
 merges of all; runs of spaces then merge from the left on, on a stack. No piece has a space after another character, so
-texts are parted before spaces, and at characters that stand in no longer piece; parts repeat, so every Python worker
-keeps a bounded table of those that it has met. Characters without a piece become their bytes.
+texts are parted before spaces, at characters that stand in no longer piece, and after letters where no piece has
+another character after a letter; parts repeat, so every Python worker keeps a bounded table of those that it has met. Characters without a piece become their bytes.
 
 Nulls and empty texts have no ids and decode to empty texts. Texts and words may be of any length. Repeated rows and ids
 come back row by row, an empty table gives no rows, and columns beside doc_id and text play no part. The model is read
@@ -17,6 +17,7 @@ from a file whose path is a parameter.
 
 from __future__ import annotations
 
+import re
 from array import array
 from functools import lru_cache
 
@@ -24,21 +25,38 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from corpusloom.llm.bpe import _Table
-
 #: What stands for a space in pieces, and what an unknown piece decodes to (fixed values of the format).
 SPACE, UNKNOWN = "▁", " ⁇ "
 #: Parts of texts and verdicts on pairs of pieces that a Python worker keeps; ids that are decoded at a time.
 KEPT_PARTS, KEPT_PAIRS, DECODED = 500_000, 1_000_000, 1 << 25
+#: Longer parts are not kept.
+LONGEST = 64
+#: What stands before the first piece.
+START = 0xFFFFFFF
 NEVER = float("inf")
 
 
+class Kept(dict):
+    """What has been made for a key; emptied when it holds most keys."""
+
+    def __init__(self, make, most: int, size=None):
+        super().__init__()
+        self.make, self.most, self.size_of = make, most, size
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if self.size_of is None or self.size_of(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Pieces:
     """A merge-type model with byte fallback, a leading space added to each text and no other normalisation."""
 
@@ -66,18 +84,23 @@ class Pieces:
             if len(t) == 1 or i in apart:
                 self.automaton.add_word(t, (i, len(t)))
         self.automaton.make_automaton()
-        inner = "".join(map(regex.escape, sorted(within - {SPACE})))
-        self.cut = regex.compile(f"{SPACE}+[{inner}]*|[{inner}]+|[^{SPACE}{inner}]" if inner else f"{SPACE}+|[^{SPACE}]", regex.DOTALL)
+        inner = within - {SPACE}
+        # where no piece goes on after a letter with another kind of character, a part ends with its letters
+        ends = not any(a.isalpha() and not b.isalpha() for t in map(self.text.get, apart) for a, b in zip(t, t[1:]))
+        letters, others = ("".join(map(re.escape, sorted(x))) for x in ({c for c in inner if ends and c.isalpha()}, {c for c in inner if not (ends and c.isalpha())}))
+        others_, letters_ = f"[{others}]" if others else "(?!)", f"[{letters}]" if letters else "(?!)"
+        self.cut = re.compile(f"{SPACE}+{others_}*{letters_}*|{others_}+{letters_}*|{letters_}+|[^{SPACE}{others}{letters}]", re.DOTALL)
         self.trees: dict[int, tuple[int, int] | None] = {}
         self.edges: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
-        self.shorter: dict[int, int | None] = {}
-        self.pairs: dict[int, bool] = {}
-        self.parts = _Table(self._part, KEPT_PARTS)
+        self.size = [len(self.text.get(i, "")) for i in ids]
+        self.shorter = Kept(self.prefix, len(self.text))
+        self.pairs = Kept(lambda pair: self.beside(pair >> 32, pair & 0xFFFFFFFF) if pair >> 32 != START else self.tree(pair & 0xFFFFFFFF) is not None, KEPT_PAIRS)
+        self.parts = Kept(self._part, KEPT_PARTS, len)
+        self.words = Kept(lambda word: self._part(SPACE + word), KEPT_PARTS, len)
         surface = {i: t.replace(SPACE, " ").encode() for i, t in self.text.items()} | {i: bytes([b]) for b, i in self.bytes.items()} | dict.fromkeys(self.control, b"")
         self.surface = pa.array([surface.get(i, UNKNOWN.encode()) for i in ids], pa.binary())
         self.is_control = np.array([i in self.control for i in ids])
         self.spaced = np.array([self.text.get(i, "").startswith(SPACE) for i in ids])
-        self.shown = np.array([self.text.get(i) != SPACE and i not in self.control for i in ids])
 
     def tree(self, i: int) -> tuple[int, int] | None:
         """The two pieces that merge last into piece i; itself twice for a character, none where merging its characters
@@ -107,35 +130,26 @@ class Pieces:
 
     def beside(self, a: int, b: int) -> bool:
         """Whether pieces a and b may stand side by side. Of merges of one rank the left one comes first."""
-        pair = a << 32 | b
-        known = self.pairs.get(pair)
-        if known is None:
-            left, right, x, y = self.edge(a, 1), self.edge(b, 0), 0, 0
-            while True:
-                end_a = self.rank[left[x + 1]] if x + 1 < len(left) else NEVER
-                end_b = self.rank[right[y + 1]] if y + 1 < len(right) else NEVER
-                across = self.rank.get(self.id.get(self.text[left[x]] + self.text[right[y]], -1), NEVER)
-                if across < end_a and across <= end_b:
-                    known = False
-                    break
-                if end_a == end_b == NEVER:
-                    known = True
-                    break
-                if end_a <= end_b:
-                    x += 1
-                else:
-                    y += 1
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            self.pairs[pair] = known
-        return known
-
-    def prefix(self, i: int) -> int | None:
-        """The longest piece that is a shorter beginning of piece i."""
-        if i not in self.shorter:
-            t = self.text[i]
-            self.shorter[i] = next((self.id[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.id), None)
-        return self.shorter[i]
+        if not self.tree(a) or not self.tree(b):
+            return False
+        left, right, x, y = self.edge(a, 1), self.edge(b, 0), 0, 0
+        while True:
+            end_a = self.rank[left[x + 1]] if x + 1 < len(left) else NEVER
+            end_b = self.rank[right[y + 1]] if y + 1 < len(right) else NEVER
+            across = self.rank.get(self.id.get(self.text[left[x]] + self.text[right[y]], -1), NEVER)
+            if across < end_a and across <= end_b:
+                return False
+            if end_a == end_b == NEVER:
+                return True
+            if end_a <= end_b:
+                x += 1
+            else:
+                y += 1
+
+    def prefix(self, i: int) -> int:
+        """The longest piece that is a shorter beginning of piece i, -1 if there is none."""
+        t = self.text[i]
+        return next((self.id[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.id), -1)
 
     def backtracked(self, s: str) -> list[int]:
         """The pieces of s, whose characters all are pieces."""
@@ -143,25 +157,27 @@ class Pieces:
         if whole is not None and self.tree(whole):
             return [whole]
         longest = [0] * len(s)
-        for end, (i, size) in self.automaton.iter(s):
-            longest[end - size + 1] = i  # ends grow, so the longest comes last
-        failed, out, at, text = bytearray(len(s) // 8 + 1), [], 0, self.text
-        piece: int | None = longest[0]
-        while at < len(s):
-            while piece is not None:
-                end = at + len(text[piece])
-                if not failed[end >> 3] >> (end & 7) & 1 and self.tree(piece) and (not out or self.beside(out[-1], piece)):
+        for end, (i, n) in self.automaton.iter(s):
+            longest[end - n + 1] = i  # ends grow, so the longest comes last
+        failed: bytearray | None = None  # until a place fails
+        out, last, at, stop, size, pairs, shorter = [], START, 0, len(s), self.size, self.pairs, self.shorter
+        piece = longest[0]
+        while at < stop:
+            while piece >= 0:
+                end = at + size[piece]
+                if pairs[last << 32 | piece] and (failed is None or not failed[end >> 3] >> (end & 7) & 1):
                     break
-                piece = self.prefix(piece)
-            if piece is not None:
-                out.append(piece)
-                at = end
-                piece = longest[at] if at < len(s) else None
+                piece = shorter[piece]
+            if piece >= 0:
+                out.append(last)
+                last, at = piece, end
+                piece = longest[at] if at < stop else -1
             else:
+                failed = failed or bytearray(stop // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
-                piece = out.pop()
-                at -= len(text[piece])
-        return out
+                piece, last = last, out.pop()
+                at -= size[piece]
+        return [*out[1:], last]
 
     def spaces(self, n: int) -> list[int]:
         """The pieces of a run of n spaces: merges from the left on, on a stack of lengths."""
@@ -177,6 +193,8 @@ class Pieces:
         before = len(part) - len(rest)
         if not rest:
             ids = self.spaces(before)
+        elif self.cut.fullmatch(part) is None:
+            return b"".join(map(self.parts.__getitem__, self.cut.findall(part)))
         elif rest not in self.id and len(rest) == 1:
             ids = [*self.spaces(before), *(self.bytes[b] for b in rest.encode("utf-8", "surrogatepass"))]
         else:
@@ -190,7 +208,9 @@ class Pieces:
         """The ids of a text as 32-bit numbers."""
         if not text:
             return b""
-        return b"".join(map(self.parts.__getitem__, self.cut.findall(SPACE + text.replace(" ", SPACE))))
+        if text[0] == " " or "  " in text or SPACE in text:
+            return b"".join(map(self.parts.__getitem__, self.cut.findall(SPACE + text.replace(" ", SPACE))))
+        return b"".join(map(self.words.__getitem__, text.split(" ")))
 
     def encode(self, text: str | None) -> list[int]:
         return array("i", self.encode_bytes(text)).tolist()
@@ -216,24 +236,34 @@ class Pieces:
 
     def _shown(self, raw: bytes, ids: np.ndarray) -> str:
         # the space that was added goes with the first piece that isn't a control piece
+        control = self.is_control[ids]
         first = next((i for i in ids if not self.is_control[i]), None)
-        raw = raw[1:] if first is not None and self.spaced[first] else raw
-        try:
-            return raw.decode()
-        except UnicodeDecodeError:
-            out, at = [], 0
-            while at < len(raw):  # each byte that starts no character is replaced by itself
-                for n in (1, 2, 3, 4):
-                    try:
-                        out.append(raw[at : at + n].decode())
-                        at += n
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                else:
-                    out.append("�")
-                    at += 1
-            return "".join(out)
+        added = int(first is not None and self.spaced[first])
+        if not control.any():
+            return characters(raw[added:])
+        runs = (b"".join(self.surface[int(i)].as_py() for i in run) for run in np.split(ids, np.flatnonzero(control)))
+        shown = "".join(map(characters, runs))  # bytes on either side of a control piece make no character
+        return shown[added:]
+
+
+def characters(raw: bytes) -> str:
+    """UTF-8 as text; each byte that starts no character is replaced by itself."""
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        out, at = [], 0
+        while at < len(raw):
+            for n in (1, 2, 3, 4):
+                try:
+                    out.append(raw[at : at + n].decode())
+                    at += n
+                    break
+                except UnicodeDecodeError:
+                    continue
+            else:
+                out.append("\ufffd")
+                at += 1
+        return "".join(out)
 
 
 @lru_cache(maxsize=4)
