@@ -10,9 +10,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from corpusloom.functions import text as T
-
-
 def word_rows(texts: DataFrame, key: str, text: str, least: int, stopwords: list[str]) -> DataFrame:
     """key, word (ASCII letters, lower case, longer than least, no stopwords), one row an occurrence."""
     found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"[a-z]{{{least + 1},}}"), F.lit(0))
@@ -197,36 +194,6 @@ def page_match(examples: DataFrame, pages: DataFrame, book: str, item: str, text
     return scored.groupBy(book, item).agg(F.max(F.struct("score", page)).alias("_m")).select(book, item, f"_m.{page}", "_m.score")
 
 
-def membership(texts: DataFrame, corpus: DataFrame, item: str, text: str, account: str, owned: str, words: int = 5, share: float = 0.1, near: float = 0.85, exact: float = 0.995) -> DataFrame:
-    """item, account, match (exact or near), similarity, matched: whether an account's corpus holds a text.
-
-    Equal normalised texts are exact. Else the best matching-block ratio counts, over texts of the corpus that share a
-    tenth of the shorter one's runs of so many words with the item and whose length lets the ratio be reached; normalised texts are compared, and an
-    item never with itself (rows of texts and corpus with the same item and owned id)."""
-    norm, shown = T.normalised(F.col(text)), F.col("_norm") != ""
-    a = texts.select(item, norm.alias("_norm")).where(shown)
-    b = corpus.select(owned, account, norm.alias("_norm")).where(shown)
-    same = F.col(item) != F.col(owned)
-    equal = a.join(b, "_norm").where(same).groupBy(item, account).agg(F.min(owned).alias("matched"))
-    equal = equal.select(item, account, F.lit("exact").alias("match"), F.lit(1.0).alias("similarity"), "matched")
-
-    def runs(rows: DataFrame, key: str) -> DataFrame:
-        split = F.split("_norm", " ")
-        each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(split) - words, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(split, i + 1, words), " ")))
-        rows = rows.withColumn("_runs", F.array_distinct(each))
-        return rows.select(key, F.length("_norm").alias(f"_len_{key}"), F.size("_runs").alias(f"_n_{key}"), F.explode("_runs").alias("_run"))
-
-    left, right = runs(a, item), runs(b, owned)
-    long = F.least(f"_len_{item}", f"_len_{owned}") * 2.0 >= near * (F.col(f"_len_{item}") + F.col(f"_len_{owned}"))
-    met = left.join(right, "_run").where(long & same).groupBy(item, owned, f"_n_{item}", f"_n_{owned}").agg(F.count("*").alias("_shared"))
-    close = met.where(F.col("_shared") >= share * F.least(f"_n_{item}", f"_n_{owned}")).select(item, owned)
-    texts_of = close.join(a.withColumnRenamed("_norm", "_x"), item).join(b.withColumnRenamed("_norm", "_y"), owned)
-    scored = texts_of.withColumn("similarity", block_ratio("_x", "_y")).where(F.col("similarity") >= near)
-    best = scored.groupBy(item, account).agg(F.max(F.struct("similarity", (-F.col(owned)).alias("m"))).alias("b"))
-    best = best.select(item, account, F.when(F.col("b.similarity") >= exact, "exact").otherwise("near").alias("match"), "b.similarity", (-F.col("b.m")).alias("matched"))
-    return equal.union(best.join(equal.select(item, account), [item, account], "left_anti"))
-
-
 def suggestions(names: DataFrame, accounts: DataFrame, name: str, account: str, k: int = 5, least: float = 0.5, sure: float = 0.82) -> DataFrame:
     """name, account, confidence, place, action: up to k accounts that a name may mean, by matching-block ratio of the
     normalised names (the smaller account at a tie). The names are queries against all accounts, in blocks.

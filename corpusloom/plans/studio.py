@@ -12,10 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.functions import titles
-from corpusloom.operators import matching, profiles, scoring, views
+from corpusloom.operators import matching, members, profiles, scoring, views
 from corpusloom.plans.queries import QUERIES as QUERIES_OF_PLANS
-from corpusloom.plans.queries import _LONG, _PRINTS, _SCORES, SCORED, _cosine_words, _feature_ctes, _features, _prints, _scores, rounded, table
+from corpusloom.plans.queries import _LONG, _NORMAL, _PRINTS, _SCORES, SCORED, _cosine_words, _feature_ctes, _features, _prints, _scores, rounded, table
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -237,10 +236,25 @@ def blended_match(spark, sf_dir):
 
 @query()
 def corpus_members(spark, sf_dir):
-    """Which source's corpus holds another document with the same summary, or nearly: exact copies, and near ones by the
-    matching-block ratio of the summaries of whole texts."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", titles.summary(F.col("text")).alias("text"))
-    return matching.membership(docs, docs.withColumnRenamed("doc_id", "owned"), "doc_id", "text", "source", "owned")
+    """Which source's corpus holds another document with the same whole text, or nearly."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return members.membership(docs, docs.withColumnRenamed("doc_id", "owned"), "doc_id", "text", "source", "owned")
+
+
+@query()
+def member_scores(spark, sf_dir):
+    """Every document against every comparable profile; the corpus of a profile that holds the document decides its score."""
+    return scoring.with_members(_complete(spark, sf_dir), QUERIES["corpus_members"](spark, sf_dir), "doc_id", "source").select("doc_id", "source", "score", "match", "similarity", "matched", "n_attributes")
+
+
+@query(_COMPLETE + """, hx as (select doc_id, source, n from (select doc_id, source, """ + _NORMAL + """ n from documents) where n <> '' and source is not null),
+        cm as (select distinct x.doc_id, y.source from hx x join hx y on x.n = y.n and x.doc_id <> y.doc_id)
+        select co.doc_id, co.source, case when cm.doc_id is not null then 100.0 else score end score, case when cm.doc_id is not null then 'exact' end "match", n_attributes from co left join cm on cm.doc_id = co.doc_id and cm.source = co.source""")
+def copy_scores(spark, sf_dir):
+    """Scores where only equal texts count as members."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    copies = members.membership(docs, docs.withColumnRenamed("doc_id", "owned"), "doc_id", "text", "source", "owned", near=None)
+    return scoring.with_members(_complete(spark, sf_dir), copies, "doc_id", "source").select("doc_id", "source", "score", "match", "n_attributes")
 
 
 @query()

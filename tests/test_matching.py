@@ -1,41 +1,11 @@
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import titles
 from corpusloom.operators import cards, matching, replies, scoring, upkeep
 
 
-def test_members_equal_brute_force(spark):
-    rng = np.random.default_rng(3)
-    words = [f"w{i}" for i in range(80)]
-    base = [" ".join(rng.choice(words, int(n))) for n in rng.integers(8, 40, 30)]
-    texts = base + [t.upper() + "!" for t in base[:5]]
-    for t in base[5:15]:
-        x = t.split()
-        x[int(rng.integers(0, len(x)))] = "other"
-        texts.append(" ".join(x))
-    rows = [(i, "abc"[i % 3], t) for i, t in enumerate(texts)] + [(90, "a", None), (91, "b", "")]
-    frame = spark.createDataFrame(rows, "item long, account string, text string")
-    got = {(r.item, r.account): (r.match, round(r.similarity, 9), r.matched) for r in matching.membership(frame, frame.withColumnRenamed("item", "owned"), "item", "text", "account", "owned").collect()}
-    norm = [t.lower().replace("!", "") for t in texts]
-    want = {}
-    for i, t in enumerate(norm):
-        for account in "abc":
-            own = [j for j in range(len(texts)) if j != i and rows[j][1] == account]
-            same = [j for j in own if norm[j] == t]
-            if same:
-                want[i, account] = ("exact", 1.0, min(same))
-                continue
-            s, j = max((SequenceMatcher(None, t, norm[j]).ratio(), -j) for j in own)
-            if s >= 0.85:
-                want[i, account] = ("exact" if s >= 0.995 else "near", round(s, 9), -j)
-    assert got == want and len({m for m, *_ in want.values()}) == 2
-
-
 def test_suggestions(spark):
     accounts = spark.createDataFrame([("Kyla Scan",), ("kyla.scanlon",), ("other",)], "account string")
     names = spark.createDataFrame([("kylascan",), ("other",), ("zzzz",)], "name string")
