@@ -16,20 +16,21 @@ their letter pairs: blocks are parted by characters that match nothing, so two t
 from __future__ import annotations
 
 import math
+from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators.matching import block_ratio
 
 #: From this length on the ratio leaves out common characters (a rule of the ratio).
 LONG = 200
 #: Lengths of the ends of runs that are tried, the longest first, and the share of a text that edges may take.
-ENDS, EDGES = (8, 4, 3), 0.5
+ENDS, EDGES = (10, 6, 4, 3), 0.55
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789' "
 CODES = np.zeros(256, np.int64)
 CODES[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, len(ALPHABET) + 1)
@@ -44,7 +45,7 @@ def rare_places(codes: np.ndarray) -> np.ndarray:
 
 
 def ends_of(codes: np.ndarray, s: int) -> np.ndarray:
-    """The s characters that begin at each place, as one number (6 bits a character)."""
+    """The s characters that begin at each place, as one number (6 bits a character, so ten at most beside the marks)."""
     n = len(codes) - s + 1
     out = np.zeros(max(0, n), np.int64)
     for k in range(s if n > 0 else 0):
@@ -65,10 +66,10 @@ def runs_of(codes: np.ndarray, s: int) -> tuple[int, list[tuple[int, int, int]]]
     ends, keys = ends_of(codes, s), []
     for run in np.flatnonzero(size > edge):
         beyond, a, b = int(size[run] - edge[run]), int(bounds[run]), int(bounds[run + 1])
-        first = (int(ends[0]), START) if run == 0 else (int(ends[a]), AFTER)
-        keys.append((first[0] << 4 | first[1] << 2 | ENDS.index(s), int(run), beyond))
+        first, kind = (ends[0], START) if run == 0 else (ends[a], AFTER)
+        keys.append((int(first << 4 | kind << 2 | ENDS.index(s)), int(run), beyond))
         if b < n:
-            keys.append((int(ends[b - s + 1]) << 4 | BEFORE << 2 | ENDS.index(s), int(run), beyond))
+            keys.append((int(ends[b - s + 1] << 4 | BEFORE << 2 | ENDS.index(s)), int(run), beyond))
     return held, keys
 
 
@@ -201,12 +202,39 @@ def long_by_runs(near: float):
     return made
 
 
+def may_match(a: str, b: str, least: int) -> bool:
+    """Whether least characters of a stand in b in the same order: no matching blocks hold more. The row of the longest
+    common subsequence is one number, a bit a character of b; it stops as soon as too few of a are left."""
+    at: dict[str, int] = {}
+    for j, c in enumerate(b):
+        at[c] = at.get(c, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row, n = full, len(a)
+    for i, c in enumerate(a, 1):
+        met = row & at.get(c, 0)
+        row = (row + met | row - met) & full
+        if not i & 127 and len(b) - row.bit_count() + n - i < least:
+            return False
+    return len(b) - row.bit_count() >= least
+
+
+def ratios(near: float):
+    """The matching-block ratio of two texts, null where the order of their characters rules near out."""
+
+    @F.pandas_udf("double")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        least = (near / 2) * (a.str.len() + b.str.len()) - 1e-6
+        return pd.Series([SequenceMatcher(None, x, y).ratio() if may_match(x, y, math.ceil(n)) else None for x, y, n in zip(a, b, least, strict=True)], dtype="float64")
+
+    return of
+
+
 def similar(x: DataFrame, y: DataFrame, near: float) -> DataFrame:
     """x, y, similarity of all pairs of different texts that reach the ratio; x and y hold one row a text (id, norm)."""
     marked = y.mapInArrow(long_by_runs(near), f"y {y.schema['y'].dataType.simpleString()}, norm string, by_runs boolean")
     pairs = close_long(x, marked.where("by_runs").drop("by_runs"), near).union(close_short(x, marked.where("not by_runs").drop("by_runs"), near))
     texts = pairs.join(x.select("x", F.col("norm").alias("a")), "x").join(y.select("y", F.col("norm").alias("b")), "y").where("a <> b")
-    return texts.withColumn("similarity", block_ratio("a", "b")).where(F.col("similarity") >= near).select("x", "y", "similarity")
+    return texts.withColumn("similarity", ratios(near)("a", "b")).where(F.col("similarity") >= near).select("x", "y", "similarity")
 
 
 def membership(texts: DataFrame, corpus: DataFrame, item: str, text: str, account: str, owned: str, near: float | None = 0.85, exact: float = 0.995) -> DataFrame:
