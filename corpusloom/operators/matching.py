@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from corpusloom.sources.staging import staged
+
 def word_rows(texts: DataFrame, key: str, text: str, least: int, stopwords: list[str]) -> DataFrame:
     """key, word (ASCII letters, lower case, longer than least, no stopwords), one row an occurrence."""
     found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"[a-z]{{{least + 1},}}"), F.lit(0))
@@ -194,26 +196,62 @@ def page_match(examples: DataFrame, pages: DataFrame, book: str, item: str, text
     return scored.groupBy(book, item).agg(F.max(F.struct("score", page)).alias("_m")).select(book, item, f"_m.{page}", "_m.score")
 
 
-def suggestions(names: DataFrame, accounts: DataFrame, name: str, account: str, k: int = 5, least: float = 0.5, sure: float = 0.82) -> DataFrame:
-    """name, account, confidence, place, action: up to k accounts that a name may mean, by matching-block ratio of the
-    normalised names (the smaller account at a tie). The names are queries against all accounts, in blocks.
+def numbered_letters(norm: Column) -> Column:
+    """The letters of a name, each with its number among the like: names share as many as letters with their counts."""
+    places = F.sequence(F.lit(1), F.length(norm))
+    letter = lambda i: F.substring(norm, i, F.lit(1))
+    return F.when(F.length(norm) > 0, F.transform(places, lambda i: F.concat(letter(i), (F.length(F.substring(norm, F.lit(1), i)) - F.length(F.replace(F.substring(norm, F.lit(1), i), letter(i)))).cast("string")))).otherwise(F.array().cast("array<string>"))
+
+
+def suggestions(names: DataFrame, accounts: DataFrame, name: str, account: str, k: int = 5, least: float = 0.5, sure: float = 0.82, told: list[str] | None = None) -> DataFrame:
+    """name, account, confidence, place, action and the told columns of accounts: up to k accounts that a name may mean, by
+    matching-block ratio of the normalised names (the smaller account at a tie). Equal normalised names are sure, empty
+    ones too.
 
     action: proceed if the name is an account, confirm_existing if the best is sure, else confirm_new (a name without
-    any account near it stands alone, place 0)."""
-    from corpusloom.operators.scoring import pairs_in_blocks
+    any account near it stands alone, place 0). told: columns of accounts, one row an account (else the smallest row).
 
+    Not all pairs are met. The ratio is at most twice the shared letters over all letters. Likely accounts (of the same
+    first letters) give each name a score that its k-th account reaches at least; an account that can reach it shares one
+    of the name's rarest letters, and passes the bound of shared letters, before any ratio is computed."""
     norm = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
-    a = names.select(name).distinct().withColumn("_x", norm(F.col(name)))
-    b = accounts.select(account).distinct().withColumn("_y", norm(F.col(account)))
-    pairs = pairs_in_blocks(a, b, name, account).withColumn("confidence", F.when(F.col("_x") == F.col("_y"), 1.0).otherwise(block_ratio("_x", "_y")))
-    pairs = pairs.where(F.col("confidence") >= least)
-    top = pairs.withColumn("place", F.row_number().over(W.partitionBy(name).orderBy(F.col("confidence").desc(), account))).where(F.col("place") <= k)
-    known = accounts.select(F.col(account).alias(name)).distinct().withColumn("_exact", F.lit(True))
-    best = top.groupBy(name).agg(F.max("confidence").alias("_best"))
-    told = a.select(name).join(known, name, "left").join(best, name, "left")
-    told = told.withColumn("action", F.when(F.col("_exact"), "proceed").when(F.round("_best", 3) >= sure, "confirm_existing").otherwise("confirm_new"))
-    out = told.join(top.select(name, account, "confidence", "place"), name, "left")
-    return out.select(name, account, F.round("confidence", 3).alias("confidence"), F.coalesce("place", F.lit(0)).alias("place"), "action")
+    a = staged(names.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_x", norm(F.col(name))), "names")
+    b = staged(accounts.select(account).where(F.col(account).isNotNull()).distinct().withColumn("_y", norm(F.col(account))), "accounts")
+    # of accounts that are spelt alike k go on; each normalised name is looked up once
+    spelt = b.withColumn("_r", F.row_number().over(W.partitionBy("_y").orderBy(account))).where(F.col("_r") <= k)
+    x, y = a.select("_x").distinct(), spelt.groupBy("_y").agg(F.count("*").alias("_n"))
+    ratio = lambda p: p.withColumn("_s", F.when(F.col("_x") == F.col("_y"), 1.0).otherwise(block_ratio("_x", "_y")))
+    # a score that the k-th account reaches, from a few accounts that begin alike, the nearest in length
+    head = lambda c: F.substring(c, 1, 4)
+    some = y.withColumn("_h", head("_y")).withColumn("_r", F.row_number().over(W.partitionBy("_h", F.length("_y")).orderBy("_y"))).where(F.col("_r") <= 4 * k)
+    likely = ratio(x.withColumn("_h", head("_x")).join(some, "_h").where(F.abs(F.length("_x") - F.length("_y")) <= 2).select("_x", "_y", "_n"))
+    so_far = F.sum("_n").over(W.partitionBy("_x").orderBy(F.col("_s").desc(), "_y").rowsBetween(W.unboundedPreceding, 0))
+    reached = likely.withColumn("_sum", so_far).where(F.col("_sum") >= k).groupBy("_x").agg(F.max("_s").alias("_t"))
+    asked = staged(x.join(reached, "_x", "left").select("_x", F.greatest(F.coalesce("_t", F.lit(0.0)), F.lit(least)).alias("_t"), numbered_letters(F.col("_x")).alias("_lx")), "asked")
+    known = staged(y.select("_y", numbered_letters(F.col("_y")).alias("_ly")), "known")
+    often = known.select(F.explode("_ly").alias("_l")).groupBy("_l").agg(F.count("*").alias("_often"))
+
+    def rarest(rows: DataFrame, key: str, letters: str, t: Column) -> DataFrame:
+        each = rows.select(key, F.explode(letters).alias("_l"), t.alias("_t"), F.size(letters).alias("_size")).join(often, "_l", "left")
+        placed = each.withColumn("_p", F.row_number().over(W.partitionBy(key).orderBy(F.coalesce("_often", F.lit(0)), "_l")))
+        # with any name of a fitting length: at least so many letters of it are shared
+        return placed.where(F.col("_p") <= F.col("_size") - F.greatest(F.ceil(F.col("_size") * F.col("_t") / (2 - F.col("_t")) - 1e-9), F.lit(1)) + 1).select(key, "_l")
+
+    met = rarest(asked, "_x", "_lx", F.col("_t")).join(rarest(known, "_y", "_ly", F.lit(least)), "_l").select("_x", "_y").distinct()
+    bound = 2.0 * F.size(F.array_intersect("_lx", "_ly")) / (F.size("_lx") + F.size("_ly"))
+    close = met.join(asked, "_x").join(known, "_y").where((bound >= F.col("_t") - 1e-9) & (F.col("_x") != F.col("_y"))).select("_x", "_y")
+    same = x.withColumn("_y", F.col("_x")).join(y.select("_y"), "_y", "left_semi").select("_x", "_y")
+    scored = ratio(close.union(same)).where(F.col("_s") >= least).join(spelt.select("_y", account), "_y")
+    top = scored.withColumn("place", F.row_number().over(W.partitionBy("_x").orderBy(F.col("_s").desc(), account))).where(F.col("place") <= k)
+    rows = a.join(top.select("_x", account, F.col("_s").alias("confidence"), "place"), "_x", "left")
+    exact = b.select(F.col(account).alias(name), F.lit(True).alias("_exact"))
+    best = F.max("confidence").over(W.partitionBy(name))
+    action = F.when(F.col("_exact"), "proceed").when(F.round(best, 3) >= sure, "confirm_existing").otherwise("confirm_new")
+    out = rows.join(exact, name, "left").select(name, account, F.round("confidence", 3).alias("confidence"), F.coalesce("place", F.lit(0)).alias("place"), action.alias("action"))
+    if told:
+        row = accounts.groupBy(account).agg(F.min(F.struct(*told)).alias("_told")).select(account, *(F.col(f"_told.{c}").alias(c) for c in told))
+        out = out.join(row, account, "left").select(name, account, "confidence", "place", "action", *told)
+    return out
 
 
 def candidate_sources(candidates: DataFrame, key: str, many: str, one: str) -> DataFrame:

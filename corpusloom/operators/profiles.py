@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from corpusloom.functions.scoring import numeric_subscore
+from corpusloom.functions.text import half_even
 
 
 def dedup(items: DataFrame, owner: str, key: str, item: str) -> DataFrame:
@@ -42,9 +44,9 @@ def numeric_fingerprint(rows: DataFrame, profile: str, values: bool = False) ->
 
 
 def categorical_fingerprint(rows: DataFrame, profile: str) -> DataFrame:
-    """Share in percent of each value among the non-null ones."""
+    """Share in percent of each value among the non-null ones, to one digit: scores, overlaps and drift read it so."""
     counts = rows.groupBy(profile, "attribute", "value").agg(F.count("*").alias("n"))
-    return counts.withColumn("share", 100.0 * F.col("n") / F.sum("n").over(W.partitionBy(profile, "attribute")))
+    return counts.withColumn("share", half_even(100.0 * F.col("n") / F.sum("n").over(W.partitionBy(profile, "attribute")), 1))
 
 
 def blend(prints: DataFrame, weights: DataFrame, profile: str, hybrid: str) -> DataFrame:
@@ -155,11 +157,11 @@ def boolean_fingerprint(rows: DataFrame, profile: str) -> DataFrame:
 
 
 def drift(now: DataFrame, then: DataFrame, profile: str) -> DataFrame:
-    """Change of each attribute's mean since a snapshot, absolute and in percent."""
+    """Change of each attribute's mean since a snapshot, to three digits, and that in percent, to one."""
     old = then.select(profile, "attribute", F.col("mean").alias("before"))
     rows = old.join(now.select(profile, "attribute", F.col("mean").alias("after")), [profile, "attribute"])
-    change = F.col("after") - F.col("before")
-    return rows.select(profile, "attribute", "before", "after", change.alias("delta"), F.when(F.col("before") != 0, 100 * change / F.abs("before")).alias("percent"))
+    rows = rows.where("before is not null and after is not null").withColumn("delta", half_even(F.col("after") - F.col("before"), 3))
+    return rows.select(profile, "attribute", "before", "after", "delta", F.when(F.col("before") != 0, half_even(100 * F.col("delta") / F.abs("before"), 1)).alias("percent"))
 
 
 def category_drift(now: DataFrame, then: DataFrame, profile: str) -> DataFrame:
@@ -170,9 +172,27 @@ def category_drift(now: DataFrame, then: DataFrame, profile: str) -> DataFrame:
     return both.groupBy(profile, "attribute").agg((F.sum(gap) / 2).alias("distance"))
 
 
-def coverage(items: DataFrame, attributes: list[str]) -> DataFrame:
-    """Filled rows, share in percent, least, largest and mean value of each attribute, in one pass."""
-    rows = items.select(*(F.col(a).cast("double").alias(a) for a in attributes)).unpivot([], attributes, "attribute", "value")
+def coverage(items: DataFrame, attributes: list[str], flags: tuple[str, ...] = ()) -> DataFrame:
+    """attribute, kind, filled rows, share in percent, n_values, and by kind: least, largest and mean value of numbers,
+    yes and no of flags (boolean columns, and those named that hold 0 and 1). In one pass; text is never read as a number."""
+    kinds = {}
+    for a in attributes:
+        kind = items.schema[a].dataType
+        kinds[a] = "flag" if a in flags or isinstance(kind, BooleanType) else "number" if isinstance(kind, NumericType) else "text"
+    none = F.lit(None).cast("double")
+    number = lambda a: F.col(a).cast("double") if kinds[a] != "text" else none
+    each = [F.struct(F.lit(a).alias("attribute"), F.lit(k).alias("kind"), F.col(a).cast("string").alias("value"), number(a).alias("n")) for a, k in kinds.items()]
+    rows = items.select(F.inline(F.array(*each)))
+    of_numbers = lambda f, name: f(F.when(F.col("kind") == "number", F.col("n"))).alias(name)
+    flag = lambda yes, name: F.when(F.first("kind") == "flag", F.count_if((F.col("n") != 0) == F.lit(yes))).alias(name)
     return rows.groupBy("attribute").agg(
-        F.count("value").alias("filled"), (100.0 * F.count("value") / F.count("*")).alias("percent"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.count_distinct("value").alias("n_values")
-    )
+        F.first("kind").alias("kind"),
+        F.count("value").alias("filled"),
+        (100.0 * F.count("value") / F.count("*")).alias("percent"),
+        of_numbers(F.min, "low"),
+        of_numbers(F.max, "high"),
+        of_numbers(F.avg, "mean"),
+        F.count_distinct("value").alias("n_values"),
+        flag(True, "n_true"),
+        flag(False, "n_false"),
+    )
\ No newline at end of file

@@ -89,11 +89,43 @@ def routed(checked: DataFrame, errors: str = "errors") -> tuple[DataFrame, DataF
 
 
 def axis_readings(readings: DataFrame, key: str, axis: str, value: str, vocabulary: dict[str, list[str]]) -> DataFrame:
-    """Readings of an axis in its vocabulary; others are left out. excluded marks inputs with a promotional reading."""
+    """Readings of an axis in its vocabulary; others are left out, not turned into a known value."""
     table = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in vocabulary.items() for x in kv))
     return readings.where(F.array_contains(F.try_element_at(table, F.col(axis)), F.col(value))).select(key, axis, value)
 
 
+# How text on screen relates to what is said, and kinds of segments.
+RELATIONS = ["same", "differs", "no_audio", "no_on_screen_text"]
+KINDS = ["editorial", "promotional"]
+PROMOTIONAL = "Promotional segment: selling, not editorial style."
+
+
+def read_inputs(inputs: DataFrame, key: str, relation: str, kind: str, readings: DataFrame) -> DataFrame:
+    """key, text_audio_relation and segment_kind (null outside their vocabularies), excluded (1 for promotional segments)
+    with its reason, axes (readings in their vocabulary) and status: needs_review for an input without any.
+
+    readings: rows of axis_readings(), which holds the latest reading of an axis once."""
+    clean = lambda c, known: F.when(F.lower(F.trim(F.col(c))).isin(known), F.lower(F.trim(F.col(c))))
+    rows = inputs.select(key, clean(relation, RELATIONS).alias("text_audio_relation"), clean(kind, KINDS).alias("segment_kind"))
+    rows = rows.join(readings.groupBy(key).agg(F.count("*").alias("axes")), key, "left")
+    promotional = F.coalesce(F.col("segment_kind") == "promotional", F.lit(False))
+    status = F.when(F.coalesce("axes", F.lit(0)) > 0, "classified").otherwise("needs_review")
+    return rows.select(key, "text_audio_relation", "segment_kind", promotional.cast("int").alias("excluded"), F.when(promotional, F.lit(PROMOTIONAL)).alias("exclusion_reason"), F.coalesce("axes", F.lit(0)).alias("axes"), status.alias("status"))
+
+
+def format_profiles(readings: DataFrame, inputs: DataFrame, key: str, account: str, axis: str, value: str, least: int = 3) -> DataFrame:
+    """account, axis, value, n, of, n_inputs, status: the most common value of each axis (the smaller at a tie) over the
+    inputs that are classified and not excluded; confirmed from so many inputs on.
+
+    inputs: key, account, status, excluded. The counts are made before the shuffle; an account is one row an axis."""
+    used = inputs.where("status = 'classified' and excluded = 0").select(key, account)
+    size = used.groupBy(account).agg(F.count_distinct(key).alias("n_inputs"))
+    counts = readings.join(used, key).groupBy(account, axis, value).agg(F.count("*").alias("n"))
+    best = counts.groupBy(account, axis).agg(F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), F.col(value))).alias("b"), F.sum("n").alias("of"))
+    status = F.when(F.col("n_inputs") >= least, "confirmed").otherwise("preliminary")
+    return best.join(size, account).select(account, axis, f"b.{value}", "b.n", "of", "n_inputs", status.alias("status"))
+
+
 def shot_category(new: Column, old: Column, allowed: list[str], fill: bool = False) -> Column:
     """The category of a shot: unknown ones are other; with fill, a category that is there stays."""
     known = F.when(new.isin(allowed), new)

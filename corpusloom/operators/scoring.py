@@ -8,17 +8,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scoring import categorical_subscore, numeric_subscore
+from corpusloom.functions.text import half_even
 
-#: Profiles in a block that items are paired with.
-BLOCK = 256
+#: Blocks that profiles are dealt in.
+BLOCKS = 1
 
 
-def pairs_in_blocks(items: DataFrame, profiles: DataFrame, item: str, profile: str, block: int = BLOCK) -> DataFrame:
+def pairs_in_blocks(items: DataFrame, profiles: DataFrame, item: str, profile: str, blocks: int = BLOCKS) -> DataFrame:
     """Every item with every profile, in blocks of profiles dealt over as many tasks as the shuffle has.
 
-    Profiles are one row each; items are dealt by a salt, so that no task holds all items of a block."""
+    Profiles are one row each; items are dealt by a salt, so that no task holds all items of a block. An item is copied
+    to each block, a profile to each salt: more blocks are for profiles that outgrow a task. Nothing is counted, so no
+    job runs before the caller's own."""
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-profiles.count() // block))
     salts = max(1, parts // blocks)
     at = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -97,12 +99,21 @@ def with_members(scores: DataFrame, members: DataFrame, item: str, profile: str)
     return rows.withColumn("score", told).withColumn("breakdown", F.when(F.col("match").isNull(), F.col("breakdown")))
 
 
+def rated(scores: DataFrame, members: DataFrame, item: str, profile: str) -> DataFrame:
+    """A rating run's rows: scores with members in place of estimates, ranked (null scores last, ties in profile order),
+    with is_member and what matched. One row an item and profile."""
+    rows = with_members(scores, members, item, profile).withColumn("is_member", F.col("match").isNotNull())
+    place = F.row_number().over(W.partitionBy(item).orderBy(F.col("score").desc_nulls_last(), profile))
+    return rows.select(item, profile, "score", place.alias("place"), "is_member", "matched", "similarity", "breakdown")
+
+
 def macro_fit(scores: DataFrame, item: str, profile: str, macros: dict[str, list[str]]) -> DataFrame:
-    """Mean subscore by macro of each item and profile; members and profiles that can't be compared have none."""
+    """Mean subscore by macro of each item and profile, to one digit; fields that no macro has are Other. Members and
+    profiles that can't be compared have none."""
     table = F.create_map(*(F.lit(x) for m, fields in macros.items() for f in fields for x in (f, m)))
     rows = scores.where("breakdown is not null").select(item, profile, F.explode("breakdown").alias("attribute", "subscore"))
-    rows = rows.withColumn("macro", F.try_element_at(table, F.col("attribute"))).where("macro is not null")
-    return rows.groupBy(item, profile, "macro").agg(F.avg("subscore").alias("fit"), F.count("*").alias("fields"))
+    rows = rows.withColumn("macro", F.coalesce(F.try_element_at(table, F.col("attribute")), F.lit("Other"))).where("subscore is not null")
+    return rows.groupBy(item, profile, "macro").agg(half_even(F.round(F.avg("subscore"), 6), 1).alias("fit"), F.count("*").alias("fields"))
 
 
 def in_bands(ranked: DataFrame, bands: DataFrame, profile: str) -> DataFrame:

@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import half_even
 
-STOP = ("this", "that", "with", "from", "they", "have", "what", "when", "your", "about", "there", "their", "which", "would", "could")
+# Words that chapters and cues are not matched by.
+STOP = tuple(
+    """the and that this with from have which their they what when where were been into about these those there would
+could should than them then some more""".split()
+)
 
 
 TIMES = "array<struct<start:double,end:double,method:string,confidence:double>>"
 
 
 def _words(text: str | None, stop: frozenset[str]) -> list[str]:
-    return [w for w in re.findall("[a-z]{4,}", (text or "").lower()) if w not in stop]
+    return [w for w in re.findall("[a-z']{4,}", (text or "").lower()) if w not in stop]
 
 
 def _item_times(cues: list, sections: list, duration: float, stop: frozenset[str]) -> list[dict]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.sources.staging import staged
+
 
 def ingest_status(batch: DataFrame, stored: DataFrame, key: str, order: str) -> DataFrame:
     """status of each row of a batch: in_corpus (its key is stored), in_batch (an earlier row has its key) or inserted."""
@@ -39,9 +41,52 @@ def insert_missing(table: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
     return table.unionByName(seeds.join(table, key, "left_anti"), allowMissingColumns=True)
 
 
+def settled_merges(mapping: DataFrame, account: str, most_rounds: int = 64) -> DataFrame:
+    """account, into, status: where each account of an edit list (account, into) ends, whatever the length of the chain.
+
+    merged: into is the end of the chain; cycle: the chain runs into a circle and has no end (into is null). An account
+    that is merged into itself stays and has no row; of several targets the smallest counts; null ends are left out. The
+    steps double from round to round (pointer doubling), so a chain of n takes about log2(n) rounds; each is written to
+    the shared folder. A chain that meets a circle stops growing the number of settled accounts, and that ends the rounds.
+    """
+    rows = mapping.where(F.col(account).isNotNull() & F.col("into").isNotNull() & (F.col(account) != F.col("into")))
+    rows = rows.groupBy(F.col(account).alias("a")).agg(F.min("into").alias("b"))
+    ends = rows.select(F.col("a").alias("b"), F.lit(True).alias("goes_on"))
+    rows = staged(rows.join(ends, "b", "left").select("a", "b", F.col("goes_on").isNull().alias("settled")), "merges")
+    open_ones = rows.where("not settled").count()
+    for _ in range(most_rounds):
+        if not open_ones:
+            break
+        step = rows.select(F.col("a").alias("b"), F.col("b").alias("next"), F.col("settled").alias("ends"))
+        joined = rows.where("not settled").join(step, "b")  # the target of an open account is an account of the list
+        rows = staged(rows.where("settled").unionByName(joined.select("a", F.col("next").alias("b"), F.col("ends").alias("settled"))), "merges")
+        left = rows.where("not settled").count()
+        if left == open_ones:
+            break
+        open_ones = left
+    return rows.select(F.col("a").alias(account), F.when(F.col("settled"), F.col("b")).alias("into"), F.when(F.col("settled"), "merged").otherwise("cycle").alias("status"))
+
+
 def merge_accounts(items: DataFrame, mapping: DataFrame, account: str) -> DataFrame:
-    """Items with accounts renamed by mapping (account, into); the mapping is an edit list, its size left to the optimizer."""
-    return items.join(mapping.withColumnRenamed("into", "_into"), account, "left").withColumn(account, F.coalesce("_into", account)).drop("_into")
+    """Items with accounts renamed by mapping (account, into); the mapping is an edit list, its size left to the optimizer.
+    One step: chains are for settled_merges()."""
+    return items.join(mapping.select(account, F.col("into").alias("_into")), account, "left").withColumn(account, F.coalesce("_into", account)).drop("_into")
+
+
+def merge_everywhere(mapping: DataFrame, account: str, media: str, profiles: DataFrame, items: dict[str, DataFrame], references: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All tables after accounts were merged along chains: items move, profiles move where there is room, references to
+    profiles' accounts that are gone become null. Accounts in circles stay as they are; merges tells them.
+
+    The result has each table under its name, profiles and merges; it is one commit of a RunStore."""
+    merges = settled_merges(mapping, account)
+    moves = merges.where("status = 'merged'").select(account, "into")
+    out = {name: merge_accounts(t, moves, account) for name, t in items.items()}
+    out["profiles"] = merge_profiles(profiles, moves, account, media)
+    there = out["profiles"].select(account).distinct().withColumn("_there", F.lit(True))
+    for name, t in references.items():
+        moved = merge_accounts(t, moves, account).join(there, account, "left")
+        out[name] = moved.withColumn(account, F.when(F.col("_there"), F.col(account))).select(*t.columns)
+    return out | {"merges": merges}
 
 
 def remove_items(table: DataFrame, removed: DataFrame, key: str) -> DataFrame:

@@ -99,6 +99,36 @@ def axis_readings(spark, sf_dir):
     return replies.axis_readings(rows, "event_id", "event_type", "value", {"click": ["a", "c"], "view": ["a"]})
 
 
+_FORMAT = """fi as (select doc_id, source, case when lang = 'en' then 'same' when lang = 'de' then 'differs' end text_audio_relation, case when n_chars % 5 = 0 then 'promotional' when n_chars % 5 < 4 then 'editorial' end segment_kind from documents),
+        fr as (select doc_id, x.axis, x.value from documents, lateral (values ('length', case when n_chars < 500 then 'short' when n_chars < 5000 then 'middle' else 'endless' end), ('voice', lang)) x(axis, value) where (axis = 'length' and value in ('short', 'middle')) or (axis = 'voice' and value in ('en', 'fr'))),
+        fa as (select fi.*, coalesce(segment_kind = 'promotional', false)::int excluded, case when segment_kind = 'promotional' then 'Promotional segment: selling, not editorial style.' end exclusion_reason, coalesce(axes, 0) axes, case when axes > 0 then 'classified' else 'needs_review' end status from fi left join (select doc_id, count(*) axes from fr group by all) using (doc_id))"""
+
+
+def _format_parts(spark, sf_dir):
+    """Documents as inputs of an account (their source): relation by language, kind by length, two axes of readings."""
+    docs = table(spark, sf_dir, "documents")
+    relation = F.when(F.col("lang") == "en", " Same ").when(F.col("lang") == "de", "differs").otherwise("maybe")
+    kind = F.when(F.col("n_chars") % 5 == 0, "Promotional").when(F.col("n_chars") % 5 < 4, "editorial").otherwise("ad")
+    size = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 5000, "middle").otherwise("endless")
+    rows = docs.select("doc_id", F.inline(F.array(F.struct(F.lit("length").alias("axis"), size.alias("value")), F.struct(F.lit("voice").alias("axis"), F.col("lang").alias("value")))))
+    readings = replies.axis_readings(rows, "doc_id", "axis", "value", {"length": ["short", "middle"], "voice": ["en", "fr"]})
+    return readings, replies.read_inputs(docs.select("doc_id", relation.alias("relation"), kind.alias("kind")), "doc_id", "relation", "kind", readings)
+
+
+@query(f"with {_FORMAT} select doc_id, text_audio_relation, segment_kind, excluded, exclusion_reason, axes, status from fa")
+def format_inputs(spark, sf_dir):
+    return _format_parts(spark, sf_dir)[1]
+
+
+@query(f"""with {_FORMAT}, us as (select doc_id, source from fa where status = 'classified' and excluded = 0), si as (select source, count(*) n_inputs from us group by all),
+        co as (select source, axis, value, count(*) n from fr join us using (doc_id) group by all), best as (select *, sum(n) over (partition by source, axis)::bigint "of", row_number() over (partition by source, axis order by n desc, value) r from co)
+        select source, axis, value, n, "of", n_inputs, case when n_inputs >= 3 then 'confirmed' else 'preliminary' end status from best join si using (source) where r = 1""")
+def format_profiles(spark, sf_dir):
+    readings, inputs = _format_parts(spark, sf_dir)
+    inputs = inputs.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return replies.format_profiles(readings, inputs, "doc_id", "source", "axis", "value")
+
+
 @query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_returnflag in ('A', 'N') then l_returnflag else 'other' end replaced,
         coalesce(case when l_linestatus = 'F' then 'kept' end, case when l_returnflag in ('A', 'N') then l_returnflag end, 'other') filled from lineitem""")
 def shot_categories(spark, sf_dir):

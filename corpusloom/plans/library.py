@@ -8,7 +8,7 @@ from corpusloom.functions import text as T
 from corpusloom.functions import titles
 from corpusloom.functions.scoring import categorical_subscore
 from corpusloom.operators import matching, profiles, timing, upkeep, views
-from corpusloom.plans.queries import _NORMAL, _PRINTS, _SCORES, SCORED, _feature_ctes, _prints, rounded, table
+from corpusloom.plans.queries import _NORMAL, _PRINTS, _SCORES, SCORED, _even, _feature_ctes, _prints, rounded, table
 
 VOCABULARY = {"lang": ["en", "fr", "de"], "quality": ["1"], "toxic": ["0", "1"]}
 MACROS = {"size": ["n_chars"], "judgement": ["quality", "toxic"]}
@@ -203,7 +203,7 @@ _VALUES = "lateral (values ('lang', lang), ('quality', quality), ('toxic', toxic
 
 def _shares_sql(name: str, where: str = "true") -> str:
     return f"""{name}_c as (select source, x.attribute, x.value, count(*) n from {_LABELLED} d, {_VALUES} where x.value is not null and {where} group by all),
-        {name} as (select *, 100.0 * n / sum(n) over (partition by source, attribute) share from {name}_c)"""
+        {name} as (select *, {_even('100.0 * n / sum(n) over (partition by source, attribute)', 1)} share from {name}_c)"""
 
 
 ORACLE_SQL = {

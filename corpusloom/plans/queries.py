@@ -108,7 +108,7 @@ def profile_drift(spark, sf_dir):
 
 def coverage_by_field(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rounded(profiles.coverage(docs, ["n_chars", "quality", "toxic"]))
+    return rounded(profiles.coverage(docs, ["n_chars", "quality", "toxic", "lang", "source"], ("quality", "toxic")))
 
 
 def _shots(spark, sf_dir) -> DataFrame:
@@ -309,15 +309,16 @@ ORACLE_SQL = {
     "fingerprint_categorical": """with d as (select source, lang, quality::varchar quality, toxic::varchar toxic from documents left join labels using (doc_id)),
         v as (select source, x.attribute, x.value from d, lateral (values ('lang', lang), ('quality', quality), ('toxic', toxic)) x(attribute, value) where x.value is not null),
         c as (select source, attribute, value, count(*) n from v group by all)
-        select source, attribute, value, n, round(100.0 * n / sum(n) over (partition by source, attribute), 6) share from c""",
+        select source, attribute, value, n, """ + _even("100.0 * n / sum(n) over (partition by source, attribute)", 1) + " share from c",
     "fingerprint_hybrid": _feature_ctes("documents") + _PRINTS + ", b as (select *, case source when 'src0' then 0.75 when 'src1' then 0.25 end::double wt from pr) select 'mix' as hybrid, attribute, count(*) sources, " + ", ".join(f"round(sum({c} * wt) / sum(wt), 3) {c}" for c in ("mean", "std", "low", "high", "median")) + " from b where wt is not null group by attribute",
     "score_profiles": _SCORES + " select * from sc",
     "rank_profiles": _SCORES + " select *, row_number() over (partition by item_id order by score desc, source)::int place from sc",
     "profile_similarity": _feature_ctes("documents") + _PRINTS + " select a.source a, b.source b, round(avg(1 - least(abs(a.mean - b.mean) / greatest(abs(a.mean), abs(b.mean), 1e-6), 1.0)), 6) similarity, count(*) n_attributes from pr a join pr b on a.attribute = b.attribute and a.source < b.source group by all",
-    "profile_drift": _feature_ctes("documents") + _PRINTS + ", o as (select source, attribute, avg(value) before from fl where lang = 'en' group by all) select source, attribute, round(before, 6) before, round(mean, 6) after, round(mean - before, 6) delta, round(case when before <> 0 then 100 * (mean - before) / abs(before) end, 6) percent from o join pr using (source, attribute)",
-    "coverage_by_field": """with d as (select n_chars::double n_chars, quality::double quality, toxic::double toxic from documents left join labels using (doc_id)),
-        v as (select x.attribute, x.value from d, lateral (values ('n_chars', n_chars), ('quality', quality), ('toxic', toxic)) x(attribute, value))
-        select attribute, count(value) filled, round(100.0 * count(value) / count(*), 6) percent, min(value) low, max(value) high, round(avg(value), 6) mean, count(distinct value) n_values from v group by all""",
+    "profile_drift": _feature_ctes("documents") + _PRINTS + ", o as (select source, attribute, avg(value) before from fl where lang = 'en' group by all) select source, attribute, round(before, 6) before, round(mean, 6) after, " + _even("mean - before", 3) + " delta, case when before <> 0 then " + _even("100 * " + _even("mean - before", 3) + " / abs(before)", 1) + " end percent from o join pr using (source, attribute)",
+    "coverage_by_field": """with d as (select n_chars, quality, toxic, lang, source from documents left join labels using (doc_id)),
+        v as (select x.attribute, x.kind, x.value, case when kind <> 'text' then x.value::double end n from d, lateral (values ('n_chars', 'number', n_chars::varchar), ('quality', 'flag', quality::varchar), ('toxic', 'flag', toxic::varchar), ('lang', 'text', lang), ('source', 'text', source)) x(attribute, kind, value))
+        select attribute, kind, count(value) filled, round(100.0 * count(value) / count(*), 6) percent, min(n) filter (kind = 'number') low, max(n) filter (kind = 'number') high, round(avg(n) filter (kind = 'number'), 6) mean, count(distinct value) n_values,
+            case when kind = 'flag' then count(*) filter (n <> 0) end n_true, case when kind = 'flag' then count(*) filter (n = 0) end n_false from v group by attribute, kind""",
     "shot_attributes": f"""with {_SHOTS},
         c as (select l_orderkey, l_returnflag, count(*) n, min(l_linenumber) f from lineitem group by all),
         g as (select l_orderkey, l_returnflag main_category from c qualify row_number() over (partition by l_orderkey order by n desc, f, l_returnflag) = 1)

@@ -6,15 +6,18 @@ table lacks a column, the query derives it from another and says so.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import matching, members, profiles, scoring, views
+from corpusloom.operators import matching, members, profiles, scoring, upkeep, views
 from corpusloom.plans.queries import QUERIES as QUERIES_OF_PLANS
-from corpusloom.plans.queries import _LONG, _NORMAL, _PRINTS, _SCORES, SCORED, _cosine_words, _feature_ctes, _features, _prints, _scores, rounded, table
+from corpusloom.plans.queries import _LONG, _NORMAL, _PRINTS, _SCORES, SCORED, _cosine_words, _even, _feature_ctes, _features, _prints, _scores, rounded, table
+from corpusloom.sources import staging
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -61,10 +64,10 @@ def _complete(spark, sf_dir) -> DataFrame:
 _SUB = """round(case when high - low <= 1e-9 then greatest(0.0, 100 - 40 * abs(value - median) / greatest(0.15 * abs(median), 0.5))
             when value between low and high then greatest(60.0, 100 - 40 * abs(value - median) / ((high - low) / 2))
             else greatest(0.0, 60 - 40 * (case when value < low then low - value else value - high end) / (high - low)) end, 1)"""
-_SHARE_CTES = """sd as (select doc_id, source, lang, quality::varchar quality, toxic::varchar toxic from documents left join labels using (doc_id)),
+_SHARE_CTES = f"""sd as (select doc_id, source, lang, quality::varchar quality, toxic::varchar toxic from documents left join labels using (doc_id)),
         sv as (select doc_id, source, x.attribute, x.value from sd, lateral (values ('lang', lang), ('quality', quality), ('toxic', toxic)) x(attribute, value) where x.value is not null),
         sc as (select source, attribute, value, count(*) n from sv group by all),
-        sh as (select *, 100.0 * n / sum(n) over (partition by source, attribute) share from sc)"""
+        sh as (select *, {_even('100.0 * n / sum(n) over (partition by source, attribute)', 1)} share from sc)"""
 _COMPLETE = _feature_ctes("documents") + _PRINTS + f""", {_SHARE_CTES},
         pt0 as (select source, count(*) n, case when source in ('src1', 'src3') then 'Book' when source = 'src5' then 'ProductionSpec' else 'Video' end media from documents group by all),
         pt1 as (select *, case when n >= 10 then 'confirmed' else 'draft' end status from pt0 where media <> 'ProductionSpec'),
@@ -84,7 +87,7 @@ def complete_scores(spark, sf_dir):
     return profiles.rank(_complete(spark, sf_dir).drop("breakdown"), "doc_id", "source")
 
 
-@query(_COMPLETE + ", g as (select *, case when attribute in ('word_count', 'avg_sentence_len', 'sentence_len_variance') then 'form' when attribute in ('filler_count', 'punctuation_density', 'lexical_diversity') then 'voice' else 'class' end macro from ws) select doc_id, source, macro, round(avg(subscore), 6) fit, count(*) fields from g group by all")
+@query(_COMPLETE + ", g as (select *, case when attribute in ('word_count', 'avg_sentence_len', 'sentence_len_variance') then 'form' when attribute in ('filler_count', 'punctuation_density', 'lexical_diversity') then 'voice' when attribute in ('lang', 'quality', 'toxic') then 'class' else 'Other' end macro from ws) select doc_id, source, macro, " + _even("round(avg(subscore), 6)", 1) + " fit, count(*) fields from g group by all")
 def macro_fit(spark, sf_dir):
     return rounded(scoring.macro_fit(_complete(spark, sf_dir), "doc_id", "source", MACROS))
 
@@ -259,10 +262,11 @@ def copy_scores(spark, sf_dir):
 
 @query()
 def account_suggestions(spark, sf_dir):
-    """Suppliers' names as queries against all customers' names."""
+    """Suppliers' names as queries against all customers' names; segment and number of orders of those that are told."""
     names = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))
-    accounts = table(spark, sf_dir, "customer").select(F.col("c_name").alias("account"))
-    return matching.suggestions(names, accounts, "name", "account")
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_items"))
+    accounts = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left").select(F.col("c_name").alias("account"), F.col("c_custkey").alias("profile"), F.col("c_mktsegment").alias("subject"), F.coalesce("n_items", F.lit(0)).alias("n_items"))
+    return matching.suggestions(names, accounts, "name", "account", told=["profile", "subject", "n_items"])
 
 
 @query(_feature_ctes("documents") + _PRINTS + f""", {_SHARE_CTES},
@@ -277,3 +281,35 @@ def characteristic_examples(spark, sf_dir):
     numbers = profiles.long_numeric(_features(spark, sf_dir), ["source", "doc_id"], SCORED)
     values = profiles.long_categorical(_classed(spark, sf_dir), ["source", "doc_id"], CATEGORICAL)
     return views.characteristic(rounded(_prints(spark, sf_dir)), _shares(spark, sf_dir), numbers, values, "source", "doc_id")
+
+
+_CHAIN = """(select distinct s_suppkey a, case when s_suppkey % 50 = 1 then null when s_suppkey % 90 = 12 then s_suppkey + 1 else s_suppkey - 1 end b from supplier)"""
+
+
+@query(f"""with recursive m as (select a, min(b) b from {_CHAIN} where b is not null and a <> b group by a),
+        w as (select a, b, [a] seen, false cycle from m
+            union all select w.a, m.b, list_append(w.seen, m.a), list_contains(w.seen, m.b) from w join m on w.b = m.a where not w.cycle and not list_contains(w.seen, w.b)),
+        e as (select a, b from w where b not in (select a from m))
+        select m.a s_suppkey, e.b "into", case when e.b is null then 'cycle' else 'merged' end status from m left join e using (a)""")
+def account_chains(spark, sf_dir):
+    """Suppliers merged into the one before, in chains of fifty; some point at each other and have no end."""
+    key = F.col("s_suppkey")
+    into = F.when(key % 50 == 1, None).when(key % 90 == 12, key + 1).otherwise(key - 1)
+    return upkeep.settled_merges(table(spark, sf_dir, "supplier").select("s_suppkey", into.alias("into")), "s_suppkey")
+
+
+@query(_COMPLETE + """, hx as (select doc_id, source, """ + _NORMAL + """ n from documents where source is not null),
+        cm as (select x.doc_id, y.source, min(y.doc_id) matched from hx x join hx y on x.n = y.n and x.n <> '' and x.doc_id <> y.doc_id group by all),
+        ov as (select co.doc_id, co.source, case when cm.doc_id is not null then 100.0 else score end score, cm.doc_id is not null is_member, matched from co left join cm on cm.doc_id = co.doc_id and cm.source = co.source),
+        rk as (select *, row_number() over (partition by doc_id order by score desc nulls last, source)::int place from ov)
+        select 'run-1' run_id, doc_id, source, score, place, is_member, matched, first_value(source) over (partition by doc_id order by place) best_fit from rk""")
+def rating_run(spark, sf_dir):
+    """A stored run: every document rated against every comparable profile, equal texts as members, committed twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    copies = members.membership(docs, docs.withColumnRenamed("doc_id", "owned"), "doc_id", "text", "source", "owned", near=None)
+    rated = scoring.rated(_complete(spark, sf_dir), copies, "doc_id", "source")
+    store = staging.RunStore(spark, f"{staging.shared_folder(spark)}/ratings-{uuid.uuid4().hex}")
+    for _ in range(2):  # delivered again, it changes nothing
+        store.commit("run-1", {"inputs": docs, "scores": rated.drop("breakdown")})
+    best = F.first("source").over(W.partitionBy("run_id", "doc_id").orderBy("place"))
+    return store.read("scores").select("run_id", "doc_id", "source", "score", "place", "is_member", "matched", best.alias("best_fit"))
