@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranking import running_before
 from corpusloom.sources.staging import staged
 
 
@@ -103,12 +104,13 @@ def fill_missing(existing: Column, computed: Column) -> Column:
 
 
 def next_codes(keys: DataFrame, taken: DataFrame, prefix: str, key: str, first_seen: str, code: str = "code") -> DataFrame:
-    """PREFIX.N for each key in the order first seen, from the number after the largest that is taken in its prefix."""
+    """PREFIX.N for each key in the order first seen, from the number after the largest that is taken in its prefix. The
+    order is found in ranges, so one prefix may hold all keys."""
     number = F.regexp_extract(code, r"\.(\d+)$", 1).try_cast("long")
     top = taken.groupBy(prefix).agg(F.max(number).alias("_top"))
     seen = keys.groupBy(prefix, key).agg(F.min(first_seen).alias("_seen"))
-    place = F.row_number().over(W.partitionBy(prefix).orderBy("_seen", key))
-    rows = seen.join(top, prefix, "left").withColumn(code, F.concat(F.col(prefix), F.lit("."), (F.coalesce("_top", F.lit(0)) + place).cast("string")))
+    placed = running_before(seen, [prefix], ["_seen", key], F.lit(1), "_place")
+    rows = placed.join(top, prefix, "left").withColumn(code, F.concat(F.col(prefix), F.lit("."), (F.coalesce("_top", F.lit(0)) + F.col("_place") + 1).cast("string")))
     return rows.select(prefix, key, code)
 
 

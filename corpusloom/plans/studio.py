@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import matching, members, profiles, scoring, upkeep, views
+from corpusloom.operators import matching, members, profiles, ranking, scoring, upkeep, views
 from corpusloom.plans.queries import QUERIES as QUERIES_OF_PLANS
 from corpusloom.plans.queries import _LONG, _NORMAL, _PRINTS, _SCORES, SCORED, _cosine_words, _even, _feature_ctes, _features, _prints, _scores, rounded, table
 from corpusloom.sources import staging
@@ -313,3 +313,9 @@ def rating_run(spark, sf_dir):
         store.commit("run-1", {"inputs": docs, "scores": rated.drop("breakdown")})
     best = F.first("source").over(W.partitionBy("run_id", "doc_id").orderBy("place"))
     return store.read("scores").select("run_id", "doc_id", "source", "score", "place", "is_member", "matched", best.alias("best_fit"))
+
+
+@query("select l_returnflag, l_linestatus, count(l_extendedprice) n, round(quantile_cont(l_extendedprice::double, 0.5), 6) median from lineitem group by all")
+def hot_medians(spark, sf_dir):
+    """Exact medians of prices by flag and status: a few keys that hold all lines."""
+    return rounded(ranking.medians(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from corpusloom import registry
-from corpusloom.operators import matching, profiles, replies, scoring, upkeep
+from corpusloom.operators import matching, profiles, ranking, replies, scoring, upkeep
 from corpusloom.sources.staging import RunStore
 
 
@@ -102,6 +102,17 @@ def test_format_inputs_and_profiles(spark):
     assert [tuple(r) for r in rows] == [("a", "v", "x", 2, 4, 4, "confirmed")]
 
 
+def test_running_sums_and_medians_of_a_hot_key(spark):
+    rng = np.random.default_rng(5)
+    values = [("hot", float(v)) for v in rng.integers(0, 400, 3001)] + [("hot", None), (None, 4.0), (None, 9.0), ("one", 1.5)]
+    rows = spark.createDataFrame(values, "k string, v double")
+    got = {r.k: (r.n, r.median) for r in ranking.medians(rows, ["k"], "v").collect()}
+    assert got == {"hot": (3001, float(np.median([v for k, v in values if k == "hot" and v is not None]))), None: (2, 6.5), "one": (1, 1.5)}
+    placed = ranking.running_before(rows.where("k = 'hot' and v is not null").select("v").distinct().withColumn("k", F.lit("x")), ["k"], ["v"], F.lit(1), "at").orderBy("v").collect()
+    assert [r.at for r in placed] == list(range(len(placed)))
+    assert ranking.medians(rows.where("v < 0"), ["k"], "v").collect() == []
+
+
 def test_no_job_before_an_action(spark, monkeypatch):
     reads, tracker = [], spark.sparkContext.statusTracker()
     plain = DataFrameReader.parquet
