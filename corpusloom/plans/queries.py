@@ -108,7 +108,8 @@ def profile_drift(spark, sf_dir):
 
 def coverage_by_field(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rounded(profiles.coverage(docs, ["n_chars", "quality", "toxic", "lang", "source"], ("quality", "toxic")))
+    rows = profiles.coverage(docs, ["n_chars", "quality", "toxic", "lang", "source"], ("quality", "toxic"))
+    return rounded(rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_true", "n_false")}))
 
 
 def _shots(spark, sf_dir) -> DataFrame:
@@ -318,7 +319,7 @@ ORACLE_SQL = {
     "coverage_by_field": """with d as (select n_chars, quality, toxic, lang, source from documents left join labels using (doc_id)),
         v as (select x.attribute, x.kind, x.value, case when kind <> 'text' then x.value::double end n from d, lateral (values ('n_chars', 'number', n_chars::varchar), ('quality', 'flag', quality::varchar), ('toxic', 'flag', toxic::varchar), ('lang', 'text', lang), ('source', 'text', source)) x(attribute, kind, value))
         select attribute, kind, count(value) filled, round(100.0 * count(value) / count(*), 6) percent, min(n) filter (kind = 'number') low, max(n) filter (kind = 'number') high, round(avg(n) filter (kind = 'number'), 6) mean, count(distinct value) n_values,
-            case when kind = 'flag' then count(*) filter (n <> 0) end n_true, case when kind = 'flag' then count(*) filter (n = 0) end n_false from v group by attribute, kind""",
+            count(*) filter (kind = 'flag' and n <> 0) n_true, count(*) filter (kind = 'flag' and n = 0) n_false from v group by attribute, kind""",
     "shot_attributes": f"""with {_SHOTS},
         c as (select l_orderkey, l_returnflag, count(*) n, min(l_linenumber) f from lineitem group by all),
         g as (select l_orderkey, l_returnflag main_category from c qualify row_number() over (partition by l_orderkey order by n desc, f, l_returnflag) = 1)

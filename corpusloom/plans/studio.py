@@ -290,21 +290,22 @@ _CHAIN = """(select distinct s_suppkey a, case when s_suppkey % 50 = 1 then null
         w as (select a, b, [a] seen, false cycle from m
             union all select w.a, m.b, list_append(w.seen, m.a), list_contains(w.seen, m.b) from w join m on w.b = m.a where not w.cycle and not list_contains(w.seen, w.b)),
         e as (select a, b from w where b not in (select a from m))
-        select m.a s_suppkey, e.b "into", case when e.b is null then 'cycle' else 'merged' end status from m left join e using (a)""")
+        select m.a s_suppkey, coalesce(e.b, -1) "into", case when e.b is null then 'cycle' else 'merged' end status from m left join e using (a)""")
 def account_chains(spark, sf_dir):
-    """Suppliers merged into the one before, in chains of fifty; some point at each other and have no end."""
+    """Suppliers merged into the one before, in chains of fifty; some point at each other and have no end (-1)."""
     key = F.col("s_suppkey")
     into = F.when(key % 50 == 1, None).when(key % 90 == 12, key + 1).otherwise(key - 1)
-    return upkeep.settled_merges(table(spark, sf_dir, "supplier").select("s_suppkey", into.alias("into")), "s_suppkey")
+    ends = upkeep.settled_merges(table(spark, sf_dir, "supplier").select("s_suppkey", into.alias("into")), "s_suppkey")
+    return ends.withColumn("into", F.coalesce("into", F.lit(-1)))
 
 
 @query(_COMPLETE + """, hx as (select doc_id, source, """ + _NORMAL + """ n from documents where source is not null),
         cm as (select x.doc_id, y.source, min(y.doc_id) matched from hx x join hx y on x.n = y.n and x.n <> '' and x.doc_id <> y.doc_id group by all),
         ov as (select co.doc_id, co.source, case when cm.doc_id is not null then 100.0 else score end score, cm.doc_id is not null is_member, matched from co left join cm on cm.doc_id = co.doc_id and cm.source = co.source),
         rk as (select *, row_number() over (partition by doc_id order by score desc nulls last, source)::int place from ov)
-        select 'run-1' run_id, doc_id, source, score, place, is_member, matched, first_value(source) over (partition by doc_id order by place) best_fit from rk""")
+        select 'run-1' run_id, doc_id, source, score, place, is_member, coalesce(matched, -1) matched, first_value(source) over (partition by doc_id order by place) best_fit from rk""")
 def rating_run(spark, sf_dir):
-    """A stored run: every document rated against every comparable profile, equal texts as members, committed twice."""
+    """A stored run: every document rated against every comparable profile, equal texts as members (matched: -1 without one), committed twice."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     copies = members.membership(docs, docs.withColumnRenamed("doc_id", "owned"), "doc_id", "text", "source", "owned", near=None)
     rated = scoring.rated(_complete(spark, sf_dir), copies, "doc_id", "source")
@@ -312,7 +313,7 @@ def rating_run(spark, sf_dir):
     for _ in range(2):  # delivered again, it changes nothing
         store.commit("run-1", {"inputs": docs, "scores": rated.drop("breakdown")})
     best = F.first("source").over(W.partitionBy("run_id", "doc_id").orderBy("place"))
-    return store.read("scores").select("run_id", "doc_id", "source", "score", "place", "is_member", "matched", best.alias("best_fit"))
+    return store.read("scores").select("run_id", "doc_id", "source", "score", "place", "is_member", F.coalesce("matched", F.lit(-1)).alias("matched"), best.alias("best_fit"))
 
 
 @query("select l_returnflag, l_linestatus, count(l_extendedprice) n, round(quantile_cont(l_extendedprice::double, 0.5), 6) median from lineitem group by all")
