@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources.staging import staged
 
 #: From this length on the ratio leaves out common characters (a rule of the ratio).
 LONG = 200
@@ -142,6 +143,7 @@ def close_long(x: DataFrame, y: DataFrame, near: float) -> DataFrame:
     """(x, y) that may reach the ratio, y a long text. x and y: one row a text, with norm."""
     kind_x, kind_y = (d.schema[c].dataType.simpleString() for d, c in ((x, "x"), (y, "y")))
     rows = y.where(F.length("norm") >= LONG).mapInArrow(owned_keys(near), f"y {kind_y}, n long, held long, s long, key long, run long, beyond long, rare long").where("key is not null")
+    rows = staged(rows, "ends")  # read for what is asked, for frequencies and as the index
     # what items of a class have to show: the lengths of ends and the rare characters of the texts of like length
     asked = rows.select("s", "rare", classes_near(F.col("n"), near).alias("class")).groupBy("class").agg(F.collect_set("s").alias("sizes"), F.bit_or("rare").alias("rare"))
     shown = x.withColumn("class", length_class(F.length("norm"), near)).join(asked, "class").select("x", "norm", "sizes", "rare")
@@ -230,10 +232,12 @@ def ratios(near: float):
 
 
 def similar(x: DataFrame, y: DataFrame, near: float) -> DataFrame:
-    """x, y, similarity of all pairs of different texts that reach the ratio; x and y hold one row a text (id, norm)."""
-    marked = y.mapInArrow(long_by_runs(near), f"y {y.schema['y'].dataType.simpleString()}, norm string, by_runs boolean")
+    """x, y, similarity of all pairs of different texts that reach the ratio; x and y hold one row a text (id, norm).
+    Texts, ends of runs and close pairs are written once."""
+    marked = staged(y.mapInArrow(long_by_runs(near), f"y {y.schema['y'].dataType.simpleString()}, norm string, by_runs boolean"), "owned_texts")
     pairs = close_long(x, marked.where("by_runs").drop("by_runs"), near).union(close_short(x, marked.where("not by_runs").drop("by_runs"), near))
-    texts = pairs.join(x.select("x", F.col("norm").alias("a")), "x").join(y.select("y", F.col("norm").alias("b")), "y").where("a <> b")
+    pairs = staged(pairs, "close_texts")
+    texts = pairs.join(x.select("x", F.col("norm").alias("a")), "x").join(marked.select("y", F.col("norm").alias("b")), "y").where("a <> b")
     return texts.withColumn("similarity", ratios(near)("a", "b")).where(F.col("similarity") >= near).select("x", "y", "similarity")
 
 
@@ -258,6 +262,7 @@ def membership(texts: DataFrame, corpus: DataFrame, item: str, text: str, accoun
     names = [F.col("item").alias(item), F.col("account").alias(account), "match", "similarity", "matched"]
     if near is None:
         return equal.select(*names)
+    x, y = staged(x, "item_texts"), staged(y, "corpus_texts")
     pairs = similar(x.select("x", "norm"), y.select("y", "norm"), near).join(x.select("x", "h"), "x").join(y.select("y", F.col("h").alias("g")), "y")
     met = items.join(pairs.select("h", "g", "similarity"), "h").join(owners.withColumnRenamed("h", "g"), "g").where("item <> owned")
     best = met.groupBy("item", "account").agg(F.min_by(F.struct("similarity", "owned"), F.struct(-F.col("similarity"), F.col("owned"))).alias("b"))
