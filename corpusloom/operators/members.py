@@ -35,10 +35,17 @@ ENDS, EDGES = (10, 6, 4, 3), 0.55
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789' "
 CODES = np.zeros(256, np.int64)
 CODES[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, len(ALPHABET) + 1)
+#: Keys in one batch of rows that a task makes.
+KEYS = 200_000
 #: Where an end stands: it begins with a rare character, it ends with one, or it begins the text.
 AFTER, BEFORE, START = 1, 2, 3
 
 
+def codes_of(text: pa.StringScalar) -> np.ndarray:
+    """The characters of a normalised text as numbers from 1 on."""
+    return CODES[np.frombuffer(text.as_buffer(), np.uint8)]
+
+
 def rare_places(codes: np.ndarray) -> np.ndarray:
     """Places of characters that make up no more than a hundredth of a long text."""
     count = np.bincount(codes, minlength=len(ALPHABET) + 1)
@@ -87,21 +94,28 @@ def chosen(codes: np.ndarray, near: float) -> tuple[int, int, list] | None:
 
 
 def owned_keys(near: float):
-    """Rows of the corpus' long texts: y, n, held, key, run, beyond, rare characters; of the others one row without key."""
+    """Rows of the corpus' long texts: y, n, held, s, key, run, beyond, rare characters."""
 
     def made(batches):
         for batch in batches:
-            ys, texts = (batch.column(c).to_pylist() for c in ("y", "norm"))
-            out: dict[str, list] = {c: [] for c in ("y", "n", "held", "s", "key", "run", "beyond", "rare")}
-            for y, t in zip(ys, texts, strict=True):
-                codes = CODES[np.frombuffer(t.encode(), np.uint8)]
+            schema = pa.schema([("y", batch.schema.field("y").type), *((c, pa.int64()) for c in ("n", "held", "s", "key", "run", "beyond", "rare"))])
+            parts, size = [], 0
+            for y, t in zip(batch.column("y"), batch.column("norm"), strict=True):
+                codes = codes_of(t)
                 found = chosen(codes, near)
-                s, held, keys = found or (0, 0, [])
-                rare = int(np.bitwise_or.reduce(1 << np.unique(codes[rare_places(codes)]), initial=0)) if found else 0
-                for key, run, beyond in keys or [(None, -1, 0)]:
-                    for c, v in zip(out, (y, len(t), held, s, key, run, beyond, rare), strict=True):
-                        out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("y", batch.schema.field("y").type), *((c, pa.int64()) for c in list(out)[1:])]))
+                if not found or not found[2]:
+                    continue
+                s, held, keys = found
+                rare = int(np.bitwise_or.reduce(1 << np.unique(codes[rare_places(codes)]), initial=0))
+                key, run, beyond = np.array(keys, np.int64).T
+                one = [np.full(len(key), v, np.int64) for v in (len(codes), held, s, rare)]
+                parts.append(pa.RecordBatch.from_arrays([pa.repeat(y, len(key)), *map(pa.array, (*one[:3], key, run, beyond, one[3]))], schema=schema))
+                size += len(key)
+                if size >= KEYS:
+                    yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+                    parts, size = [], 0
+            if parts:
+                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
 
     return made
 
@@ -109,20 +123,26 @@ def owned_keys(near: float):
 def item_keys(batches):
     """Rows of the items' texts: x, n, key, for the lengths of ends and the rare characters that texts of like length have."""
     for batch in batches:
-        out: dict[str, list] = {"x": [], "n": [], "key": []}
-        for x, t, sizes, rare in zip(*(batch.column(c).to_pylist() for c in ("x", "norm", "sizes", "rare")), strict=True):
-            codes = CODES[np.frombuffer(t.encode(), np.uint8)]
-            wanted = (rare >> codes & 1).astype(bool)
+        schema = pa.schema([("x", batch.schema.field("x").type), ("n", pa.int64()), ("key", pa.int64())])
+        parts, size = [], 0
+        for x, t, sizes, rare in zip(*(batch.column(c) for c in ("x", "norm", "sizes", "rare")), strict=True):
+            codes = codes_of(t)
+            wanted = (rare.as_py() >> codes & 1).astype(bool)
             keys = []
-            for s in sizes:
+            for s in sizes.as_py():
                 ends, k = ends_of(codes, s) << 4, ENDS.index(s)
                 if len(ends):
                     keys += [ends[wanted[: len(ends)]] | AFTER << 2 | k, ends[wanted[s - 1 :]] | BEFORE << 2 | k, ends[:1] | START << 2 | k]
-            keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-            out["x"] += [x] * len(keys)
-            out["n"] += [len(t)] * len(keys)
-            out["key"] += keys.tolist()
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("x", batch.schema.field("x").type), ("n", pa.int64()), ("key", pa.int64())]))
+            if not keys:
+                continue
+            found = np.unique(np.concatenate(keys))
+            parts.append(pa.RecordBatch.from_arrays([pa.repeat(x, len(found)), pa.array(np.full(len(found), len(codes), np.int64)), pa.array(found)], schema=schema))
+            size += len(found)
+            if size >= KEYS:
+                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+                parts, size = [], 0
+        if parts:
+            yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
 
 
 def length_class(n: Column, near: float) -> Column:
@@ -142,7 +162,7 @@ def matched_least(a: Column, b: Column, near: float) -> Column:
 def close_long(x: DataFrame, y: DataFrame, near: float) -> DataFrame:
     """(x, y) that may reach the ratio, y a long text. x and y: one row a text, with norm."""
     kind_x, kind_y = (d.schema[c].dataType.simpleString() for d, c in ((x, "x"), (y, "y")))
-    rows = y.where(F.length("norm") >= LONG).mapInArrow(owned_keys(near), f"y {kind_y}, n long, held long, s long, key long, run long, beyond long, rare long").where("key is not null")
+    rows = y.where(F.length("norm") >= LONG).mapInArrow(owned_keys(near), f"y {kind_y}, n long, held long, s long, key long, run long, beyond long, rare long")
     rows = staged(rows, "ends")  # read for what is asked, for frequencies and as the index
     # what items of a class have to show: the lengths of ends and the rare characters of the texts of like length
     asked = rows.select("s", "rare", classes_near(F.col("n"), near).alias("class")).groupBy("class").agg(F.collect_set("s").alias("sizes"), F.bit_or("rare").alias("rare"))
