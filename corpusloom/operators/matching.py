@@ -10,8 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from corpusloom.operators.topk import best_cosines
 from corpusloom.sources.staging import staged
 
+
 def word_rows(texts: DataFrame, key: str, text: str, least: int, stopwords: list[str]) -> DataFrame:
     """key, word (ASCII letters, lower case, longer than least, no stopwords), one row an occurrence."""
     found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"[a-z]{{{least + 1},}}"), F.lit(0))
@@ -115,10 +117,11 @@ SUBJECT_HINTS = {
 }
 
 
-def best_account(cosines: DataFrame, item: str, account: str) -> DataFrame:
-    """The account of the highest cosine for each item (the smaller name at a tie) and the confidence in percent."""
-    best = cosines.where("cosine > 0").groupBy(item).agg(F.min_by(F.struct(account, "cosine"), F.struct(-F.col("cosine"), F.col(account))).alias("_b"))
-    return best.select(item, f"_b.{account}", F.rint(100 * F.col("_b.cosine")).cast("long").alias("confidence"))
+def best_account(a: DataFrame, b: DataFrame, item: str, account: str) -> DataFrame:
+    """The account of the highest cosine for each item (the smaller name at a tie) and the confidence in percent; a and b
+    hold a row a word. Accounts that can't be the best are not met."""
+    best = best_cosines(a, b, item, account)
+    return best.select(item, account, F.rint(100 * F.col("cosine")).cast("long").alias("confidence"))
 
 
 def subject_of(domain: Column) -> Column:
@@ -191,18 +194,13 @@ NAMES = r"\b(?:[A-Z][a-z]{2,}(?:\s[A-Z][a-z]{2,}){0,2})\b"
 OPENINGS = ["The", "This", "That", "These", "Those", "After", "Before", "Despite", "Using", "Also", "Shows", "While", "When", "Where", "Even", "Only", "Most", "Many", "Some", "Because", "Since", "Smil", "Author"]
 
 
-def page_match(examples: DataFrame, pages: DataFrame, book: str, item: str, text: Column, page: str, page_text: str, least: int = 4) -> DataFrame:
-    """The page of its book that holds most of an example's weighted tokens (numbers 3, names of several words 2, single
-    names 1), from a score on; the last page at a tie. A token that stands twice counts twice."""
-    numbers = F.filter(F.transform(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)), F.trim), lambda t: F.length(t) > 1)
+def example_tokens(examples: DataFrame, book: str, item: str, text: Column) -> DataFrame:
+    """book, item, t, w: the tokens of an example and their weights (numbers 3, names of several words 2, single names 1); a
+    token that stands twice weighs twice."""
+    numbers = F.filter(F.transform(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)), lambda t: F.trim(t)), lambda t: F.length(t) > 1)
     names = F.filter(F.regexp_extract_all(text, F.lit(NAMES), F.lit(0)), lambda t: ~F.split(t, r"\s")[0].isin(*OPENINGS))
     weighed = F.concat(F.transform(numbers, lambda t: F.struct(t.alias("t"), F.lit(3).alias("w"))), F.transform(names, lambda t: F.struct(t.alias("t"), F.when(t.contains(" "), 2).otherwise(1).alias("w"))))
-    rows = examples.select(book, item, F.explode(weighed).alias("x")).groupBy(book, item, F.col("x.t").alias("t")).agg(F.sum("x.w").alias("w"))
-    tokens = rows.groupBy(book, item).agg(F.collect_list(F.struct("t", "w")).alias("tokens"))
-    both = tokens.join(pages.select(book, page, F.col(page_text).alias("_text")), book)
-    score = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + F.when(F.contains(F.col("_text"), x["t"]), x["w"]).otherwise(0))
-    scored = both.select(book, item, page, score.alias("score")).where(F.col("score") >= least)
-    return scored.groupBy(book, item).agg(F.max(F.struct("score", page)).alias("_m")).select(book, item, f"_m.{page}", "_m.score")
+    return examples.select(book, item, F.explode(weighed).alias("x")).groupBy(book, item, F.col("x.t").alias("t")).agg(F.sum("x.w").alias("w"))
 
 
 def numbered_letters(norm: Column) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import matching, members, profiles, ranking, scoring, upkeep, views
+from corpusloom.operators import matching, members, profiles, ranking, scoring, topk, upkeep, views
+from corpusloom.operators import pages as page_finder
 from corpusloom.plans.queries import QUERIES as QUERIES_OF_PLANS
 from corpusloom.plans.queries import _LONG, _NORMAL, _PRINTS, _SCORES, SCORED, _cosine_words, _even, _feature_ctes, _features, _prints, _scores, rounded, table
 from corpusloom.sources import staging
@@ -179,8 +180,17 @@ def best_account(spark, sf_dir):
         rows = table(spark, sf_dir, name).select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z']+"), F.lit(0))).alias("word"))
         return rows.where(F.length("word") > 2).where(~F.col("word").isin(*matching.STOPWORDS))
 
-    cosines = matching.account_cosine(words("benchmark", "item_id"), words("documents", "source"), "item_id", "source")
-    return matching.best_account(cosines.withColumn("cosine", F.round("cosine", 9)), "item_id", "source")
+    return matching.best_account(words("benchmark", "item_id"), words("documents", "source"), "item_id", "source")
+
+
+@query(f"""with a as (select distinct * from ({_cosine_words("benchmark", "item_id")})), b as (select distinct * from ({_cosine_words("documents", "source")})), n as (select item_id, count(*) n from a group by all),
+        m as (select item_id, source, count(*) shared, round(count(*) / any_value(n), 6) overlap from a join b using (word) join n using (item_id) where source is not null group by item_id, source)
+        select *, row_number() over (partition by item_id order by shared desc, source)::int place from m qualify place <= 3""")
+def topical_best(spark, sf_dir):
+    """Benchmark passages as candidates, sources as accounts: the three whose words hold most of a passage's."""
+    texts = matching.word_rows(table(spark, sf_dir, "benchmark"), "item_id", "text", 3, [])
+    own = matching.word_rows(table(spark, sf_dir, "documents").where("source is not null"), "source", "text", 3, [])
+    return rounded(topk.best_overlaps(texts, own, "item_id", "source"))
 
 
 _NUM, _CAP = (p.replace("'", "''") for p in (matching.NUMBERS, matching.NAMES))
@@ -195,7 +205,7 @@ def page_match(spark, sf_dir):
     """Benchmark passages as examples, documents as pages of the book that their source is; each item belongs to one source by its number."""
     examples = table(spark, sf_dir, "benchmark").withColumn("book", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
     pages = table(spark, sf_dir, "documents").withColumnRenamed("source", "book")
-    return matching.page_match(examples, pages, "book", "item_id", F.col("text"), "doc_id", "text", 2)
+    return page_finder.page_match(examples, pages, "book", "item_id", F.col("text"), "doc_id", "text", 2)
 
 
 @query("""with a as (select s_suppkey, s_name, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') n, case when s_suppkey % 3 = 0 then -1 end customer from supplier),

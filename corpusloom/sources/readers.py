@@ -117,7 +117,7 @@ def subtitles(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.replace("value", F.lit("\r"), F.lit("")).alias("raw"))
     drop = r"^\s*\d+\s*$|-->|^WEBVTT|^\s*$"
     lines = lambda block: F.filter(F.split(block, "\n"), lambda x: ~x.rlike(drop))
-    block = lambda b: F.trim(F.regexp_replace(F.array_join(F.transform(lines(b), F.trim), " "), r"<[^>]+>|\{[^}]+\}", ""))
+    block = lambda b: F.trim(F.regexp_replace(F.array_join(F.transform(lines(b), lambda x: F.trim(x)), " "), r"<[^>]+>|\{[^}]+\}", ""))
     parts = F.filter(F.transform(F.split("raw", r"\n\s*\n"), block), lambda p: p != "")
     last = F.element_at(F.regexp_extract_all("raw", F.lit(r"-->\s*((?:\d+:)?\d+:\d+[.,]\d+)"), F.lit(1)), -1)
     return rows.select("path", F.array_join(parts, "\n\n").alias("text"), last.alias("last_cue"))
