@@ -97,8 +97,7 @@ def subtitle_manifests(spark: SparkSession, manifest: str, subtitles_path: str)
     rows = spark.read.schema("url string, title string").json(manifest, multiLine=True)
     rows = rows.withColumn("shortcode", F.nullif(code(F.col("url")), F.lit("")))
     files = subtitles(spark, subtitles_path)
-    named = files.withColumn("shortcode", F.regexp_extract("path", r"([A-Za-z0-9_-]+)\.(?:srt|vtt|[a-z]{2}\.(?:srt|vtt))$", 1))
-    return rows.join(named, "shortcode", "left").select("url", "title", "shortcode", "path", "text", cue_seconds(F.col("last_cue")).alias("last_end"))
+    return rows.join(files, "shortcode", "left").select("url", "title", "shortcode", "path", "text", cue_seconds(F.col("last_cue")).alias("last_end"))
 
 
 def book_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -112,15 +111,37 @@ def books(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({"word_count": F.size(F.array_remove(F.split("full_text", r"\s+"), "")), "status": F.lit("pending")})
 
 
-def subtitles(spark: SparkSession, path: str) -> DataFrame:
-    """One text of paragraphs for each subtitle file: no cue numbers, timings, headers or tags."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.replace("value", F.lit("\r"), F.lit("")).alias("raw"))
-    drop = r"^\s*\d+\s*$|-->|^WEBVTT|^\s*$"
-    lines = lambda block: F.filter(F.split(block, "\n"), lambda x: ~x.rlike(drop))
-    block = lambda b: F.trim(F.regexp_replace(F.array_join(F.transform(lines(b), lambda x: F.trim(x)), " "), r"<[^>]+>|\{[^}]+\}", ""))
-    parts = F.filter(F.transform(F.split("raw", r"\n\s*\n"), block), lambda p: p != "")
-    last = F.element_at(F.regexp_extract_all("raw", F.lit(r"-->\s*((?:\d+:)?\d+:\d+[.,]\d+)"), F.lit(1)), -1)
-    return rows.select("path", F.array_join(parts, "\n\n").alias("text"), last.alias("last_cue"))
+BINARY = "path string, modificationTime timestamp, length long, content binary"
+
+
+def subtitle_text(raw: Column) -> Column:
+    """A paragraph for each block of a subtitle file, without cue numbers, timings, the WEBVTT line and tags; null is
+    empty."""
+    drop = r"^\d+$|-->|^(?i:WEBVTT)$|^$"
+    lines = lambda block: F.filter(F.transform(F.split(block, r"\r\n|\n|\r"), lambda x: stripped(x)), lambda x: ~x.rlike(drop))
+    bare = lambda block: F.filter(F.transform(lines(block), lambda x: F.regexp_replace(x, r"<[^>]+>|\{[^}]*\}", "")), lambda x: x != "")
+    blocks = F.transform(F.split(stripped(raw), r"\n\s*\n"), lambda b: F.array_join(bare(b), " "))
+    return F.array_join(F.filter(blocks, lambda p: p != ""), "\n\n")
+
+
+def subtitles(spark: SparkSession, path: str, at_once: int | None = None) -> DataFrame:
+    """path, folder, shortcode, modified, text, last_cue, status of each .srt and .vtt file under a folder, as a batch, or with
+    at_once as a stream of the files that come, so many at once.
+
+    A file isn't fatal: bytes that are no UTF-8 are left out and its status is bad_bytes; one without any cue text is no_text, its
+    text empty; an empty file has no row. shortcode is the file's name without its endings. A stream takes a file once, under its first content."""
+    reader = spark.readStream.option("maxFilesPerTrigger", at_once) if at_once else spark.read
+    files = reader.format("binaryFile").schema(BINARY)
+    files = files.option("pathGlobFilter", "*.{srt,vtt,SRT,VTT}").option("recursiveFileLookup", "true").load(path)
+    told = F.col("content").cast("string")
+    valid = F.is_valid_utf8(told)
+    raw = F.when(valid, told).otherwise(F.replace(F.make_valid_utf8(told), F.lit("\ufffd"), F.lit("")))
+    last = F.try_element_at(F.regexp_extract_all("_raw", F.lit(r"-->\s*((?:\d+:)?\d+:\d+[.,]\d+)"), F.lit(1)), F.lit(-1))
+    rows = files.select("path", F.col("modificationTime").alias("modified"), valid.alias("_valid"), raw.alias("_raw"))
+    rows = rows.withColumns({"text": subtitle_text(F.col("_raw")), "last_cue": last})
+    status = F.when(~F.col("_valid"), "bad_bytes").when(F.col("text") == "", "no_text").otherwise("ok")
+    folder, code = F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.regexp_extract("path", r"([A-Za-z0-9_-]+)(?:\.[a-z]{2})?\.(?i:srt|vtt)$", 1)
+    return rows.select("path", folder.alias("folder"), F.nullif(code, F.lit("")).alias("shortcode"), "modified", "text", "last_cue", status.alias("status"))
 
 
 def usage_log(spark: SparkSession, path: str) -> DataFrame:
