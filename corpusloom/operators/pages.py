@@ -11,6 +11,7 @@ from corpusloom.operators.topk import best_matches
 
 PART_CHARS = 4_000_000  # characters of pages read by one automaton
 PART_TOKENS = 20_000  # tokens of one automaton
+SALTS = 32  # shares of a book's pages that meet its size apart
 
 
 def _found(tokens: pd.DataFrame, pages: pd.DataFrame) -> pd.DataFrame:
@@ -23,13 +24,15 @@ def _found(tokens: pd.DataFrame, pages: pd.DataFrame) -> pd.DataFrame:
         for t in tokens["t"]:
             machine.add_word(t, t)
         machine.make_automaton()
+        pages = pages.drop_duplicates(["page", "version"])  # equal rows stand in one part
         for b, p, v, text in zip(pages["book"], pages["page"], pages["version"], pages["text"], strict=True):
             rows.extend((b, p, v, t) for t in {t for _, t in machine.iter(text)})
     return pd.DataFrame(rows, columns=["book", "page", "version", "t"])
 
 
 def page_tokens(tokens: DataFrame, pages: DataFrame) -> DataFrame:
-    """book, page, version, t: the distinct tokens (book, t) that stand anywhere in a page (book, page, version, text).
+    """book, page, version, t: the distinct tokens (book, t) that stand anywhere in a page (book, page, version, text);
+    version tells a page's texts apart, and equal rows count once.
 
     A book's pages are dealt in parts of about PART_CHARS and its tokens in parts of PART_TOKENS, so a book of any size
     is spread over tasks; a page is read once for each part of tokens. Rows with a null book and empty tokens find nothing."""
@@ -38,9 +41,11 @@ def page_tokens(tokens: DataFrame, pages: DataFrame) -> DataFrame:
     sizes = p.groupBy("book").agg(F.ceil(F.sum(F.length("text")) / PART_CHARS).alias("_parts"))
     sizes = sizes.join(t.groupBy("book").agg(F.ceil(F.count("*") / PART_TOKENS).alias("_blocks")), "book")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
-    left = t.join(sizes, "book").select("book", each("_parts").alias("_part"), dealt("t", "_blocks").alias("_block"), "t")
-    right = p.join(sizes, "book").select("book", dealt("version", "_parts").alias("_part"), each("_blocks").alias("_block"), "page", "version", "text")
+    dealt = lambda n, *of: F.pmod(F.xxhash64(*of), F.col(n))
+    salts = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = p.withColumn("_salt", F.pmod(F.xxhash64("version", "page"), F.lit(SALTS))).join(salts, ["book", "_salt"])
+    left = t.join(sizes, "book").select("book", each("_parts").alias("_part"), dealt("_blocks", "t").alias("_block"), "t")
+    right = salted.select("book", dealt("_parts", "page", "version").alias("_part"), each("_blocks").alias("_block"), "page", "version", "text")
     kinds = {f.name: f.dataType.simpleString() for f in p.schema}
     key = ["book", "_part", "_block"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_found, f"book {kinds['book']}, page {kinds['page']}, version string, t string")
@@ -52,7 +57,7 @@ def page_match(examples: DataFrame, pages: DataFrame, book: str, item: str, text
     several texts counts each text alone. Null keys and texts have no row."""
     asked = example_tokens(examples, book, item, text).select(F.col(book).alias("book"), F.col(item).alias("item"), F.col(book).alias("of"), "t", F.col("w").alias("x"))
     asked = asked.where("book is not null and item is not null")
-    rows = pages.select(F.col(book).alias("book"), F.col(page).alias("page"), F.md5(page_text).alias("version"), F.col(page_text).alias("text")).where("page is not null").distinct()
+    rows = pages.select(F.col(book).alias("book"), F.col(page).alias("page"), F.md5(page_text).alias("version"), F.col(page_text).alias("text")).where("page is not null")
     known = page_tokens(asked, rows).select(F.col("book").alias("of"), "page", "version", "t", F.lit(1.0).alias("y"))
     # the book is a part of the term: an example meets pages of its own book alone
     best = best_matches(asked, known, ["book", "item"], ["page", "version"], ["of", "t"], 1, least, 6, last=True)
