@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators import ranking
+from corpusloom.sources.staging import staged
 
 #: Seconds below which a shot is very short and short, and beyond which it is long; categories of shots.
 LIMITS = (1, 2, 5)
@@ -44,6 +46,23 @@ def gated_median(rows: DataFrame, account: str, metrics: list[str]) -> DataFrame
     return rows.groupBy(account).agg(*out)
 
 
+def hot_gated_median(rows: DataFrame, account: str, metrics: list[str]) -> DataFrame:
+    """gated_median() for accounts that may hold most of all rows: medians from ranges of ranked values, counts as partial
+    sums. Metrics are told one a row in between, and written once. A null account is one account."""
+    one = [F.col(m).cast("double").alias(m) for m in metrics]
+    values = staged(rows.select(account, *one).unpivot([account], metrics, "_metric", "_value"), "metrics")
+    found = ranking.medians(values, [account, "_metric"], "_value")
+    wide = found.groupBy(F.col(account).alias("_a")).agg(*(F.max(F.when(F.col("_metric") == m, F.col("median"))).alias(f"_m{i}") for i, m in enumerate(metrics)))
+    have = lambda m: F.count(F.when(F.col("_metric") == m, F.col("_value")))
+    counts = values.groupBy(account).agg(F.count_if(F.col("_metric") == metrics[0]).alias("_n"), *(have(m).alias(f"_c{i}") for i, m in enumerate(metrics)))
+    both = counts.join(wide, F.col(account).eqNullSafe(F.col("_a")), "left")
+    out = []
+    for i, m in enumerate(metrics):
+        share = F.concat(F.col(f"_c{i}").cast("string"), F.lit("/"), F.col("_n").cast("string"))
+        out += [F.when(2 * F.col(f"_c{i}") >= F.col("_n"), F.col(f"_m{i}")).alias(m), share.alias(f"{m}_coverage")]
+    return both.select(account, *out)
+
+
 def mode_with_spread(rows: DataFrame, account: str, axis: str, enough: int = 3) -> DataFrame:
     """The most frequent value of an axis (the smaller at a tie), all counts as a note, confirmed from enough rows on."""
     counts = rows.where(F.col(axis).isNotNull()).groupBy(account, axis).agg(F.count("*").alias("n"))

@@ -9,6 +9,8 @@ from pyspark.sql.types import BooleanType, NumericType
 
 from corpusloom.functions.scoring import numeric_subscore
 from corpusloom.functions.text import half_even
+from corpusloom.operators import ranking
+from corpusloom.sources.staging import staged
 
 
 def dedup(items: DataFrame, owner: str, key: str, item: str) -> DataFrame:
@@ -43,6 +45,24 @@ def numeric_fingerprint(rows: DataFrame, profile: str, values: bool = False) ->
     )
 
 
+def hot_fingerprint(rows: DataFrame, profile: str) -> DataFrame:
+    """numeric_fingerprint() for profiles that may hold most of all items: the medians come from ranges of ranked values,
+    so no task holds the distinct values of a profile, and all other statistics are partial sums.
+
+    rows are written once, as the medians need them a second time. A null profile is one profile, nulls and values that
+    are no number (NaN) are left out; equal values share a rank, so repeats change nothing."""
+    kept = staged(rows.where(F.col("value").isNotNull() & ~F.isnan("value")), "values")
+    told = kept.groupBy(profile, "attribute").agg(
+        F.count("*").alias("n"),
+        F.avg("value").alias("mean"),
+        F.stddev_pop("value").alias("std"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+    )
+    middle = ranking.medians(kept, [profile, "attribute"], "value").select(F.col(profile).alias("_p"), F.col("attribute").alias("_a"), "median")
+    return told.join(middle, F.col(profile).eqNullSafe(F.col("_p")) & F.col("attribute").eqNullSafe(F.col("_a"))).drop("_p", "_a")
+
+
 def categorical_fingerprint(rows: DataFrame, profile: str) -> DataFrame:
     """Share in percent of each value among the non-null ones, to one digit: scores, overlaps and drift read it so."""
     counts = rows.groupBy(profile, "attribute", "value").agg(F.count("*").alias("n"))

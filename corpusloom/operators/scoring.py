@@ -71,20 +71,41 @@ def subscores(shared: list[str] | None = None, shares_only: Column | None = None
     return F.filter(both, lambda s: s["subscore"].isNotNull())
 
 
-def weighted_mean(scored: Column, weights: dict[str, float] | None = None) -> Column:
-    """Mean of the subscores by weight (1 where none is given), to one digit; null without any."""
-    table = F.create_map(*(F.lit(x) for kv in (weights or {}).items() for x in kv)) if weights else None
+def weighted_mean(scored: Column, weights: dict[str, float] | Column | None = None) -> Column:
+    """Mean of the subscores by weight (1 where none is given), to one digit; null without any. weights may be a map column."""
+    table = weights
+    if not isinstance(weights, Column):
+        table = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)) if weights else None
     weight = (lambda s: F.lit(1.0)) if table is None else (lambda s: F.coalesce(F.try_element_at(table, s["attribute"]), F.lit(1.0)))
     total = lambda f: F.aggregate(scored, F.lit(0.0), lambda a, s: a + f(s))
     return F.when(total(weight) > 0, F.round(F.round(total(lambda s: s["subscore"] * weight(s)) / total(weight), 6), 1))
 
 
-def complete_scores(items: DataFrame, profiles: DataFrame, item: str, profile: str, weights: dict[str, float] | None = None, shared: list[str] | None = None, book: str = "Book") -> DataFrame:
+def edited_weights(stored: DataFrame, edits: DataFrame) -> DataFrame:
+    """attribute, weight, kind of the weights table after edits (attribute, weight as text or number; the last edit, by
+    edit_id, holds). An edit that is no finite number of 0 or more, or names an attribute that isn't stored, changes
+    nothing; a null one sets the default of 1."""
+    number = F.col("weight").try_cast("double")
+    valid = F.col("weight").isNull() | ((number >= 0) & (number < float("inf")))
+    last = edits.where(valid).groupBy("attribute").agg(F.max_by(F.struct(F.coalesce(number, F.lit(1.0)).alias("w")), "edit_id").alias("_e"))
+    return stored.join(last, "attribute", "left").select("attribute", F.coalesce(F.col("_e.w"), F.col("weight").cast("double"), F.lit(1.0)).alias("weight"), "kind")
+
+
+def weight_row(weights: DataFrame) -> DataFrame:
+    """One row with the weights table as a map: it has a row for each attribute that is scored, whatever the data's size."""
+    pairs = F.collect_list(F.struct("attribute", F.col("weight").cast("double").alias("weight")))
+    return weights.where("attribute is not null and weight is not null").dropDuplicates(["attribute"]).agg(F.map_from_entries(pairs).alias("_weights"))
+
+
+def complete_scores(items: DataFrame, profiles: DataFrame, item: str, profile: str, weights: dict[str, float] | DataFrame | None = None, shared: list[str] | None = None, book: str = "Book") -> DataFrame:
     """item, profile, score, n_attributes, breakdown for every pair of item_maps() and profile_maps() rows.
 
     Profiles whose media is that of books are scored on the shared attributes alone and get no score without any; others
-    get 0 without any."""
+    get 0 without any. weights may be the weights table (attribute, weight): attributes without a row weigh 1."""
     rows = pairs_in_blocks(items, profiles, item, profile)
+    if isinstance(weights, DataFrame):
+        rows = rows.join(F.broadcast(weight_row(weights)), F.lit(True))  # one row
+        weights = F.col("_weights")
     is_book = F.coalesce(F.col("media") == book, F.lit(False))
     rows = rows.withColumn("_subs", subscores(shared, is_book))
     score = weighted_mean(F.col("_subs"), weights)

@@ -170,8 +170,9 @@ def remove_with_children(removed: DataFrame, item: str, children: dict[str, Data
 
 
 def repaired_media(items: DataFrame, key: str, media: str, right: Column) -> DataFrame:
-    """key, old and new of the items whose media type differs from what their link says: the report of a dry run."""
-    return items.select(key, F.col(media).alias("old"), right.alias("new")).where(~F.col("old").eqNullSafe(F.col("new")))
+    """key, old and new of the items whose media type differs from what their link says: the report of a dry run. Items
+    without a media type and those whose link says none (right is null) are left out."""
+    return items.select(key, F.col(media).alias("old"), right.alias("new")).where(F.col("old") != F.col("new"))
 
 
 def with_closing_shot(shots: DataFrame, items: DataFrame, item: str, number: str, start: str, end: str, seconds: str, least: float = 0.15) -> DataFrame:

@@ -76,7 +76,12 @@ def stages(first: DataFrame, second: DataFrame, third: DataFrame, key: str, link
     return rows.select(key, link, F.coalesce("n_second", F.lit(0)).alias("n_second"), F.coalesce("_first", F.lit(False)).alias("has_first"), stage.alias("stage"))
 
 
-def deltas(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """Scores after a rewrite beside those before it; delta to one digit, null where there was none before."""
+def deltas(before: DataFrame, after: DataFrame, keys: list[str], targets: DataFrame | None = None) -> DataFrame:
+    """Scores after a rewrite beside those before it; delta to one digit, null where there was none before. With targets
+    (rows of keys, of any number), is_target tells the profile that a rewrite was made for."""
     pre = before.select(*keys, F.col("score").alias("before"))
-    return after.select(*keys, F.col("score").alias("after")).join(pre, keys, "left").withColumn("delta", F.round(F.col("after") - F.col("before"), 1))
+    out = after.select(*keys, F.col("score").alias("after")).join(pre, keys, "left").withColumn("delta", F.round(F.col("after") - F.col("before"), 1))
+    if targets is None:
+        return out
+    meant = targets.select(*keys).distinct().withColumn("_meant", F.lit(True))
+    return out.join(meant, keys, "left").withColumn("is_target", F.col("_meant").isNotNull()).drop("_meant")
