@@ -135,11 +135,14 @@ def _sections(spark, sf_dir) -> dict[str, DataFrame]:
     }
 
 
-@query(f"with {_ROSTER} select * replace (coalesce(library_id, -1) as library_id, coalesce(production_id, -1) as production_id, coalesce(format_id, -1) as format_id) from v")
+@query(f"with {_ROSTER} select * replace (coalesce(library_id, -1) as library_id, coalesce(production_id, -1) as production_id, coalesce(format_id, -1) as format_id, coalesce(library_classified::int, -1) as library_classified, coalesce(production_classified::int, -1) as production_classified, coalesce(format_classified::int, -1) as format_classified) from v")
 def roster_videos(spark, sf_dir):
     """Pages as videos of three sections that spell accounts and links in their own ways, one row an account and link
-    (ids: -1 without one)."""
-    return rosters.roster_videos(_sections(spark, sf_dir)).fillna(-1, ["library_id", "production_id", "format_id"])
+    (ids and whether classified: -1 without one)."""
+    rows = rosters.roster_videos(_sections(spark, sf_dir))
+    names = [f"{s}_{w}" for s in ("library", "production", "format") for w in ("id", "classified")]
+    whole = {n: F.coalesce(F.col(n).cast("int") if n.endswith("classified") else F.col(n), F.lit(-1)) for n in names}
+    return rows.withColumns(whole)
 
 
 @query(f"""with {_ROSTER}, cd as (select {_HANDLE.format("n")} "key", min(code) code from (select 'Src' || page_id n, 'PVS.' || page_id code from pages where page_id % 50 = 0 union all select host, 'PVS.' || page_id from h where page_id % 9 = 0) group by all),
