@@ -40,6 +40,45 @@ TEMPLATES = [
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
 ]
+#: Further notices, likewise; the opening, grant or disclaimer that each licence's own text has.
+NOTICES = [
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["this permission notice shall be included in all copies or substantial portions"]),
+    ("apache-2", "you may not use this file except in compliance with the license", ["you may not use this file except in compliance with the license"]),
+    ("gpl-2", "the gnu general public license as published by the free software foundation either version 2 of the license", ["gnu general public license", "version 2"]),
+    ("lgpl", "the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license"]),
+    ("lgpl", "the gnu library general public license as published by the free software foundation", ["gnu library general public license"]),
+    ("agpl-3", "the gnu affero general public license as published by the free software foundation either version 3 of the license", ["gnu affero general public license", "version 3"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice", ["redistributions of source code must retain"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", ["redistributions in binary form must reproduce"]),
+    ("bsd-3", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["may be used to endorse or promote products derived from this software"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["distribute this software for any purpose with or without fee"]),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable"]),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license v 2"]),
+    ("mpl-2", "mozilla public license version 2 0", ["mozilla public license version 2"]),
+    ("epl-2", "made available under the terms of the eclipse public license 2 0", ["eclipse public license 2"]),
+    ("epl-2", "eclipse public license v 2 0", ["eclipse public license v 2"]),
+    ("boost", "distributed under the boost software license version 1 0", ["boost software license"]),
+    ("artistic-2", "under the artistic license 2 0", ["artistic license 2"]),
+    ("ofl", "this font software is licensed under the sil open font license version 1 1", ["sil open font license"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("cc0", "has waived all copyright and related or neighboring rights", ["waived all copyright and related or neighboring rights"]),
+    ("cc0", "creative commons cc0 1 0 universal public domain dedication", ["cc0 1 0 universal"]),
+    ("cc-by", "licensed under cc by 4 0", ["cc by 4 0"]),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
+    ("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license", ["creative commons attribution noderivatives"]),
+    ("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license", ["creative commons attribution noncommercial sharealike"]),
+    ("cc-by-nc-nd", "licensed under a creative commons attribution noncommercial noderivatives 4 0 international license", ["creative commons attribution noncommercial noderivatives"]),
+    ("odbl", "made available under the open database license", ["open database license"]),
+]
+#: Labels of SPDX licence identifiers; each makes a template of its tag.
+SPDX = {
+    "MIT": "mit", "Apache-2.0": "apache-2", "GPL-2.0": "gpl-2", "GPL-3.0": "gpl-3", "LGPL-2.0": "lgpl", "LGPL-2.1": "lgpl", "LGPL-3.0": "lgpl", "AGPL-3.0": "agpl-3",
+    "BSD-2-Clause": "bsd", "BSD-3-Clause": "bsd-3", "ISC": "isc", "Zlib": "zlib", "MPL-2.0": "mpl-2", "EPL-2.0": "epl-2", "BSL-1.0": "boost", "Artistic-2.0": "artistic-2", "OFL-1.1": "ofl",
+    "Unlicense": "unlicense", "CC0-1.0": "cc0", "CC-BY-4.0": "cc-by", "CC-BY-SA-4.0": "cc-by-sa", "CC-BY-NC-4.0": "cc-by-nc", "CC-BY-ND-4.0": "cc-by-nd", "CC-BY-NC-SA-4.0": "cc-by-nc-sa", "CC-BY-NC-ND-4.0": "cc-by-nc-nd", "ODbL-1.0": "odbl",
+}
+TEMPLATES += NOTICES
+TEMPLATES += [(label, tag, [tag]) for name, label in SPDX.items() for tag in ["spdx license identifier " + name.lower().replace("-", " ").replace(".", " ")]]
 #: Places of mandatory words of each template that are looked up, the rarest first.
 ANCHORS = 2
 
@@ -66,12 +105,13 @@ def places(words: Column, phrase: str) -> Column:
 
 
 def idf(docs: DataFrame, templates=TEMPLATES) -> dict[str, float]:
-    """Inverse document frequency of each licence word over all documents; only that vocabulary reaches the driver."""
+    """Inverse document frequency of each licence word over all documents, counted with the documents (the word that is
+    empty) in one aggregate; only that vocabulary reaches the driver."""
     vocabulary = sorted({w for _, notice, _ in templates for w in notice.split(" ")})
     present = F.array_intersect(words_of(F.col("text")), strings(vocabulary))
-    rows = docs.select(present.alias("w"))
-    found = {r.w: r.n for r in rows.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    total = docs.count()
+    rows = docs.select(F.explode(F.array_append(present, "")).alias("w"))
+    found = {r.w: r.n for r in rows.groupBy("w").agg(F.count("*").alias("n")).collect()}
+    total = found.get("", 0)
     return {w: round(math.log((total + 1) / (found.get(w, 0) + 1)) + 0.01, 6) for w in vocabulary}
 
 

@@ -159,3 +159,29 @@ def test_segments_miss_by_no_more_than_they_say():
         assert np.abs(gap).max() <= fim.OFF + 1
         assert max(np.diff([*starts, len(offsets)])) <= (1 << fim.SCALE) + 1
     assert len(fim.segments(np.arange(50_000) * 7)[0]) == 1
+
+
+def test_licence_notices_as_they_are_written(spark):
+    from corpusloom.llm import licenses
+
+    gpl = "This program is free software; you can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation; either version %s of the License, or (at your option) any later version."
+    cases = {
+        "# SPDX-License-Identifier: MPL-2.0": "mpl-2",
+        "// SPDX-License-Identifier: BSD-3-Clause": "bsd-3",
+        "/* SPDX-License-Identifier: GPL-2.0-or-later */": "gpl-2",
+        gpl % 2: "gpl-2",
+        gpl % 3: "gpl-3",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that": "isc",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "cc-by-nc,cc-by-nc-sa",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.": "apache-2",
+        "Redistributions of source code must retain the above copyright notice. Neither the name nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd,bsd-3",
+        "spdx license 2 0 identifier mpl, the software foundation of general public use": "",
+        "SPDX-License-Identifier:": "",
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(rows).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    weight = licenses.idf(rows)
+    assert weight["spdx"] < weight["unencumbered"] and min(weight.values()) > 0
