@@ -50,6 +50,31 @@ def banned_uses(texts: DataFrame, banned: DataFrame, account: str, item: str, te
     return uses.join(banned.select(account, F.lower("word").alias("word")).distinct(), [account, "word"]).groupBy(account, "word").agg(F.count("*").alias("items"), F.sum("n").alias("uses"))
 
 
+# Kinds of constraints that a style declares.
+CONSTRAINTS = ("banned_word", "banned_tone", "banned_format")
+
+
+def constraints_after(stored: DataFrame, edits: DataFrame, profile: str) -> DataFrame:
+    """profile, kind, value after edits (profile, kind, value, action add or remove, edit_id): each value once a profile
+    and kind, blanks around it cut off. The last edit of a value holds; unknown kinds, empty values and other actions
+    change nothing."""
+    key = [profile, "kind", "value"]
+    tidy = edits.withColumn("value", F.trim("value")).where(F.col("kind").isin(*CONSTRAINTS) & (F.col("value") != "") & F.col("action").isin("add", "remove"))
+    last = tidy.groupBy(*key).agg(F.max_by("action", "edit_id").alias("_action"))
+    both = stored.select(*key).distinct().withColumn("_stored", F.lit(True)).join(last, key, "full")
+    return both.where(F.coalesce(F.col("_action") == "add", F.col("_stored"))).select(*key)
+
+
+def constraint_uses(texts: DataFrame, constraints: DataFrame, profile: str, item: str, text: str, tone: str, style: str) -> DataFrame:
+    """profile, kind, value, items, uses of every constraint: banned words as whole words of its own texts, banned tones
+    and formats as its items' tone and format, all in any case; a constraint that nothing breaks has none."""
+    low = constraints.select(profile, "kind", F.lower("value").alias("value")).distinct()
+    words = banned_uses(texts, low.where("kind = 'banned_word'").withColumnRenamed("value", "word"), profile, item, text).select(profile, F.lit("banned_word").alias("kind"), F.col("word").alias("value"), "items", "uses")
+    told = texts.select(profile, item, F.lower(tone).alias("banned_tone"), F.lower(style).alias("banned_format")).unpivot([profile, item], ["banned_tone", "banned_format"], "kind", "value")
+    counts = told.where("value is not null").groupBy(profile, "kind", "value").agg(F.countDistinct(item).alias("items"), F.count("*").alias("uses"))
+    return low.join(words.unionByName(counts), [profile, "kind", "value"], "left").fillna(0, ["items", "uses"])
+
+
 def rewrite_brief(texts: DataFrame, wide: DataFrame, profile: str, text: Column, template: str, fields: list[str]) -> DataFrame:
     """texts (which name a profile) with brief: the template over the text, the profile and fields of wide_prints();
     fields that the profile lacks read (not yet classified)."""

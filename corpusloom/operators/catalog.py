@@ -104,11 +104,13 @@ def capacity(profiles: DataFrame, briefs: DataFrame, axes: DataFrame, profile: s
     return out.withColumn("ready", F.col("has_brief") & (F.col("axes") > 0))
 
 
-def media_cards(coverages: dict[str, DataFrame]) -> DataFrame:
-    """medium, fields, mean percent from the coverage of each medium."""
+def media_cards(coverages: dict[str, DataFrame], items: dict[str, DataFrame] | None = None) -> DataFrame:
+    """medium, fields, mean percent from the coverage of each medium, and the number of its items where they are given."""
     out = None
     for medium, df in coverages.items():
         part = df.agg(F.count("*").alias("fields"), F.avg("percent").alias("mean_percent")).select(F.lit(medium).alias("medium"), "fields", "mean_percent")
+        if items is not None:
+            part = part.join(F.broadcast(items[medium].agg(F.count("*").alias("items"))), F.lit(True))  # one row
         out = part if out is None else out.union(part)
     return out
 

@@ -100,3 +100,17 @@ def stage_counts(rows: DataFrame) -> DataFrame:
     """One row: stories at each stage and all of them."""
     at: list[Column] = [F.count_if(F.col("stage") == s).alias(s) for s in ("script", "shots", "video")]
     return rows.agg(*at, F.count("*").alias("all"))
+
+
+def production_creations(creations: DataFrame, inputs: DataFrame, specs: DataFrame, status: str = "", profile: str = "") -> DataFrame:
+    """Video creations (creation, title, status, profile, input, spec, made) of a status and profile, newest first, with the
+    titles of the input or the spec that each was made from; those of neither stay."""
+    rows = creations
+    if status:
+        rows = rows.where(F.col("status") == status)
+    if profile:
+        rows = rows.where(F.col("profile") == profile)
+    named = lambda t, k, c: t.select(k, F.col("title").alias(c))
+    rows = rows.join(named(inputs, "input", "input_title"), "input", "left").join(named(specs, "spec", "spec_title"), "spec", "left")
+    cols = ["creation", "title", "status", "profile", "input", "input_title", "spec", "spec_title", "made"]
+    return rows.select(*cols).orderBy(F.col("made").desc_nulls_last(), F.col("creation").desc())

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import activity, library, profiles, rosters, scoring, views
+from corpusloom.operators import activity, cards, catalog, library, profiles, rosters, scoring, views
 from corpusloom.plans import library as base
 from corpusloom.plans.queries import SCORED, _features, _prints, rounded, table
 from corpusloom.plans.studio import _COMPLETE, CATEGORICAL, SHARED, _classed, _profile_table, _shares
@@ -243,3 +243,40 @@ def rewrite_targets(spark, sf_dir):
     pre, post = (done.select("item_id", "source", F.col(c).alias("score")) for c in ("before", "after"))
     targets = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 8).cast("string")).alias("source"))
     return views.deltas(pre, post, ["item_id", "source"], targets)
+
+
+@query("""with d as (select doc_id, source, text, lang, case when quality = 1 then 'Good' when quality = 0 then 'Bad' end form from documents left join labels using (doc_id)),
+        c(source, kind, value) as (values ('src0', 'banned_word', 'the'), ('src1', 'banned_word', 'zzz'), ('src2', 'banned_tone', 'de'), ('src3', 'banned_format', 'bad'), ('src4', 'banned_tone', 'none')),
+        u as (select source, 'banned_word' kind, lower(w) as value, doc_id from (select source, doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+')) w from d) union all select source, 'banned_tone', lower(lang), doc_id from d union all select source, 'banned_format', lower(form), doc_id from d)
+        select c.source, c.kind, c.value, count(distinct doc_id) items, count(doc_id) uses from c left join u on u.source = c.source and u.kind = c.kind and u.value = c.value group by all""")
+def constraint_uses(spark, sf_dir):
+    """Constraints of five sources after edits, and how often their documents break them; the language is the tone."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = docs.withColumn("form", F.when(F.col("quality") == 1, "Good").when(F.col("quality") == 0, "Bad"))
+    stored = spark.sql("select * from values ('src0', 'banned_word', 'The'), ('src1', 'banned_word', 'gone'), ('src2', 'banned_tone', 'DE') t(source, kind, value)")
+    edits = spark.sql("select * from values (1, 'src1', 'banned_word', 'gone', 'remove'), (2, 'src1', 'banned_word', ' zzz', 'add'), (3, 'src3', 'banned_format', 'Bad', 'add'), (4, 'src4', 'banned_tone', 'none', 'add'), (5, 'src4', 'banned_smell', 'x', 'add'), (6, 'src4', 'banned_word', ' ', 'add') t(edit_id, source, kind, value, action)")
+    return cards.constraint_uses(docs, cards.constraints_after(stored, edits, "source"), "source", "doc_id", "text", "lang", "form")
+
+
+@query("""with c as (select l_orderkey * 8 + l_linenumber creation, max(l_linestatus) status, max(l_suppkey) supplier, max(l_partkey) part, max(l_orderkey) o, max(strftime(l_shipdate, '%Y-%m-%d')) made from lineitem where l_linenumber = 1 group by all)
+        select creation, 'Clip ' || creation title, status, 'PS.' || (supplier % 5) profile, case when part % 2 = 0 then part else -1 end input, case when part % 2 = 0 then (select p_type from part where p_partkey = c.part) end input_title, case when part % 2 = 1 then o else -1 end spec, case when part % 2 = 1 then (select o_orderpriority from orders where o_orderkey = c.o) end spec_title, made from c where status = 'O' and supplier % 5 = 1""")
+def production_creations(spark, sf_dir):
+    """First lines of orders as creations, half from a part (an input), half from the order (a spec), of a status and profile."""
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    one = lines.groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("creation")).agg(F.max("l_linestatus").alias("status"), F.max("l_suppkey").alias("s"), F.max("l_partkey").alias("p"), F.max("l_orderkey").alias("o"), F.max(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("made"))
+    made = one.select("creation", F.concat(F.lit("Clip "), F.col("creation").cast("string")).alias("title"), "status", F.concat(F.lit("PS."), (F.col("s") % 5).cast("string")).alias("profile"), F.when(F.col("p") % 2 == 0, F.col("p")).alias("input"), F.when(F.col("p") % 2 == 1, F.col("o")).alias("spec"), "made")
+    inputs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("input"), F.col("p_type").alias("title"))
+    specs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("spec"), F.col("o_orderpriority").alias("title"))
+    return rosters.production_creations(made, inputs, specs, status="O", profile="PS.1").fillna(-1, ["input", "spec"])
+
+
+@query("with p as (select source, case when count(*) >= 10 then 'confirmed' else 'draft' end status from documents group by source) select status, count(*) n, round(round(100.0 * count(*) / sum(count(*)) over (), 9), 1) percent from p group by status")
+def profiles_by_status(spark, sf_dir):
+    return catalog.by_share(_profile_table(spark, sf_dir), "status")
+
+
+@query("select 'text' medium, 1::bigint fields, round(100.0 * count(lang) / count(*), 6) mean_percent, count(*) items from documents union all select 'page', 1, round(100.0 * count(url) / count(*), 6), count(*) from pages")
+def media_item_cards(spark, sf_dir):
+    """Cards of documents and pages with the number of their items."""
+    items = {"text": table(spark, sf_dir, "documents"), "page": table(spark, sf_dir, "pages")}
+    return rounded(catalog.media_cards({m: profiles.coverage(d, [c]) for (m, d), c in zip(items.items(), ("lang", "url"), strict=True)}, items))

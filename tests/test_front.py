@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import activity, library, profiles, rosters, scoring, upkeep, views
+from corpusloom.operators import activity, cards, library, profiles, rosters, scoring, upkeep, views
 
 
 def same(a, b):
@@ -168,3 +168,21 @@ def test_targets_of_rewrites(spark):
     targets = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "t int, p string")
     got = {(r.t, r.p): (r.delta, r.is_target) for r in views.deltas(scores((1, "a", 10.04)), scores((1, "a", 12.0), (1, "b", 1.0), (2, "a", None)), ["t", "p"], targets).collect()}
     assert got == {(1, "a"): (2.0, True), (1, "b"): (None, False), (2, "a"): (None, False)}
+
+
+def test_constraints_and_what_breaks_them(spark):
+    stored = spark.createDataFrame([("p", "banned_word", "So"), ("p", "banned_word", "So"), ("q", "banned_tone", "dry")], "p string, kind string, value string")
+    edits = spark.createDataFrame([(1, "p", "banned_word", "So", "remove"), (2, "p", "banned_word", " So ", "add"), (3, "q", "banned_tone", "dry", "remove"), (4, "q", "banned_format", "List", "add"), (5, "q", "banned_odd", "x", "add"), (6, "q", "banned_word", None, "add"), (7, "p", "banned_tone", "Cold", "add"), (8, "p", "banned_tone", "Cold", "drop")], "edit_id int, p string, kind string, value string, action string")
+    after = cards.constraints_after(stored, edits, "p")
+    assert sorted(map(tuple, after.collect())) == [("p", "banned_tone", "Cold"), ("p", "banned_word", "So"), ("q", "banned_format", "List")]
+    texts = spark.createDataFrame([(1, "p", "so SO some", "cold", None), (2, "p", None, "COLD", "list"), (3, "q", "so", "cold", "how"), (4, None, "so", "cold", "list")], "i int, p string, text string, tone string, form string")
+    got = {tuple(r) for r in cards.constraint_uses(texts, after, "p", "i", "text", "tone", "form").collect()}
+    assert got == {("p", "banned_word", "so", 1, 2), ("p", "banned_tone", "cold", 2, 2), ("q", "banned_format", "list", 0, 0)}
+
+
+def test_creations_of_a_status_and_profile(spark):
+    made = spark.createDataFrame([(1, "a", "done", "P.1", 7, None, "1"), (2, "b", "done", "P.2", None, 9, "3"), (3, "c", "planned", "P.1", None, None, None), (4, "d", "done", "P.1", 99, 9, "1")], "creation int, title string, status string, profile string, input int, spec int, made string")
+    inputs, specs = spark.createDataFrame([(7, "in")], "input int, title string"), spark.createDataFrame([(9, "sp")], "spec int, title string")
+    got = lambda **asked: [(r.creation, r.input_title, r.spec_title) for r in rosters.production_creations(made, inputs, specs, **asked).collect()]
+    assert got() == [(2, None, "sp"), (4, None, "sp"), (1, "in", None), (3, None, None)]
+    assert got(status="done", profile="P.1") == [(4, None, "sp"), (1, "in", None)] and got(status="gone") == []
