@@ -28,15 +28,12 @@ def query(sql: str):
     return register
 
 
-_LINES = ("l_quantity", "l_extendedprice", "l_discount")
-
-
-@query("""with v as (select l_returnflag, x.attribute, x.value from lineitem, lateral (values ('l_quantity', l_quantity), ('l_extendedprice', l_extendedprice), ('l_discount', l_discount)) x(attribute, value) where x.value is not null)
-        select l_returnflag, attribute, count(*) n, round(avg(value), 4) mean, round(stddev_pop(value), 4) std, min(value) low, max(value) high, round(quantile_cont(value, 0.5), 4) median from v group by all""")
+@query("""with v as (select lang, x.attribute, x.value from documents left join labels using (doc_id), lateral (values ('n_chars', n_chars::double), ('n_words', len(string_split(coalesce(text, ''), ' '))::double), ('quality', quality::double)) x(attribute, value) where x.value is not null)
+        select lang, attribute, count(*) n, round(avg(value), 4) mean, round(stddev_pop(value), 4) std, min(value) low, max(value) high, round(quantile_cont(value, 0.5), 4) median from v group by all""")
 def hot_fingerprints(spark, sf_dir):
-    """Fingerprints of the return flags: three profiles that hold all lines."""
-    rows = profiles.long_numeric(table(spark, sf_dir, "lineitem"), ["l_returnflag"], list(_LINES))
-    out = profiles.hot_fingerprint(rows, "l_returnflag")
+    """Fingerprints of languages: a few profiles that hold all documents."""
+    docs = _classed(spark, sf_dir).withColumn("n_words", F.size(F.split(F.coalesce("text", F.lit("")), " ")))
+    out = profiles.hot_fingerprint(profiles.long_numeric(docs, ["lang"], ["n_chars", "n_words", "quality"]), "lang")
     return out.withColumns({c: F.round(c, 4) for c in ("mean", "std", "median")})
 
 
