@@ -32,7 +32,8 @@ def query(sql: str):
         select lang, attribute, count(*) n, round(avg(value), 4) mean, round(stddev_pop(value), 4) std, min(value) low, max(value) high, round(quantile_cont(value, 0.5), 4) median from v group by all""")
 def hot_fingerprints(spark, sf_dir):
     """Fingerprints of languages: a few profiles that hold all documents."""
-    docs = _classed(spark, sf_dir).withColumn("n_words", F.size(F.split(F.coalesce("text", F.lit("")), " ")))
+    words = F.size(F.split(F.coalesce("text", F.lit("")), " ")).alias("n_words")  # before the join: no text is shuffled
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", words).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     out = profiles.hot_fingerprint(profiles.long_numeric(docs, ["lang"], ["n_chars", "n_words", "quality"]), "lang")
     return out.withColumns({c: F.round(c, 4) for c in ("mean", "std", "median")})
 
