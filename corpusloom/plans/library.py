@@ -9,6 +9,7 @@ from corpusloom.functions import titles
 from corpusloom.functions.scoring import categorical_subscore
 from corpusloom.operators import matching, profiles, timing, upkeep, views
 from corpusloom.plans.queries import _NORMAL, _PRINTS, _SCORES, SCORED, _even, _feature_ctes, _prints, rounded, table
+from corpusloom.sources.staging import staged
 
 VOCABULARY = {"lang": ["en", "fr", "de"], "quality": ["1"], "toxic": ["0", "1"]}
 MACROS = {"size": ["n_chars"], "judgement": ["quality", "toxic"]}
@@ -29,7 +30,7 @@ def summaries(spark, sf_dir):
 
 def ingest_dedup(spark, sf_dir):
     """Documents without a label as a batch against the labelled ones."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+    docs = staged(table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash")), "hashes")
     labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
     return upkeep.ingest_status(docs.join(labels, "doc_id", "left_anti"), docs.join(labels, "doc_id", "left_semi"), "content_hash", "doc_id").select("doc_id", "status")
 
