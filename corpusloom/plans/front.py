@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import activity, cards, catalog, library, profiles, rosters, scoring, views
 from corpusloom.plans import library as base
-from corpusloom.plans.queries import SCORED, _features, _prints, rounded, table
+from corpusloom.plans.queries import SCORED, _features_once, _prints, rounded, table
 from corpusloom.plans.studio import _COMPLETE, CATEGORICAL, SHARED, _classed, _profile_table, _shares
 
 QUERIES: dict[str, Callable] = {}
@@ -224,11 +224,12 @@ def corrected_media(spark, sf_dir):
 @query(_COMPLETE + " select doc_id, source, score, n_attributes from co")
 def weighted_scores(spark, sf_dir):
     """Complete scores by a weights table after edits; two are no weights and change nothing."""
-    stored = reduce(DataFrame.union, [_shares(spark, sf_dir).select("attribute", F.lit("categorical").alias("kind")).distinct(), _prints(spark, sf_dir).select("attribute", F.lit("numeric").alias("kind")).distinct()])
+    features = _features_once(spark, sf_dir)
+    stored = reduce(DataFrame.union, [_shares(spark, sf_dir).select("attribute", F.lit("categorical").alias("kind")).distinct(), _prints(spark, sf_dir, features).select("attribute", F.lit("numeric").alias("kind")).distinct()])
     edits = spark.sql("select * from values (1, 'word_count', '9'), (2, 'word_count', '2.0'), (3, 'word_count', 'x'), (4, 'lang', '0.5'), (5, 'toxic', '-1'), (6, 'quality', null), (7, 'gone', '3') t(edit_id, attribute, weight)")
     weights = scoring.edited_weights(stored.withColumn("weight", F.lit(1.0)), edits)
-    items = scoring.item_maps(profiles.long_numeric(_features(spark, sf_dir), ["doc_id"], SCORED), profiles.long_categorical(_classed(spark, sf_dir), ["doc_id"], CATEGORICAL), "doc_id")
-    maps = scoring.profile_maps(_prints(spark, sf_dir), _shares(spark, sf_dir), "source")
+    items = scoring.item_maps(profiles.long_numeric(features, ["doc_id"], SCORED), profiles.long_categorical(_classed(spark, sf_dir), ["doc_id"], CATEGORICAL), "doc_id")
+    maps = scoring.profile_maps(_prints(spark, sf_dir, features), _shares(spark, sf_dir), "source")
     chosen = scoring.comparable(_profile_table(spark, sf_dir)).join(maps, "source", "left")
     return scoring.complete_scores(items, chosen, "doc_id", "source", weights, SHARED).drop("breakdown")
 

@@ -72,3 +72,11 @@ def test_cards_without_data(spark):
     row = spark.createDataFrame([(12.34, None, None)], "m double, cv double, r double")
     (got,) = row.select(cards.sentence_rhythm(F.col("m"), F.col("cv")).alias("a"), cards.paragraph_shape(F.col("r"), F.col("m")).alias("b")).collect()
     assert got.a == "~12.3 words/sentence on average." and got.b is None
+
+
+def test_pairs_of_few_bytes_are_spread_over_tasks(spark):
+    """By their bytes alone, all pairs of small items would stand in one or two tasks."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    items, profiles = spark.range(2000).select(F.col("id").alias("i")), spark.range(20).select(F.col("id").alias("p"))
+    rows = scoring.pairs_in_blocks(items, profiles, "i", "p").groupBy(F.spark_partition_id().alias("t")).agg(F.countDistinct("i").alias("n")).collect()
+    assert len(rows) > parts and max(r.n for r in rows) < 2000 * 4 / parts
