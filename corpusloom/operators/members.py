@@ -270,9 +270,10 @@ def membership(texts: DataFrame, corpus: DataFrame, item: str, text: str, accoun
     texts and corpus with the same item and owned id). Null and empty texts, null accounts and ids are members of nothing
     and hold nothing. Copies stand for one another: a text is compared once, and of an account's copies two ids at most go
     on."""
-    norm, hashed = T.normalised(F.col(text)), F.sha2("norm", 256)
-    a = texts.select(F.col(item).alias("item"), norm.alias("norm")).where("norm <> '' and item is not null").withColumn("h", hashed)
-    b = corpus.select(F.col(owned).alias("owned"), F.col(account).alias("account"), norm.alias("norm")).where("norm <> '' and owned is not null and account is not null").withColumn("h", hashed)
+    # a condition on norm would be pushed down and write it once more
+    norm, hashed, told = T.normalised(F.col(text)), F.sha2("norm", 256), T.has_normalised(F.col(text))
+    a = texts.where(told & F.col(item).isNotNull()).select(F.col(item).alias("item"), norm.alias("norm")).withColumn("h", hashed)
+    b = corpus.where(told & F.col(owned).isNotNull() & F.col(account).isNotNull()).select(F.col(owned).alias("owned"), F.col(account).alias("account"), norm.alias("norm")).withColumn("h", hashed)
     x, y = (d.groupBy("h").agg(F.min(k).alias(n), F.min("norm").alias("norm")) for d, k, n in ((a, "item", "x"), (b, "owned", "y")))
     first = F.row_number().over(W.partitionBy("account", "h").orderBy("owned"))
     owners = b.select("account", "h", "owned").distinct().withColumn("r", first).where("r <= 2").drop("r")

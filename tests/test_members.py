@@ -4,7 +4,9 @@ import os
 from difflib import SequenceMatcher
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import members
 
 
@@ -71,3 +73,9 @@ def test_members_of_accounts(spark):
     assert got == [(1, "b", "exact", 2), (2, "a", "exact", 1), (2, "b", "exact", 3), (3, "a", "exact", 1), (3, "b", "exact", 2), (4, "a", "exact", 9), (4, "b", "exact", 5), (5, "a", "exact", 4), (6, "a", "exact", 1), (6, "b", "exact", 2), (9, "a", "exact", 4), (9, "b", "exact", 5)]
     none = frame.where("item > 99")
     assert members.membership(none, none.withColumnRenamed("item", "owned"), "item", "text", "account", "owned").collect() == []
+
+
+def test_texts_that_normalise_to_nothing_are_told_without_it(spark):
+    texts = ["", None, "  ", "“”—!", "é ß", "’", "‘a", "K", "İ", "\x0b7", "Ж", "'"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.normalised(F.col("t")).alias("n"), T.has_normalised(F.col("t")).alias("h")).collect()
+    assert [r.h for r in rows] == [r.n != "" for r in rows]
