@@ -167,7 +167,7 @@ def title_match(spark, sf_dir):
 
 def rewrite_deltas(spark, sf_dir):
     """Scores of the first half of each text beside those of the whole text, for each profile."""
-    prints = _prints(spark, sf_dir)
+    prints = staged(_prints(spark, sf_dir), "prints")  # both scores read them
     texts = table(spark, sf_dir, "benchmark").select("item_id", "text")
     half = texts.withColumn("text", F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int")))
     pre, post = (rounded(profiles.score(profiles.long_numeric(T.core_features(d), ["item_id"], SCORED), prints, "item_id", "source")) for d in (texts, half))
