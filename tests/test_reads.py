@@ -14,3 +14,8 @@ def scans(spark, name):
 @pytest.mark.parametrize(("name", "most"), [("rewrite_targets", 0)])
 def test_texts_are_read_once(spark, name, most):
     assert scans(spark, name) <= most
+
+
+def test_words_are_taken_once_for_the_intrinsic_score(spark):
+    plan = registry.QUERIES["intrinsic_score"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS _words#") == 1
