@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ could should than them then some more""".split()
 
 
 TIMES = "array<struct<start:double,end:double,method:string,confidence:double>>"
+#: Items that a task holds as Python objects at once: a cue takes several hundred bytes then.
+ITEMS = 64
 
 
 def _words(text: str | None, stop: frozenset[str]) -> list[str]:
@@ -59,20 +61,23 @@ def chapter_times(items: DataFrame, key: str, stop: tuple[str, ...] = STOP) -> D
     chapter starts at the cue, a second or more after the chapter before, that shares most of its distinctive words (half
     of at most eight at least). Else, and where that would go backwards, it gets a share of the duration by its words.
     Empty or null arrays give no times; a missing duration is that of the last cue and five seconds. Each choice depends
-    on the one before, so an item is worked on as a whole, in Arrow batches, without a shuffle.
+    on the one before, so an item is worked on as a whole, in Arrow batches, without a shuffle; ITEMS of a batch are made
+    Python objects at a time, so memory doesn't grow with the batch.
     """
     left_out = frozenset(stop)
 
-    def timed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        time = pa.struct([("start", pa.float64()), ("end", pa.float64()), ("method", pa.string()), ("confidence", pa.float64())])
         for batch in batches:
-            some = lambda v: [] if v is None else list(v)
-            rows = zip(batch["cues"], batch["sections"], batch["duration"], strict=True)
-            times = [_item_times(some(c), some(s), 0.0 if pd.isna(d) else d, left_out) for c, s, d in rows]
-            yield pd.DataFrame({key: batch[key], "times": times})
+            for at in range(0, batch.num_rows, ITEMS):
+                part = batch.slice(at, ITEMS)
+                rows = zip(*(part.column(c).to_pylist() for c in ("cues", "sections", "duration")), strict=True)
+                times = [_item_times(c or [], s or [], 0.0 if d is None or d != d else d, left_out) for c, s, d in rows]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(times, pa.list_(time))], names=[key, "times"])
 
     rows = items.select(key, "cues", "sections", F.col("duration").cast("double"))
     kind = items.schema[key].dataType.simpleString()
-    return rows.mapInPandas(timed, f"`{key}` {kind}, times {TIMES}")
+    return rows.mapInArrow(timed, f"`{key}` {kind}, times {TIMES}")
 
 
 def marked_transcript(cues: Column, every: int = 40) -> Column:
