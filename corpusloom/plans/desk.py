@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions import titles
 from corpusloom.operators import activity, cards, catalog, profiles, replies, timing, upkeep
-from corpusloom.plans.queries import _PRINTS, SCORED, _even, _feature_ctes, _features, _prints, rounded, table
+from corpusloom.plans.queries import _PRINTS, SCORED, _even, _feature_ctes, _features, _features_once, _prints, rounded, table
 from corpusloom.plans.studio import _SHARE_CTES, _classed, _shares
 
 QUERIES: dict[str, Callable] = {}
@@ -257,7 +257,7 @@ def replaced_profiles(spark, sf_dir):
 
 @query(_feature_ctes("documents") + _PRINTS + " select source, attribute, round(mean, 6) mean, s.id snapshot_id, s.label from pr, (values (1::bigint, 'first'), (2::bigint, 'second')) s(id, label)")
 def profile_snapshots(spark, sf_dir):
-    prints = _prints(spark, sf_dir).select("source", "attribute", "mean")
+    prints = _prints(spark, sf_dir, _features_once(spark, sf_dir)).select("source", "attribute", "mean")
     none = prints.where("false").withColumns({"snapshot_id": F.lit(0).cast("long"), "label": F.lit(""), "at": F.lit("").cast("timestamp")})
     at = F.lit("2024-01-01").cast("timestamp")
     return rounded(upkeep.snapshot(prints, upkeep.snapshot(prints, none, "first", at), "second", at).drop("at"))
