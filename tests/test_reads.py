@@ -12,7 +12,7 @@ def scans(spark, name):
     return sum("FileScan parquet" in line and "/documents.parquet" in line and "text" in line.split("]")[0] for line in plan.splitlines())
 
 
-@pytest.mark.parametrize(("name", "most"), [("rewrite_targets", 0), ("overall_similarity", 0), ("profile_similarity", 0), ("blended_match", 1), ("profile_snapshots", 0)])
+@pytest.mark.parametrize(("name", "most"), [("rewrite_targets", 0), ("overall_similarity", 0), ("profile_similarity", 0), ("blended_match", 1), ("profile_snapshots", 0), ("profile_likeness", 0)])
 def test_texts_are_read_once(spark, name, most):
     assert scans(spark, name) <= most
 
