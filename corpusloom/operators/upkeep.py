@@ -184,10 +184,12 @@ def with_closing_shot(shots: DataFrame, items: DataFrame, item: str, number: str
 
 
 def reingested_shots(stored: DataFrame, new: DataFrame, item: str, captured: str) -> DataFrame:
-    """Shots after inputs came again: a list with a missing frame, or none, gives way to the new one; a complete one stays."""
+    """Shots after inputs came again: a list with a missing frame, or none, gives way to the new one; a complete one stays.
+
+    Of each part only keys are held, one an item: rows are neither sorted nor met by keys sent whole to every task."""
     whole = stored.groupBy(item).agg(F.bool_and(F.coalesce(captured, F.lit(False))).alias("_whole")).where("_whole").select(item)
-    again = new.join(whole, item, "left_anti")
-    return stored.join(again.select(item).distinct(), item, "left_anti").unionByName(again, allowMissingColumns=True)
+    again = new.join(whole.hint("shuffle_hash"), item, "left_anti")
+    return stored.join(again.select(item).distinct().hint("shuffle_hash"), item, "left_anti").unionByName(again, allowMissingColumns=True)
 
 
 def replace_visuals(visuals: DataFrame, new: DataFrame, item: str, marker: str) -> DataFrame:

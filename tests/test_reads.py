@@ -31,3 +31,10 @@ def test_chapters_of_a_batch_are_made_objects_in_parts(spark, monkeypatch):
     out = list(made["f"](iter(frame.select("k", "cues", "sections", "duration").toArrow().to_batches())))
     sizes = [b.num_rows for b in out]
     assert sum(sizes) == 5 and max(sizes) <= 2
+
+
+def test_reingested_shots_sort_no_rows_and_send_no_keys_whole(spark):
+    frame = registry.QUERIES["reingested_shots"](spark, "/root/testdata/sf0.001")
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Broadcast" not in plan
