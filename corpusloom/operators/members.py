@@ -10,7 +10,8 @@ characters at one of its ends stand in the other text too. With M characters to
 The ends of runs are the index. The most frequent ends are left out as long as what they hold can't make up for what the
 bound asks; the sum over the others decides. Shorter texts, and those with hardly a common character, are compared by
 their letter pairs: blocks are parted by characters that match nothing, so two texts of T characters share at least
-3M - T - 1 pairs. Lengths must allow the ratio in both cases. Only pairs that pass are compared character by character.
+3M - T - 1 pairs. Lengths and letters must allow the ratio in both cases. Only pairs that pass are compared character by
+character. Ends of an item that no text of the corpus has are dropped where they are made, by a sketch of fixed size.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ CODES = np.zeros(256, np.int64)
 CODES[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, len(ALPHABET) + 1)
 #: Keys in one batch of rows that a task makes.
 KEYS = 200_000
+#: Bits of the sketch of the ends in the index (a prime below 2 ** 27, 16 MB).
+BITS = 134_217_689
 #: Where an end stands: it begins with a rare character, it ends with one, or it begins the text.
 AFTER, BEFORE, START = 1, 2, 3
 
@@ -61,8 +64,8 @@ def ends_of(codes: np.ndarray, s: int) -> np.ndarray:
     return out
 
 
-def runs_of(codes: np.ndarray, s: int) -> tuple[int, list[tuple[int, int, int]]]:
-    """What rare characters and the edges of runs hold at most, and (key, run, what it holds beyond its edges)."""
+def runs_of(codes: np.ndarray, s: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """What rare characters and the edges of runs hold at most, the places around runs, what each holds beyond its edges."""
     rare, n = rare_places(codes), len(codes)
     bounds = np.concatenate(([-1], rare, [n]))
     size = np.diff(bounds) - 1
@@ -70,26 +73,31 @@ def runs_of(codes: np.ndarray, s: int) -> tuple[int, list[tuple[int, int, int]]]
     edge[0] += 1  # a beginning of the text has no rare character in it
     if len(size) > 1:
         edge[-1] = s - 2
-    held = len(rare) + int(np.minimum(size, edge).sum())
-    ends, keys = ends_of(codes, s), []
-    for run in np.flatnonzero(size > edge):
-        beyond, a, b = int(size[run] - edge[run]), int(bounds[run]), int(bounds[run + 1])
-        first, kind = (ends[0], START) if run == 0 else (ends[a], AFTER)
-        keys.append((int(first << 4 | kind << 2 | ENDS.index(s)), int(run), beyond))
-        if b < n:
-            keys.append((int(ends[b - s + 1] << 4 | BEFORE << 2 | ENDS.index(s)), int(run), beyond))
-    return held, keys
-
-
-def chosen(codes: np.ndarray, near: float) -> tuple[int, int, list] | None:
-    """(s, held, keys) for a long text, None where its pairs have to do: s is the longest whose edges leave enough."""
+    return len(rare) + int(np.minimum(size, edge).sum()), bounds, size - edge
+
+
+def keys_of(codes: np.ndarray, s: int, bounds: np.ndarray, beyond: np.ndarray) -> np.ndarray:
+    """Columns of (key, run, what it holds beyond its edges) for both ends of each run that holds any."""
+    run, n = np.flatnonzero(beyond > 0), len(codes)
+    if not len(run):
+        return np.empty((3, 0), np.int64)
+    ends, mark = ends_of(codes, s), ENDS.index(s)
+    first = np.where(run > 0, ends[np.maximum(bounds[run], 0)] << 4 | AFTER << 2 | mark, ends[0] << 4 | START << 2 | mark)
+    closed = run[bounds[run + 1] < n]  # the last run has no rare character behind it
+    last = ends[bounds[closed + 1] - s + 1] << 4 | BEFORE << 2 | mark
+    both = np.concatenate((run, closed))
+    return np.stack((np.concatenate((first, last)), both, beyond[both]))
+
+
+def chosen(codes: np.ndarray, near: float) -> tuple[int, int, np.ndarray, np.ndarray] | None:
+    """s and runs_of() it for a long text, None where its pairs have to do: s is the longest whose edges leave enough."""
     if len(codes) < LONG:
         return None
     least = near * len(codes) / (2 - near)  # to be matched with the shortest text that allows the ratio
     for s in ENDS:
-        held, keys = runs_of(codes, s)
+        held, bounds, beyond = runs_of(codes, s)
         if held <= EDGES * len(codes) or (s == ENDS[-1] and held < least - 1):
-            return s, held, keys
+            return s, held, bounds, beyond
     return None
 
 
@@ -103,11 +111,13 @@ def owned_keys(near: float):
             for y, t in zip(batch.column("y"), batch.column("norm"), strict=True):
                 codes = codes_of(t)
                 found = chosen(codes, near)
-                if not found or not found[2]:
+                if not found:
+                    continue
+                s, held, bounds, beyond_edges = found
+                key, run, beyond = keys_of(codes, s, bounds, beyond_edges)
+                if not len(key):
                     continue
-                s, held, keys = found
                 rare = int(np.bitwise_or.reduce(1 << np.unique(codes[rare_places(codes)]), initial=0))
-                key, run, beyond = np.array(keys, np.int64).T
                 one = [np.full(len(key), v, np.int64) for v in (len(codes), held, s, rare)]
                 parts.append(pa.RecordBatch.from_arrays([pa.repeat(y, len(key)), *map(pa.array, (*one[:3], key, run, beyond, one[3]))], schema=schema))
                 size += len(key)
@@ -120,29 +130,46 @@ def owned_keys(near: float):
     return made
 
 
-def item_keys(batches):
-    """Rows of the items' texts: x, n, key, for the lengths of ends and the rare characters that texts of like length have."""
-    for batch in batches:
-        schema = pa.schema([("x", batch.schema.field("x").type), ("n", pa.int64()), ("key", pa.int64())])
-        parts, size = [], 0
-        for x, t, sizes, rare in zip(*(batch.column(c) for c in ("x", "norm", "sizes", "rare")), strict=True):
-            codes = codes_of(t)
-            wanted = (rare.as_py() >> codes & 1).astype(bool)
-            keys = []
-            for s in sizes.as_py():
-                ends, k = ends_of(codes, s) << 4, ENDS.index(s)
-                if len(ends):
-                    keys += [ends[wanted[: len(ends)]] | AFTER << 2 | k, ends[wanted[s - 1 :]] | BEFORE << 2 | k, ends[:1] | START << 2 | k]
-            if not keys:
-                continue
-            found = np.unique(np.concatenate(keys))
-            parts.append(pa.RecordBatch.from_arrays([pa.repeat(x, len(found)), pa.array(np.full(len(found), len(codes), np.int64)), pa.array(found)], schema=schema))
-            size += len(found)
-            if size >= KEYS:
+def item_keys(sketch):
+    """Rows of the items' texts: x, n, key, for the lengths of ends and the rare characters that texts of like length have;
+    only keys that the sketch (a broadcast of its bytes) may hold."""
+
+    def made(batches):
+        held = np.frombuffer(sketch.value, np.uint8)
+        for batch in batches:
+            schema = pa.schema([("x", batch.schema.field("x").type), ("n", pa.int64()), ("key", pa.int64())])
+            parts, size = [], 0
+            for x, t, sizes, rare in zip(*(batch.column(c) for c in ("x", "norm", "sizes", "rare")), strict=True):
+                codes = codes_of(t)
+                wanted = (rare.as_py() >> codes & 1).astype(bool)
+                keys = []
+                for s in sizes.as_py():
+                    ends, k = ends_of(codes, s) << 4, ENDS.index(s)
+                    if len(ends):
+                        keys += [ends[wanted[: len(ends)]] | AFTER << 2 | k, ends[wanted[s - 1 :]] | BEFORE << 2 | k, ends[:1] | START << 2 | k]
+                if not keys:
+                    continue
+                found = np.concatenate(keys)
+                place = found % BITS
+                found = np.unique(found[held[place >> 3] >> (place & 7) & 1 > 0])
+                parts.append(pa.RecordBatch.from_arrays([pa.repeat(x, len(found)), pa.array(np.full(len(found), len(codes), np.int64)), pa.array(found)], schema=schema))
+                size += len(found)
+                if size >= KEYS:
+                    yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+                    parts, size = [], 0
+            if parts:
                 yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
-                parts, size = [], 0
-        if parts:
-            yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+    return made
+
+
+def sketch_of(index: DataFrame) -> bytes:
+    """A bit for each key modulo BITS: made on the executors in pieces of 4 KB, BITS / 8 bytes in all whatever the input."""
+    place = index.select(F.pmod("key", F.lit(BITS)).alias("p")).select(F.shiftright("p", 15).alias("piece"), F.col("p").bitwiseAND(32767).alias("bit"))
+    out = bytearray((BITS >> 15) + 1 << 12)
+    for r in place.repartition("piece").groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        out[r.piece << 12 : r.piece + 1 << 12] = r.bits
+    return bytes(out)
 
 
 def length_class(n: Column, near: float) -> Column:
@@ -163,24 +190,29 @@ def close_long(x: DataFrame, y: DataFrame, near: float) -> DataFrame:
     """(x, y) that may reach the ratio, y a long text. x and y: one row a text, with norm."""
     kind_x, kind_y = (d.schema[c].dataType.simpleString() for d, c in ((x, "x"), (y, "y")))
     rows = y.where(F.length("norm") >= LONG).mapInArrow(owned_keys(near), f"y {kind_y}, n long, held long, s long, key long, run long, beyond long, rare long")
-    rows = staged(rows, "ends")  # read for what is asked, for frequencies and as the index
-    # what items of a class have to show: the lengths of ends and the rare characters of the texts of like length
-    asked = rows.select("s", "rare", classes_near(F.col("n"), near).alias("class")).groupBy("class").agg(F.collect_set("s").alias("sizes"), F.bit_or("rare").alias("rare"))
-    shown = x.withColumn("class", length_class(F.length("norm"), near)).join(asked, "class").select("x", "norm", "sizes", "rare")
-    shown = shown.mapInArrow(item_keys, f"x {kind_x}, n long, key long").withColumn("class", length_class(F.col("n"), near))
+    rows = staged(rows, "ends", "zstd")  # read for what is asked, for frequencies and as the index
     # the most frequent ends are left out while what their runs hold stays below what every pair needs
     often = rows.groupBy("key").agg(F.count("*").alias("often"))
-    runs = rows.join(often, "key").groupBy("y", "run").agg(F.max("often").alias("often"), F.first("beyond").alias("beyond"), F.first("held").alias("held"), F.first("n").alias("n"))
+    ints = [F.col(c).cast("int").alias(c) for c in ("n", "held", "run", "beyond")]
+    runs = rows.select("y", "key", *ints).join(often, "key").repartition("y").groupBy("y", "run")
+    runs = runs.agg(F.max("often").alias("often"), *(F.first(c).alias(c) for c in ("beyond", "held", "n")), F.collect_list("key").alias("keys"))
     slack = matched_least(F.ceil(F.col("n") * near / (2 - near) - 1e-6), F.col("n"), near) - F.col("held")
     order = W.partitionBy("y").orderBy(F.col("often").desc(), "run")
-    runs = runs.withColumn("so_far", F.sum("beyond").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("slack", slack)
-    kept = runs.withColumn("out", F.col("so_far") < F.col("slack"))
-    left_out = kept.where("out").groupBy("y").agg(F.sum("beyond").alias("left_out"))
-    index = rows.select("y", "n", "held", "run", "beyond", "key").join(kept.where("not out").select("y", "run"), ["y", "run"]).withColumn("class", classes_near(F.col("n"), near))
-    met = index.join(shown.withColumnRenamed("n", "m"), ["key", "class"]).select("x", "m", "y", "n", "held", "run", "beyond").distinct()
-    sums = met.groupBy("x", "m", "y", "n", "held").agg(F.sum("beyond").alias("found")).join(left_out, "y", "left")
+    runs = runs.withColumn("so_far", F.sum("beyond").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.withColumn("left_out", F.when(F.col("so_far") < slack, F.col("so_far")).otherwise(0))
+    kept = runs.withColumn("left_out", F.max("left_out").over(W.partitionBy("y")).cast("int")).where(F.col("so_far") >= slack)
+    index = staged(kept.select("y", "n", "held", "left_out", "run", "beyond", F.explode("keys").alias("key")), "index", "zstd")
+    # what items of a class have to show: the lengths of ends and the rare characters of the texts of like length
+    asked = rows.select("s", "rare", classes_near(F.col("n"), near).alias("class")).groupBy("class").agg(F.collect_set("s").alias("sizes"), F.bit_or("rare").alias("rare"))
+    shown = x.withColumn("class", length_class(F.length("norm"), near)).join(F.broadcast(asked), "class").select("x", "norm", "sizes", "rare")  # one row a class
+    sketch = x.sparkSession.sparkContext.broadcast(sketch_of(index))
+    shown = shown.mapInArrow(item_keys(sketch), f"x {kind_x}, n long, key long").select("x", "key", F.col("n").cast("int").alias("m"))
     needed = matched_least(F.col("m"), F.col("n"), near)
-    return sums.where((F.least("m", "n") >= needed) & (F.col("held") + F.col("found") + F.coalesce("left_out", F.lit(0)) >= needed)).select("x", "y")
+    met = index.join(shown, "key").where(F.least("m", "n") >= needed).select("x", "m", "y", "n", "held", "left_out", "run", "beyond")
+    # dealt by pair: each run counts once, then what a pair's runs hold is summed in the same place
+    met = met.repartition("x", "y").distinct()
+    sums = met.groupBy("x", "m", "y", "n", "held", "left_out").agg(F.sum("beyond").alias("found"))
+    return sums.where(F.col("held") + F.col("found") + F.col("left_out") >= needed).select("x", "y")
 
 
 def letter_pairs(rows: DataFrame, key: str) -> DataFrame:
@@ -213,17 +245,56 @@ def close_short(x: DataFrame, y: DataFrame, near: float) -> DataFrame:
     return shared.where(F.col("shared") >= 3 * needed - F.col("m") - F.col("n") - 1).select("x", "y")
 
 
-def long_by_runs(near: float):
-    """Marks texts that runs stand for (one row a text in, one out)."""
+def described(near: float):
+    """Adds by_runs, whether runs stand for a text, and its letters (how often each of the alphabet stands in it) to norm."""
 
     def made(batches):
         for batch in batches:
-            told = [chosen(CODES[np.frombuffer(t.encode(), np.uint8)], near) is not None for t in batch.column("norm").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.bool_())], names=[*batch.schema.names, "by_runs"])
+            codes = [codes_of(t) for t in batch.column("norm")]
+            told = [chosen(c, near) is not None for c in codes]
+            letters = [np.bincount(c, minlength=len(ALPHABET) + 1) for c in codes]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.bool_()), pa.array(letters, pa.list_(pa.int32()))], names=[*batch.schema.names, "by_runs", "letters"])
 
     return made
 
 
+def described_texts(rows: DataFrame, near: float, name: str) -> DataFrame:
+    """rows (with norm) with by_runs and letters, written once."""
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    return staged(rows.mapInArrow(described(near), f"{kinds}, by_runs boolean, letters array<int>"), name, "zstd")
+
+
+def runs_allow(a: str, b: str, least: int) -> bool:
+    """Whether rare characters and runs of b allow least matched characters: of a long text's run no more than a beginning
+    that stands in a after the rare character before it, and an end that stands there before the one behind it."""
+    if len(b) < LONG:
+        return True
+    codes = CODES[np.frombuffer(b.encode(), np.uint8)]
+    rare, n = rare_places(codes), len(b)
+    counts = [np.bincount(c, minlength=len(ALPHABET) + 1) for c in (CODES[np.frombuffer(a.encode(), np.uint8)], codes)]
+    left = int(np.minimum(*counts)[np.unique(codes[rare])].sum()) + n - len(rare)
+    before = -1
+    for behind in (*rare.tolist(), n):
+        size, p, q = behind - before - 1, 0, 0
+        if size:
+            if before < 0:
+                while p < size and p < len(a) and a[p] == b[p]:
+                    p += 1
+            else:
+                at = 0
+                while p < size and (at := a.find(b[before : before + p + 2], at)) >= 0:
+                    p += 1
+            if behind < n:
+                at = len(a)
+                while p + q < size and (at := a.rfind(b[behind - q - 1 : behind + 1], 0, at)) >= 0:
+                    q, at = q + 1, at + q + 2
+            left -= size - p - q
+            if left < least:
+                return False
+        before = behind
+    return True
+
+
 def may_match(a: str, b: str, least: int) -> bool:
     """Whether least characters of a stand in b in the same order: no matching blocks hold more. The row of the longest
     common subsequence is one number, a bit a character of b; it stops as soon as too few of a are left."""
@@ -241,29 +312,39 @@ def may_match(a: str, b: str, least: int) -> bool:
 
 
 def ratios(near: float):
-    """The matching-block ratio of two texts, null where the order of their characters rules near out."""
+    """The matching-block ratio of two texts, null where runs or the order of their characters rule near out."""
 
     @F.pandas_udf("double")
     def of(a: pd.Series, b: pd.Series) -> pd.Series:
         least = (near / 2) * (a.str.len() + b.str.len()) - 1e-6
-        return pd.Series([SequenceMatcher(None, x, y).ratio() if may_match(x, y, math.ceil(n)) else None for x, y, n in zip(a, b, least, strict=True)], dtype="float64")
+        allowed = lambda x, y, n: runs_allow(x, y, n) and may_match(x, y, n)
+        return pd.Series([SequenceMatcher(None, x, y).ratio() if allowed(x, y, math.ceil(n)) else None for x, y, n in zip(a, b, least, strict=True)], dtype="float64")
 
     return of
 
 
-def similar(x: DataFrame, y: DataFrame, near: float) -> DataFrame:
-    """x, y, similarity of all pairs of different texts that reach the ratio; x and y hold one row a text (id, norm).
-    Texts, ends of runs and close pairs are written once."""
-    marked = staged(y.mapInArrow(long_by_runs(near), f"y {y.schema['y'].dataType.simpleString()}, norm string, by_runs boolean"), "owned_texts")
-    pairs = close_long(x, marked.where("by_runs").drop("by_runs"), near).union(close_short(x, marked.where("not by_runs").drop("by_runs"), near))
-    pairs = staged(pairs, "close_texts")
-    texts = pairs.join(x.select("x", F.col("norm").alias("a")), "x").join(marked.select("y", F.col("norm").alias("b")), "y").where("a <> b")
+def similar_described(x: DataFrame, y: DataFrame, near: float) -> DataFrame:
+    """x, y, similarity of all pairs of different texts that reach the ratio; one row a text (id, h, norm, by_runs, letters),
+    h the same for equal texts. Close pairs are written once, and only those whose letters allow the ratio meet the texts."""
+    left, right = x.select("x", "norm"), y.select("y", "norm", "by_runs")
+    pairs = close_long(left, right.where("by_runs").drop("by_runs"), near).union(close_short(left, right.where("not by_runs").drop("by_runs"), near))
+    told = pairs.join(x.select("x", "h", F.col("letters").alias("of_x")), "x").join(y.select("y", F.col("h").alias("g"), F.col("letters").alias("of_y")), "y").where("h <> g")
+    size = lambda c: F.aggregate(c, F.lit(0), lambda n, k: n + k)
+    shared = size(F.zip_with("of_x", "of_y", lambda n, k: F.least(n, k)))
+    pairs = staged(told.where(shared >= matched_least(size(F.col("of_x")), size(F.col("of_y")), near)).select("x", "y"), "close_texts")
+    texts = pairs.join(left.select("x", F.col("norm").alias("a")), "x").join(right.select("y", F.col("norm").alias("b")), "y")
     return texts.withColumn("similarity", ratios(near)("a", "b")).where(F.col("similarity") >= near).select("x", "y", "similarity")
 
 
-def membership(texts: DataFrame, corpus: DataFrame, item: str, text: str, account: str, owned: str, near: float | None = 0.85, exact: float = 0.995) -> DataFrame:
+def similar(x: DataFrame, y: DataFrame, near: float) -> DataFrame:
+    """x, y, similarity of all pairs of different texts that reach the ratio; x and y hold one row a text (id, norm)."""
+    hashed = lambda d: d.withColumn("h", F.sha2("norm", 256))
+    return similar_described(described_texts(hashed(x), near, "item_texts"), described_texts(hashed(y), near, "corpus_texts"), near)
+
+
+def membership(texts: DataFrame, corpus: DataFrame | None, item: str, text: str, account: str, owned: str, near: float | None = 0.85, exact: float = 0.995) -> DataFrame:
     """item, account, match (exact or near), similarity, matched: whether an account's corpus holds a text; without near
-    only whether it holds an equal one.
+    only whether it holds an equal one. Without a corpus the texts are it, owned the name of their ids there.
 
     Equal normalised texts are exact. Else the best matching-block ratio of the normalised texts counts (exact from 0.995
     on), the smaller owned id at a tie; no pair that reaches near is lost. An item is never compared with itself (rows of
@@ -272,9 +353,13 @@ def membership(texts: DataFrame, corpus: DataFrame, item: str, text: str, accoun
     on."""
     # a condition on norm would be pushed down and write it once more
     norm, hashed, told = T.normalised(F.col(text)), F.sha2("norm", 256), T.has_normalised(F.col(text))
-    a = texts.where(told & F.col(item).isNotNull()).select(F.col(item).alias("item"), norm.alias("norm")).withColumn("h", hashed)
-    b = corpus.where(told & F.col(owned).isNotNull() & F.col(account).isNotNull()).select(F.col(owned).alias("owned"), F.col(account).alias("account"), norm.alias("norm")).withColumn("h", hashed)
-    x, y = (d.groupBy("h").agg(F.min(k).alias(n), F.min("norm").alias("norm")) for d, k, n in ((a, "item", "x"), (b, "owned", "y")))
+    if corpus is None:
+        rows = texts.where(told & F.col(item).isNotNull()).select(F.col(item).alias("item"), F.col(account).alias("account"), norm.alias("norm")).withColumn("h", hashed)
+        rows = rows if near is None else staged(rows, "rows", "zstd")  # normalised once for copies, owners and texts
+        a, b = rows.drop("account"), rows.where("account is not null").withColumnRenamed("item", "owned")
+    else:
+        a = texts.where(told & F.col(item).isNotNull()).select(F.col(item).alias("item"), norm.alias("norm")).withColumn("h", hashed)
+        b = corpus.where(told & F.col(owned).isNotNull() & F.col(account).isNotNull()).select(F.col(owned).alias("owned"), F.col(account).alias("account"), norm.alias("norm")).withColumn("h", hashed)
     first = F.row_number().over(W.partitionBy("account", "h").orderBy("owned"))
     owners = b.select("account", "h", "owned").distinct().withColumn("r", first).where("r <= 2").drop("r")
     items = a.select("item", "h").distinct()
@@ -283,8 +368,13 @@ def membership(texts: DataFrame, corpus: DataFrame, item: str, text: str, accoun
     names = [F.col("item").alias(item), F.col("account").alias(account), "match", "similarity", "matched"]
     if near is None:
         return equal.select(*names)
-    x, y = staged(x, "item_texts"), staged(y, "corpus_texts")
-    pairs = similar(x.select("x", "norm"), y.select("y", "norm"), near).join(x.select("x", "h"), "x").join(y.select("y", F.col("h").alias("g")), "y")
+    if corpus is None:  # texts are dealt and written once for both sides
+        own = F.when(F.col("account").isNotNull(), F.col("item"))
+        both = described_texts(rows.groupBy("h").agg(F.min("item").alias("x"), F.min(own).alias("y"), F.min("norm").alias("norm")), near, "texts")
+        x, y = both.drop("y"), both.where("y is not null").drop("x")
+    else:
+        x, y = (described_texts(d.groupBy("h").agg(F.min(k).alias(n), F.min("norm").alias("norm")), near, w) for d, k, n, w in ((a, "item", "x", "item_texts"), (b, "owned", "y", "corpus_texts")))
+    pairs = similar_described(x, y, near).join(x.select("x", "h"), "x").join(y.select("y", F.col("h").alias("g")), "y")
     met = items.join(pairs.select("h", "g", "similarity"), "h").join(owners.withColumnRenamed("h", "g"), "g").where("item <> owned")
     best = met.groupBy("item", "account").agg(F.min_by(F.struct("similarity", "owned"), F.struct(-F.col("similarity"), F.col("owned"))).alias("b"))
     best = best.select("item", "account", F.when(F.col("b.similarity") >= exact, "exact").otherwise("near").alias("match"), "b.similarity", F.col("b.owned").alias("matched"))

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import math
 import os
 from difflib import SequenceMatcher
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -79,3 +82,41 @@ def test_texts_that_normalise_to_nothing_are_told_without_it(spark):
     texts = ["", None, "  ", "“”—!", "é ß", "’", "‘a", "K", "İ", "\x0b7", "Ж", "'"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.normalised(F.col("t")).alias("n"), T.has_normalised(F.col("t")).alias("h")).collect()
     assert [r.h for r in rows] == [r.n != "" for r in rows]
+
+
+def test_members_of_one_table_write_texts_once(spark, monkeypatch):
+    long = "the quick brown fox jumps over the lazy dog and then the dog sleeps " * 6
+    rows = [(1, "a", "Same  text"), (2, "b", "same text!"), (4, "a", long), (5, "b", long + "x"), (6, None, "same text"), (7, "a", None), (8, None, long + "zz"), (None, "a", long)]
+    frame = spark.createDataFrame(rows, "item long, account string, text string")
+    told = lambda d: sorted(tuple(r) for r in d.collect())
+    want = told(members.membership(frame, frame.withColumnRenamed("item", "owned"), "item", "text", "account", "owned"))
+    texts, write = [], members.staged
+    monkeypatch.setattr(members, "staged", lambda d, name, *more: [texts.append(name) if "norm" in d.columns else None, write(d, name, *more)][1])
+    got = told(members.membership(frame, None, "item", "text", "account", "owned"))
+    assert got == want and len(got) == 8 and texts == ["rows", "texts"]
+    assert told(members.membership(frame, None, "item", "text", "account", "owned", near=None)) == [r for r in want if r[3] == 1.0]
+
+
+def test_ends_that_the_corpus_lacks_are_dropped_where_they_are_made(spark):
+    texts = [t for t in corpus(60) if len(t) >= members.LONG]
+    codes = [members.CODES[np.frombuffer(t.encode(), np.uint8)] for t in texts[:20]]
+    keys = sorted({int(k) for c in codes if (f := members.chosen(c, 0.85)) for k in members.keys_of(c, f[0], f[2], f[3])[0]})
+    held = members.sketch_of(spark.createDataFrame([(k,) for k in keys], "key long"))
+    assert all(held[k % members.BITS >> 3] >> (k % members.BITS & 7) & 1 for k in keys)
+    assert sum(b.bit_count() for b in held) <= len(keys)
+    batch = pa.RecordBatch.from_pydict({"x": list(range(len(texts))), "norm": texts, "sizes": [list(members.ENDS)] * len(texts), "rare": [(1 << 39) - 1] * len(texts)})
+    made = lambda bits: [k for b in members.item_keys(SimpleNamespace(value=bits))([batch]) for k in b.column("key").to_pylist()]
+    every, some = made(b"\xff" * len(held)), made(held)
+    assert len(some) < len(every) and [k for k in every if k in set(keys)] == [k for k in some if k in set(keys)]
+
+
+def test_runs_refuse_no_pair_that_reaches_the_ratio():
+    texts = [t for t in corpus(100) if t]
+    refused = 0
+    for k, b in enumerate(texts):
+        for a in texts[k % 7 :: 7]:
+            least = math.ceil(0.425 * (len(a) + len(b)) - 1e-6)
+            if min(len(a), len(b)) >= least and not members.runs_allow(a, b, least):
+                refused += 1
+                assert SequenceMatcher(None, a, b).ratio() < 0.85
+    assert refused > 20
