@@ -44,3 +44,24 @@ def test_names_and_urls(spark):
     assert r.h == "tomjerrys"
     r = one(spark, "https://X.com/a/?q=1", lambda d: d.select(T.clean_url(F.col("text")).alias("u"), T.platform(F.lit("https://youtu.be/1")).alias("p")))
     assert (r.u, r.p) == ("https://x.com/a", "YouTube")
+
+
+def test_patterns_are_searched_only_where_their_words_stand(spark):
+    texts = ["Take it, TRY it; pee\u017f, \u017fquint and not this, but p\u0131ck or P\u0130CTURE", "hold", "The fir\u017ft thing, third  Reason, rule number 4 and STEP one", "Rather than that, a\u017f opposed to it", "WATCH TH\u0130S, this Video", "lo\u212a, loo\u212a and \u212aidding", "HAHA, lol: it's O\u212a, you'd say", "Y\u039fU or YOU", "not one. but two", "", None, "nothing of it", "I\u0307magine the sixth\u00a0point"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    df = T.pattern_features(T.core_features(frame))
+    t, n = F.col("_text"), F.col("word_count")
+    plain = {
+        "you_freq_per_100w": T.half_even(T.ratio(T.hits(t, T.YOU) * 100.0, n), 2),
+        "instruction_verb_count": T.hits(t, T.any_of(T.INSTRUCTIONS)),
+        "framework_marker_count": T.hits(t, T.STEPS),
+        "contrast_structure_count": T.hits(t, T.CONTRAST),
+        "references_external_media": t.rlike(T.MEDIA).cast("int"),
+        "humor_marker_count": T.hits(t, T.any_of(T.HUMOR)) + T.literal_hits(t, ["!"]),
+        "colloquialism_density": T.half_even(T.ratio(T.hits(t, T.COLLOQUIALISM) * 100.0, n), 2),
+    }
+    rows = df.select(*plain, *(c.alias(f"plain_{k}") for k, c in plain.items())).collect()
+    for k in plain:
+        assert [r[k] for r in rows] == [r[f"plain_{k}"] for r in rows] and any(r[k] for r in rows), k
+    plan = df.select(*plain)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"Contains(_low#{i}, {w})" in plan for i in [plan.split("Contains(_low#")[1].split(",")[0]] for w in ("grab", "rule", "rather than", "this", "kidding", "folks"))
