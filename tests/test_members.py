@@ -120,3 +120,81 @@ def test_runs_refuse_no_pair_that_reaches_the_ratio():
                 refused += 1
                 assert SequenceMatcher(None, a, b).ratio() < 0.85
     assert refused > 20
+
+
+def test_ratio_is_that_of_the_matching_blocks():
+    texts = [t for t in dict.fromkeys(corpus(60)) if t and not set(t) - set(members.ALPHABET)]
+    held, found = [members.Text(t.encode()) for t in texts], 0
+    for k, b in enumerate(texts):
+        for i in range(k % 11, len(texts), 11):
+            want = SequenceMatcher(None, texts[i], b).ratio()
+            for near in (0.0, 0.85):
+                assert members.ratio(held[i], held[k], near) == (want if want >= near else None)
+            found += want >= 0.85
+    assert found > 20
+    x, y = members.Text(texts[40].encode()), members.Text(texts[80].encode())
+    assert members.ratio(x, y, 0.0) == SequenceMatcher(None, texts[40], texts[80]).ratio()
+
+
+def test_both_ways_to_find_blocks_are_one(monkeypatch):
+    texts = [members.Text(t.encode()) for t in dict.fromkeys(corpus(40)) if len(t) >= members.LONG and not set(t) - set(members.ALPHABET)]
+    one = [members.ratio(a, b, 0.0) for a in texts for b in texts[::5]]
+    monkeypatch.setattr(members, "FEW", -1)
+    assert one == [members.ratio(a, b, 0.0) for a in texts for b in texts[::5]]
+
+
+def test_index_holds_no_more_runs_than_the_bound_needs():
+    seldom = np.zeros(1 << 24, np.uint8)
+    rows = ends = 0
+    for t in corpus(60):
+        codes = members.CODES[np.frombuffer(t.lower().replace("!", "").strip().encode(), np.uint8)]
+        if not (found := members.chosen(codes, 0.85)):
+            continue
+        s, _, bounds, beyond = found
+        key, run, held, _ = members.keys_of(codes, s, bounds, beyond)
+        kept, rest = members.needed_runs(len(codes), 0.85, key, run, held, seldom)
+        size = dict(zip(run[kept].tolist(), held[kept].tolist(), strict=True))
+        least = members.least_of(len(codes), 0.85)
+        assert rest == len(codes) - sum(size.values()) < least <= rest + min(size.values()) + (len(size) > 1) * len(codes)
+        assert not set(run[kept].tolist()) & set(run[~kept].tolist())
+        rows, ends = rows + int(kept.sum()), ends + 2 * (len(bounds) - 1)
+    assert 0 < rows < ends / 3
+
+
+def test_frequent_ends_are_left_out_first(spark):
+    rng = np.random.default_rng(5)
+    often = np.zeros(1 << 24, np.uint8)
+    key, run, beyond = rng.integers(-(2**63), 2**63 - 1, 20), np.repeat(np.arange(10), 2), np.full(20, 50)
+    often[key[:8].view(np.uint64) >> np.uint64(40)] = 9
+    kept, _ = members.needed_runs(1000, 0.85, key, run, beyond, often)
+    assert not kept[:8].any() and kept[8:].any()
+    text = " ".join("".join(rng.choice(list("etaoinshrqjxzk"), 6, p=[0.2, 0.15, 0.15, 0.1, 0.1, 0.1, 0.07, 0.06, 0.04, 0.01, 0.005, 0.005, 0.005, 0.005])) for _ in range(150))
+    codes = members.CODES[np.frombuffer(text.encode(), np.uint8)]
+    s, _, bounds, beyond = members.chosen(codes, 0.85)
+    key = members.keys_of(codes, s, bounds, beyond)[0]
+    told = members.often_of(spark.createDataFrame([(text, s)] * 20, "norm string, s int").repartition(3))
+    assert {told[k] for k in (key.view(np.uint64) >> np.uint64(40)).tolist()} == {4} and len(told) - told.count(0) <= len(key)
+
+
+def test_an_item_with_two_texts_keeps_them_apart(spark):
+    rng = np.random.default_rng(7)
+    one, two = (" ".join("".join(rng.choice(list("etaoinshrdluqzk"), 5)) for _ in range(80)) for _ in range(2))
+    rows = [(1, "a", one), (1, "b", two), (2, "c", one + " x"), (3, "d", two + " y")]
+    frame = spark.createDataFrame(rows, "item long, account string, text string")
+    want = [(1, "c", 2), (1, "d", 3), (2, "a", 1), (3, "b", 1)]
+    for corpus_of in (None, frame.withColumnRenamed("item", "owned")):
+        got = members.membership(frame, corpus_of, "item", "text", "account", "owned")
+        assert sorted((r.item, r.account, r.matched) for r in got.collect()) == want
+
+
+def test_large_buckets_are_parted_and_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(members, "BUCKET", 3)
+    monkeypatch.setattr(members, "BLOCK", 4)
+    rng = np.random.default_rng(9)
+    text = "".join(rng.choice(list("etaoinshr qjxzk"), 400, p=[0.17, 0.13, 0.1, 0.1, 0.1, 0.1, 0.07, 0.06, 0.06, 0.06, 0.01, 0.01, 0.01, 0.01, 0.01]))
+    short = text[:90]
+    texts = [f"{t[:k]}{'xy'[k % 2]}{t[k:]}" for t in (text, short) for k in range(20, 20 + 3 * 14, 3)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "x long, norm string")
+    got = {(r.x, r.y) for r in members.similar(frame, frame.withColumnRenamed("x", "y"), 0.85).collect()}
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and SequenceMatcher(None, a, b).ratio() >= 0.85}
+    assert got == want and sum(i < 14 for i, _ in want) > 100 and len(want) > 250
