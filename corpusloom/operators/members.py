@@ -35,7 +35,7 @@ from corpusloom.sources.staging import staged
 #: From this length on the ratio leaves out common characters (a rule of the ratio).
 LONG = 200
 #: Lengths of the ends of runs that are tried, the longest first, and the share of a text that edges may take.
-ENDS, EDGES = (18, 13, 9, 6, 4, 3), 0.6
+ENDS, EDGES = (18, 16, 14, 12, 10, 8, 6, 4, 3), 0.7
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789' "
 CODES = np.zeros(256, np.int64)
 CODES[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, len(ALPHABET) + 1)
@@ -229,13 +229,14 @@ def owned_keys(near: float, often):
 
 
 def item_keys(*sketches):
-    """Rows of the items' texts: x, n, key, its first and its last place, for the lengths of ends and the rare characters that
-    texts of like length have; only keys that the sketches (Packed sketch_of() for 0, 1 and so on) may hold."""
+    """Rows of the items' texts: x, n, key, its first place and how far behind its last one is, for the lengths of ends and
+    the rare characters that texts of like length have; only keys that the sketches (Packed sketch_of() for 0, 1 and so on)
+    may hold."""
 
     def made(batches):
         held = [np.frombuffer(b.value, np.uint8) for b in sketches]
         for batch in batches:
-            schema = pa.schema([("x", batch.schema.field("x").type), ("n", pa.int32()), ("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+            schema = pa.schema([("x", batch.schema.field("x").type), ("n", pa.int32()), ("key", pa.int64()), ("first", pa.int32()), ("span", pa.int32())])
             parts, size = [], 0
             for x, t, sizes, rare in zip(*(batch.column(c) for c in ("x", "norm", "sizes", "rare")), strict=True):
                 codes = codes_of(t)
@@ -254,7 +255,7 @@ def item_keys(*sketches):
                 found, places = found[order], places[order]
                 cuts = np.flatnonzero(np.diff(found, prepend=found[:1] - 1)) if len(found) else order
                 found, first, last = found[cuts], places[cuts], places[np.append(cuts[1:], len(places)) - 1] if len(cuts) else cuts
-                parts.append(pa.RecordBatch.from_arrays([pa.repeat(x, len(found)), pa.array(np.full(len(found), n, np.int32)), pa.array(found), *(pa.array(v.astype(np.int32)) for v in (first, last))], schema=schema))
+                parts.append(pa.RecordBatch.from_arrays([pa.repeat(x, len(found)), pa.array(np.full(len(found), n, np.int32)), pa.array(found), *(pa.array(v.astype(np.int32)) for v in (first, last - first))], schema=schema))
                 size += len(found)
                 if size >= KEYS:
                     yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
@@ -301,10 +302,10 @@ def close_long(x: DataFrame, y: DataFrame, near: float, same: bool) -> DataFrame
     asked = y.select("s", "rare", classes_near(F.length("norm"), near).alias("class")).groupBy("class").agg(F.collect_set("s").alias("sizes"), F.bit_or("rare").alias("rare"))
     shown = x.withColumn("class", length_class(F.length("norm"), near)).join(F.broadcast(asked), "class").select("x", "norm", "sizes", "rare")  # one row a class
     sketches = [Packed(context, sketch_of(index, k)) for k in (0, 1)]
-    shown = shown.mapInArrow(item_keys(*sketches), f"x {kind_x}, m int, key long, first int, last int")
+    shown = shown.mapInArrow(item_keys(*sketches), f"x {kind_x}, m int, key long, first int, span int")
     needed = matched_least(F.col("m"), F.col("n"), near)
     # no more is matched before or behind an end than there is in either text
-    fits = (F.least("m", "n") >= needed) & (F.col("last") >= needed - F.col("n") + F.col("place")) & (F.col("first") <= F.col("place") + F.col("m") - needed)
+    fits = (F.least("m", "n") >= needed) & (F.col("first") + F.col("span") >= needed - F.col("n") + F.col("place")) & (F.col("first") <= F.col("place") + F.col("m") - needed)
     met = index.join(shown, "key").where(fits).where("x <> y" if same else "true").select("x", "y", "run", "key", "beyond", (needed - F.col("held")).cast("int").alias("lacks"))
     # dealt by pair: each run counts once, then what a pair's runs hold is summed in the same place
     runs = met.repartition("x", "y").groupBy("x", "y", "lacks", "run").agg(F.max("beyond").alias("beyond"), F.min("key").alias("key"))
